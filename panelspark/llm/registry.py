@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, licenses, mixing, secrets
+from panelspark.llm import bpe, langid, licenses, mixing, secrets
 
-MODULES = (bpe, mixing, secrets, licenses)
+MODULES = (bpe, mixing, secrets, langid, licenses)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

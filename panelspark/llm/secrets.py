@@ -159,8 +159,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(docs, new_ledger(spark))
     rows = with_findings(docs, found).select("doc_id", "spans")
     base = [r.kind for r in BASE]
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
-    only = F.filter("spans", lambda s: s["kind"].isin(base))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    only = of(*base)
     return rows.select("doc_id", *counts, F.sha2(_joined(only), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
