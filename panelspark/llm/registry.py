@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, langid, licenses, mixing, neardup, secrets
+from panelspark.llm import bpe, jaccard, langid, licenses, mixing, neardup, secrets
 
-MODULES = (bpe, neardup, mixing, secrets, langid, licenses)
+MODULES = (jaccard, bpe, neardup, mixing, secrets, langid, licenses)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
