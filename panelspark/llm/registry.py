@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelspark.llm import bpe, jaccard, langid, licenses, mixing, neardup, secrets, suffixes
+from panelspark.llm import bpe, jaccard, langid, licenses, mixing, neardup, quality, secrets, suffixes
 
-MODULES = (jaccard, bpe, neardup, mixing, secrets, suffixes, langid, licenses)
+MODULES = (jaccard, bpe, neardup, mixing, secrets, suffixes, langid, licenses, quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
