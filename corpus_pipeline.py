@@ -1,18 +1,75 @@
-"""A training-corpus pipeline out of the operators of panelspark.llm."""
+"""A training-corpus pipeline out of the operators of panelspark.llm.
+
+``STAGES`` are (name, function); each function takes (spark, docs, sf_dir) and returns the
+columns of ``documents`` (the last one returns tokens).  ``run`` applies them in order and
+writes each result as Parquet in the shared folder before the next stage reads it.
+
+1. Language identification: texts without a language (null, or without a letter) go; a
+   null language is filled in.  The model is learned from the stage's own labelled rows.
+2. N-gram Jaccard join (5 words, 0.8): of each group of linked documents the one with the
+   smallest id stays.  Rows without an id stay; of rows that repeat an id one stays.
+3. Secret scans: every secret is replaced by its kind in brackets, n_chars follows.
+4. Mixing: documents are repeated or left out as the mix plans, in training order.
+5. BPE: one row a training document with its token ids.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from panelspark.llm.bpe import default_spec, encode
+from panelspark.llm.jaccard import jaccard_components
+from panelspark.llm.langid import UNKNOWN, fit, identify
 from panelspark.llm.mixing import mix
-from panelspark.llm.shared import table, written
+from panelspark.llm.secrets import masked, new_ledger, scan, with_findings
+from panelspark.llm.shared import bounded_batches, table, written
+
+SHINGLE, NUM, DEN = 5, 80, 100
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    out = identify(docs, fit(docs))
+    return out.where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    groups = jaccard_components(docs, SHINGLE, NUM, DEN)
+    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rows = docs.join(stay, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return rows.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()).select(*docs.columns))
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    rows = with_findings(docs, scan(docs, new_ledger(spark)))
+    hit = F.size("spans") > 0
+    text = masked(F.col("text"), F.col("spans"))
+    chars = F.when(hit, F.length(text)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return rows.withColumns({"n_chars": chars, "text": text}).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES = [("mixing sources to target weights", mixing)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return encode(docs.select("doc_id", "lang", "source", "text"), default_spec())
+
+
+STAGES = [
+    ("language identification", language),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("secret scans", without_secrets),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding and decoding", tokens),
+]
+#: The language model, the join's sketch and the tokenizer are not SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

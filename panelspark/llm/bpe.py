@@ -24,11 +24,14 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from panelspark.llm.shared import empty_texts, table
 
@@ -245,7 +248,8 @@ def tokenizer_spec(path: str) -> str:
 def _encoded(df: DataFrame, spec: str, text: str, schema: str, row) -> DataFrame:
     """Columns but ``text`` kept; ``row`` makes the added values of (n, ids, decoded)."""
     sent = df.sparkSession.sparkContext.broadcast(spec)  # one tokenizer file, a few MB whatever the data
-    names = [f.name for f in _parse(schema)]
+    fields_of = StructType.fromDDL(schema).fields
+    names, kinds = [f.name for f in fields_of], [to_arrow_type(f.dataType) for f in fields_of]
     keep = [c for c in df.columns if c != text and c not in names]
 
     def run(batches):
@@ -253,7 +257,7 @@ def _encoded(df: DataFrame, spec: str, text: str, schema: str, row) -> DataFrame
         for whole in batches:
             for batch in _batches(whole, text):
                 rows = [row(*r) for r in own.encode([t or "" for t in batch.column(text).to_pylist()])]
-                cols = [pa.array([r[i] for r in rows]) for i in range(len(names))]
+                cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, keep + names)
 
     kept = df.select(*keep, text)
@@ -261,17 +265,13 @@ def _encoded(df: DataFrame, spec: str, text: str, schema: str, row) -> DataFrame
     return kept.mapInArrow(run, ", ".join([*fields, schema]))
 
 
-def _parse(schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema).fields
+def encode(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
+    """n_tokens, ids (array of int) and decoded_sha256 in place of the text; a null text has an empty array."""
 
+    def row(n, ids, decoded):
+        return n, np.fromstring(ids, dtype=np.int32, sep=" "), hashlib.sha256(decoded.encode()).hexdigest()
 
-def encode(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
-    """``ids`` (array of int) in place of the text; a null text has an empty array."""
-    out = _encoded(df, spec, text, "_ids string", lambda n, ids, decoded: (ids,))
-    ids = F.when(F.col("_ids") == "", F.array().cast("array<int>")).otherwise(F.split("_ids", " ").cast("array<int>"))
-    return out.select(*[c for c in out.columns if c != "_ids"], ids.alias("ids"))
+    return _encoded(df, spec, text, "n_tokens long, ids array<int>, decoded_sha256 string", row)
 
 
 def decode(df: DataFrame, spec: str, ids: str = "ids") -> DataFrame:

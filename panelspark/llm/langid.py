@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import text as X
-from panelspark.llm.shared import empty_texts, table
+from panelspark.llm.shared import table
 
 SLOTS = 1 << 16
 GRAMS = (1, 2, 3, 4)
@@ -218,18 +218,17 @@ def label_words(w: Words, model: Model, penalty: float) -> np.ndarray:
     return viterbi(scores, w.first, penalty)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """``docs`` with lang_pred, score and spans (array of lang, first word, end word)."""
+def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, if so asked) with lang_pred, score and spans (array of lang, first word, end word)."""
     names = ["lang_pred", "score", "spans"]
-    keep = [c for c in docs.columns if c not in names]
+    keep = [c for c in docs.columns if c not in names and (keep_text or c != text)]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS rows, whatever the data
 
     def run(batches):
         model = sent.value
         k = max(1, len(model.langs))
         for b in batches:
-            col = b.column("_text")
-            for lo, hi, data, offs in X.slices(col):
+            for lo, hi, data, offs in X.slices(b.column(text)):
                 w = words_of(data, offs)
                 label = label_words(w, model, penalty) if model.langs else np.zeros(len(w.which), np.int64)
                 rows = np.repeat(np.arange(hi - lo), np.diff(w.first))
@@ -256,9 +255,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score), pa.array(spans, kind)], [*keep, *names])
 
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, spans array<struct<lang:string,first:int,end:int>>")
+    return docs.select(*keep, *([] if keep_text else [text])).mapInArrow(run, f"{fields}, lang_pred string, score double, spans array<struct<lang:string,first:int,end:int>>")
 
 
 def bucket(doc_id: Column, n: int) -> Column:
@@ -270,7 +268,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(bucket(F.col("doc_id"), 4) != 2))
-    out = identify(empty_texts(docs.select("doc_id", "text")), model)
+    out = identify(docs.select("doc_id", "text"), model, keep_text=False)
     return out.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 

@@ -26,15 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, whatever the length of texts, unless the session sets its own bounds."""
+    for key, usual, ours in (("maxBytesPerBatch", ("67108864", "67108864b", "64MB", "64m"), "8m"), ("maxRecordsPerBatch", ("10000",), "4000")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) in usual:
+            spark.conf.set(key, ours)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
