@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from panelspark.plans import features, portfolio, research, states
+
+MODULES = (features, states, research, portfolio)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
