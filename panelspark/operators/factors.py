@@ -55,8 +55,7 @@ def factor_turnover(long: DataFrame, share: float = 0.2) -> DataFrame:
     """(factor, turnover): mean share of the top fifth that was not there on the date before."""
     rows = long.where("x IS NOT NULL")
     w = Window.partitionBy("factor", "as_of")
-    k = F.greatest(F.floor(F.count("*").over(w) * share), F.lit(1))
-    top = rows.withColumn("_n", F.row_number().over(w.orderBy(F.col("x").desc(), ID))).where(F.col("_n") <= k).select("factor", "as_of", ID)
+    top = rows.withColumns({"_k": F.greatest(F.floor(F.count("*").over(w) * share), F.lit(1)), "_n": F.row_number().over(w.orderBy(F.col("x").desc(), ID))}).where("_n <= _k").select("factor", "as_of", ID)
     dates = top.select("factor", "as_of").distinct().withColumn("_next", F.lead("as_of").over(Window.partitionBy("factor").orderBy("as_of")))
     was = top.join(dates, ["factor", "as_of"]).where("_next IS NOT NULL").select("factor", F.col("_next").alias("as_of"), ID, F.lit(1).alias("_old"))
     by = top.join(was, ["factor", "as_of", ID], "left").groupBy("factor", "as_of").agg((1 - F.count("_old") / F.count("*")).alias("_t"))

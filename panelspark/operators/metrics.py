@@ -94,7 +94,7 @@ def ic_by_date(df: DataFrame, score: str, realised: str, keys: Sequence[str] = (
 def ic_summary(ic: DataFrame, keys: Sequence[str] = (), least_names: int = 5) -> DataFrame:
     """(keys, mean_ic, ic_std, ic_ir, share_positive, periods)."""
     rows = ic.where((F.col("n") >= least_names) & F.col("ic").isNotNull())
-    out = rows.groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("share_positive"), F.count("*").alias("periods"))
+    out = rows.groupBy(*keys).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("share_positive"), F.count("*").alias("periods"))
     return out.withColumn("ic_ir", F.try_divide(F.col("mean_ic"), F.when(F.col("ic_std") > 1e-12, F.col("ic_std"))))
 
 

@@ -54,7 +54,7 @@ def equity_curve(weights: DataFrame, prices: DataFrame, cal: DataFrame, delay: i
 
     Within a segment value grows by sum(w * p / p at fill) plus the cash weight; at each
     fill ``trade_costs`` (fill_date, cost_fraction: costs over the value at the previous
-    rebalance) is taken off.  Prices are carried forward over sessions without a bar.
+    rebalance) is taken off; costs of the whole value leave nothing.  Prices are carried forward over sessions without a bar.
     """
     held = holdings(weights, cal, delay)
     days = cal.select(F.col("session").alias("as_of"))
@@ -70,7 +70,7 @@ def equity_curve(weights: DataFrame, prices: DataFrame, cal: DataFrame, delay: i
     ends = seg.where("as_of = end_date").select(F.col("end_date").alias("start_date"), F.ln("segment_growth").alias("_g"))
     starts = seg.select("start_date", "cost_fraction").distinct().join(ends, "start_date", "left")
     chain = Window.orderBy("start_date").rowsBetween(Window.unboundedPreceding, 0)  # a row a rebalance
-    starts = starts.select("start_date", F.exp(F.sum(F.coalesce("_g", F.lit(0.0)) + F.ln(1 - F.col("cost_fraction"))).over(chain)).alias("_base"))
+    starts = starts.select("start_date", F.exp(F.sum(F.coalesce("_g", F.lit(0.0)) + F.ln(F.greatest(1 - F.col("cost_fraction"), F.lit(1e-12)))).over(chain)).alias("_base"))
     out = seg.where("end_date IS NULL OR as_of < end_date").join(F.broadcast(starts), "start_date")
     return out.select("as_of", F.col("start_date").alias("segment_start"), "segment_growth", "cost_fraction", (start_value * F.col("_base") * F.col("segment_growth")).alias("value"))
 

@@ -1,2 +1,164 @@
+"""Queries over weights, costs, trades and the ledger."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.windows import average_rank
+from panelspark.operators import costs, ledger, risk, trades, weights
+from panelspark.plans import views as V
+from panelspark.plans.features import rounded
+from panelspark.plans.research import _ar
+from panelspark.plans.states import _FEAT, feature_panel
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_CAND = _FEAT + f""", cd AS (SELECT security_id, as_of, volatility_20d AS v, {_ar('momentum_21d', 'as_of')} / count(*) OVER (PARTITION BY as_of) AS k FROM fx WHERE momentum_21d IS NOT NULL),
+tp AS (SELECT * FROM cd QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY k DESC, security_id) <= 10)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    f = feature_panel(spark, d).where("momentum_21d IS NOT NULL")
+    n = F.count("*").over(Window.partitionBy("as_of"))
+    return f.select("security_id", "as_of", F.col("volatility_20d").alias("volatility_60d"), (average_rank(F.col("momentum_21d"), "as_of") / n).alias("cross_sectional_rank"))
+
+
+def _capped(score: str, cap: float) -> str:
+    """The definition by rounds: what is over the cap is handed on until nothing is (as many rounds as names)."""
+    rounds = [f", c0 AS (SELECT security_id, as_of, {score} AS s, false AS done FROM tp)"]
+    for i in range(11):
+        rounds.append(f""", d{i} AS (SELECT *, CASE WHEN done THEN {cap} ELSE greatest(s * (1 - coalesce(sum({cap}) FILTER (WHERE done) OVER (PARTITION BY as_of), 0)) / sum(s) FILTER (WHERE NOT done) OVER (PARTITION BY as_of), 0) END AS w FROM c{i}),
+c{i + 1} AS (SELECT security_id, as_of, s, done OR w > {cap} + 1e-12 AS done FROM d{i})""")
+    return "".join(rounds) + f", fin AS (SELECT security_id, as_of, least(w, {cap}) AS w FROM d10)"
+
+
+@query(_CAND + " SELECT as_of, security_id, round(least(1.0 / count(*) OVER (PARTITION BY as_of), 0.2)::DOUBLE, 6) AS weight FROM tp")
+def equal_weight(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(weights.equal_weight(_candidates(spark, d), 10, 0.2))
+
+
+@query(_CAND + _capped("k - min(k) OVER (PARTITION BY as_of) + 1e-6", 0.15) + " SELECT as_of, security_id, round(w, 6) AS weight FROM fin")
+def score_weight_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Rank-proportional weights under a cap; the SQL repeats the redistribution, the query sorts once."""
+    return rounded(weights.score_weight(_candidates(spark, d), 10, 0.15))
+
+
+@query(_CAND + _capped("1 / coalesce(CASE WHEN v > 0 THEN v END, median(CASE WHEN v > 0 THEN v END) OVER (PARTITION BY as_of), 1)", 0.12) + " SELECT as_of, security_id, round(w, 6) AS weight FROM fin")
+def inverse_vol_capped(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(weights.inverse_volatility(_candidates(spark, d), 10, 0.12))
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    return weights.equal_weight(_candidates(spark, d), 10, 0.2)
+
+
+_EW = _CAND + ", ew AS (SELECT as_of, security_id, least(1.0 / count(*) OVER (PARTITION BY as_of), 0.2)::DOUBLE AS weight FROM tp)"
+
+
+@query(_EW + """ SELECT as_of, count(*) FILTER (WHERE weight > 1e-6) AS n_names, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest,
+ (sum(weight) < 1 - 1e-3)::INT + (max(weight) > 0.15 + 1e-6)::INT AS n_violations FROM ew GROUP BY 1""")
+def mandate_audit(spark: SparkSession, d: str) -> DataFrame:
+    a = weights.audit(_weights(spark, d), 0.15, 0.0, 10)
+    return rounded(a.select("as_of", "n_names", "total", "largest", F.size("violations").alias("n_violations")))
+
+
+_PREV = _EW + """, dt AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nx FROM (SELECT DISTINCT as_of FROM ew)), pv AS (SELECT nx AS as_of, security_id, weight AS p FROM ew JOIN dt USING (as_of) WHERE nx IS NOT NULL),
+mv AS (SELECT as_of, security_id, coalesce(weight, 0) AS w, coalesce(p, 0) AS p FROM ew FULL JOIN pv USING (as_of, security_id))"""
+
+
+@query(_PREV + " SELECT as_of, round(sum(abs(w - p)) / 2, 6) AS turnover FROM mv GROUP BY 1")
+def turnover(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(weights.turnover(_weights(spark, d)))
+
+
+@query(_EW + " SELECT as_of, round(1 / sum((weight / t) ** 2), 6) AS effective_n, round(max(weight / t), 6) AS largest FROM (SELECT *, sum(weight) OVER (PARTITION BY as_of) AS t FROM ew) GROUP BY 1")
+def herfindahl(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(risk.concentration(_weights(spark, d)).select("as_of", "effective_n", "largest"))
+
+
+_TRADES = _PREV + f""", {V.SESSIONS}, fd AS (SELECT mv.*, c2.session AS fill_date FROM mv JOIN cal c1 ON c1.session = mv.as_of JOIN cal c2 ON c2.idx = c1.idx + 1),
+pf AS (SELECT fd.*, p.close FROM fd ASOF JOIN px p ON p.security_id = fd.security_id AND p.observation_date <= fd.fill_date),
+lq AS (SELECT security_id, observation_date, CASE WHEN count(dollar_volume) OVER a >= 5 THEN avg(dollar_volume) OVER a END AS adv, CASE WHEN count(r) OVER b >= 20 THEN stddev_samp(r) OVER b * sqrt(252) END AS vol
+  FROM (SELECT *, close / lag(close) OVER (PARTITION BY security_id ORDER BY observation_date) - 1 AS r FROM px)
+  WINDOW a AS (PARTITION BY security_id ORDER BY observation_date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), b AS (PARTITION BY security_id ORDER BY observation_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+tl AS (SELECT pf.*, lq.adv, lq.vol, (w - p) * 1e4 / close AS shares, abs((w - p) * 1e4) AS n FROM pf ASOF LEFT JOIN lq ON lq.security_id = pf.security_id AND lq.observation_date <= pf.as_of),
+tc AS (SELECT *, n * 0.5 / 1e4 + n * 2.0 / 1e4 * CASE WHEN adv > 0 THEN least(greatest(sqrt(1e7 / adv), 0.5), 10) ELSE 3 END + n * 1.0 / 1e4
+  + 0.1 * coalesce(vol, 0.3) / sqrt(252) * sqrt(CASE WHEN adv > 0 THEN n / adv ELSE 0.05 END) * n AS cost FROM tl WHERE n >= 1)"""
+
+
+def _trades(spark: SparkSession, d: str) -> DataFrame:
+    return trades.trade_list(_weights(spark, d), V.prices(spark, d), V.sessions(spark, d), 1e4)
+
+
+@query(_TRADES + """ SELECT s.cost_scenario, fill_date, count(*) AS n, count(*) FILTER (WHERE shares < 0) AS n_sells, round(sum(n), 2) AS notional, round(sum(cost * x), 2) AS total_cost
+FROM tc, (VALUES ('zero', 0.0), ('base', 1.0), ('double', 2.0), ('triple', 3.0)) s(cost_scenario, x) GROUP BY 1, 2""")
+def trade_costs_by_scenario(spark: SparkSession, d: str) -> DataFrame:
+    """Trades of a monthly equal-weight strategy in four cost scenarios, by fill date."""
+    by = _trades(spark, d).groupBy("cost_scenario", "fill_date").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "sell").alias("n_sells"), F.sum("notional").alias("notional"), F.sum("total_cost").alias("total_cost"))
+    return by.select("cost_scenario", "fill_date", "n", "n_sells", F.round("notional", 2).alias("notional"), F.round("total_cost", 2).alias("total_cost"))
+
+
+@query()
+def equity_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Net value of the same strategy, costs as a fraction of the value at the previous rebalance."""
+    t = _trades(spark, d).where("cost_scenario = 'base'").groupBy("fill_date").agg((F.sum("total_cost") / 1e4).alias("cost_fraction"))
+    c = trades.equity_curve(_weights(spark, d), V.prices(spark, d), V.sessions(spark, d), trade_costs=t)
+    return rounded(c.select("as_of", "segment_growth", "cost_fraction", "value"))
+
+
+@query(V.with_sql(V.SECURITIES) + """ SELECT me.as_of, sector, round(count(*) / sum(count(*)) OVER (PARTITION BY me.as_of), 6)::DOUBLE AS weight FROM px JOIN (SELECT max(observation_date) AS as_of FROM li GROUP BY date_trunc('month', observation_date)) me ON px.observation_date = me.as_of JOIN sec USING (security_id) GROUP BY 1, 2""")
+def universe_sector_weights(spark: SparkSession, d: str) -> DataFrame:
+    p = V.prices(spark, d).withColumnRenamed("observation_date", "as_of").join(F.broadcast(V.month_ends(spark, d)), "as_of").join(V.securities(spark, d).select("security_id", "sector"), "security_id")
+    return rounded(weights.universe_sector_weights(p))
+
+
+@query("WITH " + V.FILLS + """ SELECT account, security_id, sum(CASE WHEN side = 'buy' THEN 1.0 ELSE -1.0 END)::DOUBLE AS quantity, round(sum(CASE WHEN side = 'buy' THEN -cents ELSE cents END) / 100.0, 2) AS cash FROM fl GROUP BY 1, 2""")
+def positions_from_fills(spark: SparkSession, d: str) -> DataFrame:
+    p = ledger.positions(V.fills(spark, d).withColumn("cost", F.lit(0.0)))
+    return p.select("account", "security_id", "quantity", F.round("cash", 2).alias("cash"))
+
+
+@query("WITH RECURSIVE " + V.FILLS + """, o AS (SELECT *, row_number() OVER (PARTITION BY account, security_id ORDER BY ts, event_id) AS i FROM fl),
+w AS (SELECT account, security_id, i, CASE WHEN side = 'buy' THEN 1.0 ELSE -1.0 END::DOUBLE AS q, CASE WHEN side = 'buy' THEN cents / 100.0 ELSE 0 END::DOUBLE AS avg, CASE WHEN side = 'buy' THEN 0 ELSE 0 END::DOUBLE AS pnl FROM o WHERE i = 1
+ UNION ALL SELECT o.account, o.security_id, o.i, w.q + CASE WHEN side = 'buy' THEN 1 ELSE -1 END,
+  CASE WHEN side = 'buy' AND w.q + 1 > 0 THEN (w.q * w.avg + cents / 100.0) / (w.q + 1) WHEN w.q + CASE WHEN side = 'buy' THEN 1 ELSE -1 END > 0 THEN w.avg ELSE 0 END,
+  w.pnl + CASE WHEN side = 'sell' THEN least(1, greatest(w.q, 0)) * (cents / 100.0 - w.avg) ELSE 0 END
+  FROM w JOIN o ON o.account = w.account AND o.security_id = w.security_id AND o.i = w.i + 1)
+SELECT account, security_id, round(arg_max(avg, i), 4) AS average_cost, round(arg_max(pnl, i), 4) AS realised FROM w GROUP BY 1, 2""")
+def average_cost(spark: SparkSession, d: str) -> DataFrame:
+    p = ledger.positions(V.fills(spark, d).withColumn("cost", F.lit(0.0)))
+    return p.select("account", "security_id", F.round("average_cost", 4).alias("average_cost"), F.round("realised", 4).alias("realised"))
+
+
+@query("""WITH od AS (SELECT event_id AS order_id, round(value * 100)::BIGINT AS c FROM events WHERE event_type = 'purchase'), fi AS (SELECT event_id AS order_id, event_id % 4 AS g FROM events WHERE event_type = 'purchase' AND event_id % 4 > 0)
+SELECT order_id, round(coalesce(g / 3.0, 0), 6)::DOUBLE AS fill_ratio, CASE WHEN g IS NULL THEN 'unfilled' WHEN g < 3 THEN 'partial' ELSE '' END AS warning FROM od LEFT JOIN fi USING (order_id)""")
+def order_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of three units, filled by id in none to three of them."""
+    f = V.fills(spark, d)
+    o = f.select(F.col("event_id").alias("order_id"), "side", F.lit(3.0).alias("quantity"), F.col("price").alias("reference_price"), F.lit(0.0).alias("expected_cost"))
+    done = f.where("event_id % 4 > 0").select(F.col("event_id").alias("order_id"), (F.col("event_id") % 4).cast("double").alias("quantity"), "price", F.lit(0.0).alias("cost"))
+    r = ledger.reconcile(o, done)
+    return r.select("order_id", F.round("fill_ratio", 6).alias("fill_ratio"), F.array_join("warnings", ",").alias("warning"))
+
+
+@query("""WITH l AS (SELECT event_id, event_id % 50 AS order_id, ts AS t, CASE WHEN event_type IN ('view', 'click') THEN 'approve' ELSE 'reject' END AS decision FROM events)
+SELECT order_id, arg_max(decision, (t, event_id)) AS decision FROM l GROUP BY 1""")
+def order_decisions(spark: SparkSession, d: str) -> DataFrame:
+    e = V.table(spark, d, "events").select("event_id", (F.col("event_id") % 50).alias("order_id"), F.col("ts").alias("at"), F.when(F.col("event_type").isin("view", "click"), "approve").otherwise("reject").alias("decision"))
+    return ledger.decisions(e).select("order_id", "decision")
+
+
+__all__ = ["QUERIES", "SQL", "costs"]
