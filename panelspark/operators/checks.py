@@ -125,16 +125,17 @@ def row_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("broken", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])))
 
 
+#: By table, the conditions under which a row is bad.
 ROW_RULES = {
-    "prices": {"high_below_low": F.col("high") < F.col("low"), "close_outside_range": (F.col("close") > F.col("high")) | (F.col("close") < F.col("low")), "price_not_positive": F.col("close") <= 0, "negative_volume": F.col("volume") < 0},
-    "fundamentals": {"filed_before_period_end": F.col("filing_date") < F.col("fiscal_period_end"), "known_before_filing": F.to_date("available_at") < F.col("filing_date")},
-    "labels": {"window_order": F.col("window_end") < F.col("window_start"), "window_before_signal": F.col("window_start") < F.col("as_of")},
-    "macro": {"revision_flag": F.col("is_revision") != (F.col("revision_id") > 0)},
-    "orders": {"order_before_signal": F.col("order_date") < F.col("signal_date"), "quantity_not_positive": F.col("quantity") <= 0},
+    "prices": {"high_below_low": "high < low", "close_outside_range": "close > high OR close < low", "price_not_positive": "close <= 0", "negative_volume": "volume < 0"},
+    "fundamentals": {"filed_before_period_end": "filing_date < fiscal_period_end", "known_before_filing": "to_date(available_at) < filing_date"},
+    "labels": {"window_order": "window_end < window_start", "window_before_signal": "window_start < as_of"},
+    "macro": {"revision_flag": "is_revision <> (revision_id > 0)"},
+    "orders": {"order_before_signal": "order_date < signal_date", "quantity_not_positive": "quantity <= 0"},
 }
 
 
 def split_rows(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected rows with ``broken``) by the table's row rules."""
-    marked = row_rules(df, ROW_RULES[table])
+    marked = row_rules(df, {n: F.expr(c) for n, c in ROW_RULES[table].items()})
     return marked.where(F.size("broken") == 0).drop("broken"), marked.where(F.size("broken") > 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.windows import DATE, ID
 from panelspark.operators.asof import interval_join
 
-OPEN = F.lit("9999-12-31").cast("date")
+OPEN = "9999-12-31"
 
 
 def rename_intervals(actions: DataFrame, start: str = "1900-01-01") -> DataFrame:
@@ -16,7 +16,7 @@ def rename_intervals(actions: DataFrame, start: str = "1900-01-01") -> DataFrame
     ev = actions.where((F.col("action_type") == "symbol_change") & F.col("new_symbol").isNotNull())
     w = Window.partitionBy(ID).orderBy("ex_date", "new_symbol")
     ev = ev.withColumns({"_next": F.lead("ex_date").over(w), "_n": F.row_number().over(w)})
-    new = ev.select(ID, F.col("new_symbol").alias("symbol"), F.col("ex_date").alias("start_date"), F.coalesce("_next", OPEN).alias("end_date"))
+    new = ev.select(ID, F.col("new_symbol").alias("symbol"), F.col("ex_date").alias("start_date"), F.coalesce("_next", F.lit(OPEN).cast("date")).alias("end_date"))
     old = ev.where((F.col("_n") == 1) & F.col("old_symbol").isNotNull()).select(ID, F.col("old_symbol").alias("symbol"), F.lit(start).cast("date").alias("start_date"), F.col("ex_date").alias("end_date"))
     return new.unionByName(old).where(F.col("start_date") < F.col("end_date"))
 

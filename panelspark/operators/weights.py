@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.functions.windows import ID
 
-DAY = Window.partitionBy("as_of")
 RANK = "cross_sectional_rank"
 
 
+def _day() -> WindowSpec:
+    return Window.partitionBy("as_of")
+
+
 def eligible(candidates: DataFrame, restricted: DataFrame | None = None, least_names: int = 1) -> DataFrame:
     """Candidates without restricted names; ``feasible`` is false on dates with too few of them."""
     df = candidates.where(F.col(RANK).isNotNull())
     if restricted is not None:
         df = df.join(restricted.select(ID), ID, "left_anti")
-    return df.withColumn("feasible", F.count("*").over(DAY) >= least_names)
+    return df.withColumn("feasible", F.count("*").over(_day()) >= least_names)
 
 
 def top(candidates: DataFrame, k: int, by: str = RANK) -> DataFrame:
@@ -41,14 +44,14 @@ def capped(scores: DataFrame, cap: float, floor: float = 0.0, budget: float = 1.
     """
     s = F.greatest(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0))
     df = scores.withColumn("_s", s)
-    df = df.withColumn("_s", F.when(F.sum("_s").over(DAY) > 0, F.col("_s")).otherwise(F.lit(1.0)))
+    df = df.withColumn("_s", F.when(F.sum("_s").over(_day()) > 0, F.col("_s")).otherwise(F.lit(1.0)))
     order = Window.partitionBy("as_of").orderBy(F.col("_s").desc(), ID)
     before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumns({"_n": F.count("*").over(DAY), "_j": F.row_number().over(order) - 1, "_rest": F.sum("_s").over(onward), "_before": F.coalesce(F.sum("_s").over(before), F.lit(0.0))})
+    df = df.withColumns({"_n": F.count("*").over(_day()), "_j": F.row_number().over(order) - 1, "_rest": F.sum("_s").over(onward), "_before": F.coalesce(F.sum("_s").over(before), F.lit(0.0))})
     room, part = F.lit(cap - floor), F.lit(budget) - floor * F.col("_n")
     share = F.try_divide(part - F.col("_j") * room, F.col("_rest"))  # weight for one unit of score if the names before are capped
     df = df.withColumn("_u", F.when((F.col("_s") * share <= room) & (F.col("_rest") > 0), F.struct("_j", share.alias("share"))))
-    df = df.withColumn("_u", F.min("_u").over(DAY))
+    df = df.withColumn("_u", F.min("_u").over(_day()))
     extra = F.when(F.col("_u").isNull() | (F.col("_j") < F.col("_u._j")), room).otherwise(F.col("_s") * F.col("_u.share"))
     return df.withColumn("weight", floor + F.greatest(extra, F.lit(0.0))).select(*scores.columns, "weight")
 
@@ -56,14 +59,14 @@ def capped(scores: DataFrame, cap: float, floor: float = 0.0, budget: float = 1.
 def equal_weight(candidates: DataFrame, n: int, cap: float = 1.0, budget: float = 1.0) -> DataFrame:
     """The top n names at min(budget / n held, cap) each."""
     held = top(candidates, n)
-    return held.withColumn("weight", F.least(F.lit(budget) / F.count("*").over(DAY), F.lit(cap))).select("as_of", ID, "weight")
+    return held.withColumn("weight", F.least(F.lit(budget) / F.count("*").over(_day()), F.lit(cap))).select("as_of", ID, "weight")
 
 
 def score_weight(candidates: DataFrame, n: int, cap: float, floor: float = 0.0, budget: float = 1.0, shape: str = "linear", power: float = 2.0, temperature: float = 0.1) -> DataFrame:
     """The top n names by their rank above the weakest: ``linear``, ``power`` or ``softmax``."""
     held = top(candidates, n)
-    up = F.col(RANK) - F.min(RANK).over(DAY)
-    score = {"linear": up + 1e-6, "power": F.pow(up + 1e-6, F.lit(power)), "softmax": F.exp((F.col(RANK) - F.max(RANK).over(DAY)) / temperature)}[shape]
+    up = F.col(RANK) - F.min(RANK).over(_day())
+    score = {"linear": up + 1e-6, "power": F.pow(up + 1e-6, F.lit(power)), "softmax": F.exp((F.col(RANK) - F.max(RANK).over(_day())) / temperature)}[shape]
     return capped(held.withColumn("score", score), cap, floor, budget).select("as_of", ID, "weight")
 
 
@@ -71,7 +74,7 @@ def inverse_volatility(candidates: DataFrame, n: int, cap: float, floor: float =
     """The top n names by 1 / volatility; missing and non-positive volatilities take the date's median."""
     held = top(candidates, n)
     v = F.when(F.col(volatility) > 0, F.col(volatility))
-    held = held.withColumn("_v", F.coalesce(v, F.median(v).over(DAY), F.lit(1.0)))
+    held = held.withColumn("_v", F.coalesce(v, F.median(v).over(_day()), F.lit(1.0)))
     return capped(held.withColumn("score", 1 / F.col("_v")), cap, floor, budget).select("as_of", ID, "weight")
 
 
@@ -104,7 +107,7 @@ def turnover(weights: DataFrame) -> DataFrame:
 def universe_sector_weights(universe: DataFrame) -> DataFrame:
     """(as_of, sector, weight): equal weight by count."""
     by = universe.groupBy("as_of", "sector").agg(F.count("*").alias("_c"))
-    return by.select("as_of", "sector", (F.col("_c") / F.sum("_c").over(DAY)).alias("weight"))
+    return by.select("as_of", "sector", (F.col("_c") / F.sum("_c").over(_day())).alias("weight"))
 
 
 def binding(weights: DataFrame, betas: DataFrame, cap: float, beta_low: float, beta_high: float, most_turnover: float, tolerance: float = 1e-4) -> DataFrame:
