@@ -19,6 +19,7 @@ columns need no rule.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -35,7 +36,7 @@ from pyspark.sql.types import StructType
 
 from panelspark.llm.shared import empty_texts, table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _SPACES = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SENTINEL = 1 << 60
 
@@ -130,7 +131,7 @@ class Bpe:
             node.setdefault(w[-1] + self.end, w)  # a leaf: the last symbol bears the end mark
         out: dict[str, list[int]] = {}
         follows, border, vocab = self._follows, self._border, self.vocab
-        if len(follows) > 1_000_000:
+        if len(follows) > 300_000:
             follows.clear()
         # by depth: the prefix's last token, where that starts, and the places from which a longer token may come
         last, start, open_at = [-1], [0], [[]]
@@ -220,14 +221,14 @@ class Encoder:
 
 
 def encoder(spec: str) -> Encoder:
-    """One encoder a worker process and tokenizer file; tasks that follow find its words."""
+    """The encoder of a worker process for a tokenizer file."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _loaded:
         _loaded[key] = Encoder(spec)
     return _loaded[key]
 
 
-def _batches(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` characters."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     lo = total = 0
@@ -259,6 +260,9 @@ def _encoded(df: DataFrame, spec: str, text: str, schema: str, row) -> DataFrame
                 rows = [row(*r) for r in own.encode([t or "" for t in batch.column(text).to_pylist()])]
                 cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, keep + names)
+        del own
+        _loaded.clear()  # a worker that goes on to other work holds nothing
+        gc.collect()
 
     kept = df.select(*keep, text)
     fields = [f"`{n}` {t}" for n, t in kept.drop(text).dtypes]

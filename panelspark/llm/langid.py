@@ -33,6 +33,7 @@ GRAMS = (1, 2, 3, 4)
 PENALTY = 12.0
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
+SLICE = 512 << 10
 #: First code points of script ranges and their names (fixed values).
 SCRIPTS = (
     (0x0, "other"), (0x41, "Latin"), (0x5B, "other"), (0x61, "Latin"), (0x7B, "other"), (0xC0, "Latin"), (0x250, "other"), (0x370, "Greek"), (0x400, "Cyrillic"),
@@ -128,7 +129,7 @@ def count(train: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         got: dict[str, np.ndarray] = {}
         for b in batches:
             langs = np.array(b.column(1).to_pylist(), dtype=object)
-            for lo, hi, data, offs in X.slices(b.column(0)):
+            for lo, hi, data, offs in X.slices(b.column(0), SLICE):
                 w = words_of(data, offs)
                 rows = np.repeat(np.arange(hi - lo), np.diff(w.first))
                 grams = np.diff(np.append(w.bounds, len(w.slots)))
@@ -228,7 +229,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
         model = sent.value
         k = max(1, len(model.langs))
         for b in batches:
-            for lo, hi, data, offs in X.slices(b.column(text)):
+            for lo, hi, data, offs in X.slices(b.column(text), SLICE):
                 w = words_of(data, offs)
                 label = label_words(w, model, penalty) if model.langs else np.zeros(len(w.which), np.int64)
                 rows = np.repeat(np.arange(hi - lo), np.diff(w.first))
