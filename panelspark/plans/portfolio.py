@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.windows import average_rank
-from panelspark.operators import costs, ledger, risk, trades, weights
+from panelspark.operators import ledger, risk, trades, weights
 from panelspark.plans import views as V
 from panelspark.plans.features import rounded
 from panelspark.plans.research import _ar
@@ -160,5 +160,3 @@ def order_decisions(spark: SparkSession, d: str) -> DataFrame:
     e = V.table(spark, d, "events").select("event_id", (F.col("event_id") % 50).alias("order_id"), F.col("ts").alias("at"), F.when(F.col("event_type").isin("view", "click"), "approve").otherwise("reject").alias("decision"))
     return ledger.decisions(e).select("order_id", "decision")
 
-
-__all__ = ["QUERIES", "SQL", "costs"]

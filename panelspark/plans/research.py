@@ -7,9 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.windows import average_rank
 from panelspark.operators import factors, metrics, models, overfit, preprocess, results, risk, scorecard, splits, stress
-from panelspark.operators.features_price import price_features
 from panelspark.plans import views as V
 from panelspark.plans.features import _W, rounded
 from panelspark.plans.states import _FEAT, _LABELS, _labels, _schedule, feature_panel
@@ -320,5 +318,3 @@ def factor_report(spark: SparkSession, d: str) -> DataFrame:
     out = factors.factor_report(_panel(spark, d), FACTORS, "excess_return")
     return rounded(out.select("factor", "monotonicity", "spread"))
 
-
-__all__ = ["QUERIES", "SQL", "average_rank", "price_features"]
