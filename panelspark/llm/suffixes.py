@@ -27,7 +27,6 @@ kept is bytes: a cut may fall inside a character.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
