@@ -5,7 +5,7 @@ intersection of their sets is at least ``num``/``den`` of the union.  The join i
 
 1. Equal sets are one set from here on (``copies``).
 2. Sets are partitioned into groups of similar ones: sets that share a min-hash are held
-   against the smallest id among them, and verified links are closed to groups.
+   against the one with the smallest id, and verified links are closed to groups.
 3. The token-group matrix holds, for each block of at most about ``BLOCK`` sets of a
    group, the union of its members' tokens.  Shuffled is the part of it that the prefix
    filter needs: by one order of tokens for all sets, rare ones first, two sets can only
@@ -17,7 +17,7 @@ intersection of their sets is at least ``num``/``den`` of the union.  The join i
    links, which joins the two groups.
 
 The order of tokens comes from a sketch of document frequencies with ``COUNTERS``
-counters, summed over all documents: its size is fixed, and any order gives the same
+counters, summed over all documents and kept as a byte each: its size is fixed, and any order gives the same
 links, only not as fast.  Tokens are 64-bit hashes of shingles.
 
 Null or empty texts, and texts without words, have empty sets and link with nothing.
@@ -40,28 +40,29 @@ from panelspark.llm import text as X
 from panelspark.llm.components import components
 from panelspark.llm.shared import empty_texts, table, written
 
-COUNTERS = 1 << 22
+COUNTERS = 1 << 24
 CHUNK = 1 << 18
 KEYS = 3
 BLOCK = 256
+SALTS = 64
 FILTER_BITS = 1 << 26
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
 
-def _summed(parts: DataFrame, kind: str, size: int, join) -> np.ndarray:
-    """Arrays of ``size`` that tasks made, joined by chunks; (chunk, data) rows, CHUNK elements each."""
+def _summed(parts: DataFrame, kind: str, wide: str, size: int, join) -> np.ndarray:
+    """Arrays of ``size`` that tasks made, joined in type ``wide`` by chunks; (chunk, data) rows, CHUNK elements each."""
 
     def run(batches):
         got: dict[int, np.ndarray] = {}
         for b in batches:
             for c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = np.frombuffer(zlib.decompress(data), kind)
+                a = np.frombuffer(zlib.decompress(data), kind).astype(wide)
                 got[c] = join(got[c], a) if c in got else a
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([zlib.compress(a.tobytes(), 1) for a in got.values()], pa.binary())], ["chunk", "data"])
 
-    out = np.zeros(size, kind)
+    out = np.zeros(size, wide)
     for row in parts.repartition("chunk").mapInArrow(run, "chunk int, data binary").collect():  # fixed size
-        a = np.frombuffer(zlib.decompress(row["data"]), kind)
+        a = np.frombuffer(zlib.decompress(row["data"]), wide)
         out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(a)] = a
     return out
 
@@ -72,17 +73,25 @@ def _chunks(a: np.ndarray) -> pa.RecordBatch:
 
 
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Counters of how many documents hold a shingle, by hash."""
+    """A byte for each counter: how far the number of documents that hold a shingle of its hash is over what chance puts there.
+
+    Steps are half a standard deviation of the counters' usual load, so that frequent
+    shingles stand out at every size of the corpus.
+    """
 
     def run(batches):
-        n = np.zeros(COUNTERS, np.int64)
+        n = np.zeros(COUNTERS, np.uint16)
         for b in batches:
             for _, _, data, offs in X.slices(b.column(0)):
-                for s in X.shingle_sets(data, offs, k):
-                    np.add.at(n, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        yield _chunks(np.minimum(n, 2**31 - 1).astype(np.int32))
+                at = [(s & np.uint64(COUNTERS - 1)).astype(np.int64) for s in X.shingle_sets(data, offs, k)]
+                at, more = np.unique(np.concatenate(at), return_counts=True)
+                n[at] = np.minimum(n[at] + more, 65535)
+        yield _chunks(n)
 
-    return _summed(docs.select("text").mapInArrow(run, "chunk int, data binary"), "int32", COUNTERS, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
+    parts = docs.select("text").mapInArrow(run, "chunk int, data binary")
+    total = _summed(parts, "uint16", "int64", COUNTERS, np.add)
+    usual = float(np.median(total[:: max(1, COUNTERS >> 16)]))
+    return np.clip((total - usual) / np.sqrt(usual + 1) * 2 + 16, 0, 255).astype(np.uint8)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -94,7 +103,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
             bits[(X.mix(b.column(0).to_numpy().astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
         yield _chunks(np.packbits(bits))
 
-    return _summed(ids.mapInArrow(run, "chunk int, data binary"), "uint8", FILTER_BITS // 8, np.bitwise_or)
+    return _summed(ids.mapInArrow(run, "chunk int, data binary"), "uint8", "uint8", FILTER_BITS // 8, np.bitwise_or)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -105,7 +114,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, n, fp, mins, prefix): size, digest and min-hashes of each set, and its first tokens in the common order."""
-    order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))  # COUNTERS integers
+    order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))  # COUNTERS bytes
 
     def run(batches):
         counts = order.value
@@ -131,9 +140,9 @@ def records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n int, fp binary, mins array<long>, prefix array<long>")
 
 
-def fetch(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, s): the sets of the documents named by the distinct ``ids``, tokens as sorted bytes."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))  # FILTER_BITS bits
+def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (a row an id, with other columns) with the text of its ids."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("id")))  # FILTER_BITS bits
 
     def near(batches):
         m = bits.value
@@ -141,14 +150,15 @@ def fetch(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             at = X.mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(FILTER_BITS - 1)
             yield b.filter(pa.array((m[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)))
 
-    def sets(batches):
-        for b in batches:
-            for lo, hi, data, offs in X.slices(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in X.shingle_sets(data, offs, k)], pa.binary())], ["id", "s"])
-
-    # what the filter lets through goes to the semi join; the filter only saves shuffling the rest
+    # what the filter lets through goes to the join; the filter only saves shuffling the rest
     some = docs.select("id", "text").where(F.col("id").isNotNull()).mapInArrow(near, "id long, text string")
-    return some.join(ids, "id", "left_semi").mapInArrow(sets, "id long, s binary")
+    return some.join(wanted, "id")
+
+
+def _with_sets(batch: pa.RecordBatch, k: int):
+    """The batch's rows with the set of the last column, a text, in its place."""
+    sets = [s for _, _, data, offs in X.slices(batch.column(batch.num_columns - 1)) for s in X.shingle_sets(data, offs, k)]
+    return zip(*(c.to_pylist() for c in batch.columns[:-1]), sets, strict=True)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -161,49 +171,80 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _stars(num: int, den: int):
-    """Rows (leader, salt, id, s), the leader first in each run, to links (a, b) with the leader."""
+def _leaders(k: int, num: int, den: int):
+    """Rows (k, key, salt, id, text), smallest id first in each run, to links (a, b) with the first of the run."""
 
     def run(batches):
-        key, lead = None, None
+        at, lead, first = None, None, None
         for b in batches:
             out = []
-            for leader, salt, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = np.frombuffer(s, np.uint64)
-                if (leader, salt) != key:
-                    key, lead = (leader, salt), None
-                if i == leader:
-                    lead = s
-                elif lead is not None and _linked(lead, s, num, den):
-                    out.append((i, leader))
+            for key_k, key, salt, i, s in _with_sets(b, k):
+                if (key_k, key, salt) != at:
+                    at, lead, first = (key_k, key, salt), s, i
+                elif i != first and _linked(lead, s, num, den):
+                    out.append((i, first))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _min_hash(s: np.ndarray, i: int) -> int:
+    return int(X.mix(s ^ _SEEDS[i]).min())
+
+
+def _key_bits(keys: np.ndarray) -> np.ndarray:
+    return X.mix(keys.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)
+
+
 def similar_groups(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) of each set to the smallest id it shares a min-hash with."""
+    """Verified links (a, b) of each set to the smallest id of its run; a run is the sets of one min-hash.
+
+    Which min-hashes are shared goes to the tasks as a bitmap of fixed size, so texts are
+    shuffled once, straight to their runs.  Runs of frequent min-hashes (a second bitmap)
+    are dealt out by a hash of the id that differs from key to key, so that a large group
+    is split for one key and joined again by the others.
+    """
     keyed = sets.select("id", F.posexplode("mins").alias("k", "key"))
-    lead = keyed.groupBy("k", "key").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1")
-    pairs = written(keyed.join(lead, ["k", "key"]).where(F.col("leader") != F.col("id")).select("leader", "id").distinct(), "pairs")
-    ids = written(pairs.select("id").union(pairs.select(F.col("leader").alias("id"))).distinct(), "ids")
-    got = written(fetch(docs, ids, k), "sets")
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("salts"))
-    each = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), "id", F.lit(1).alias("o"))
-    each = each.union(salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("id"), F.lit(0).alias("o")))
-    rows = each.join(got, "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "o")
-    return rows.select("leader", "salt", "id", "s").mapInArrow(_stars(num, den), "a long, b long")
+    often = written(keyed.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1"), "keys")
+    sent = docs.sparkSession.sparkContext.broadcast((id_filter(often.select("key")), id_filter(often.where(F.col("c") > 16 * BLOCK).select("key"))))  # twice FILTER_BITS bits
 
+    def has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+        at = _key_bits(key)
+        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
 
-def _opened(num: int, den: int):
-    """Rows (grp, block, query, id, s), members first in each run, to links (a, b) of queries with a member."""
+    def run(batches):
+        shared, hot = sent.value
+        sent_ids: dict[int, int] = {}  # of each set, so that a task passes on the smallest id of its copies
+        for b in batches:
+            met = [s for _, _, data, offs in X.slices(b.column(1)) for s in X.shingle_sets(data, offs, k)]
+            ids = b.column(0).to_numpy()
+            rows = []
+            for r in np.argsort(ids, kind="stable").tolist():
+                if len(met[r]) and sent_ids.get(copy := hash(met[r].tobytes()), ids[r] + 1) > ids[r]:
+                    sent_ids[copy] = ids[r]
+                    rows.append(r)
+            rows, ids = np.array(rows, np.int64), ids.astype(np.uint64)
+            for i in range(KEYS):
+                key = np.array([_min_hash(met[r], i) for r in rows], np.uint64)
+                ok = has(shared, key)
+                at, key = rows[ok], key[ok]
+                salt = np.where(has(hot, key), X.mix(ids[at] + np.uint64(i)) % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
+                part = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(key.view(np.int64)), pa.array(salt), *part.columns], ["k", "key", "salt", "id", "text"])
+
+    rows = docs.select("id", "text").where(F.col("id").isNotNull()).mapInArrow(run, "k int, key long, salt int, id long, text string")
+    rows = rows.repartition("k", "key", "salt").sortWithinPartitions("k", "key", "salt", "id")
+    return rows.mapInArrow(_leaders(k, num, den), "a long, b long")
+
+
+def _opened(k: int, num: int, den: int):
+    """Rows (grp, block, query, id, text), members first in each run, to links (a, b) of queries with a member."""
 
     def run(batches):
         key, members, union = None, [], None
         for b in batches:
             out = []
-            for grp, block, query, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = np.frombuffer(s, np.uint64)
+            for grp, block, query, i, s in _with_sets(b, k):
                 if (grp, block) != key:
                     key, members, union = (grp, block), [], None
                 if not query:
@@ -227,19 +268,25 @@ def _opened(num: int, den: int):
 def group_links(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between sets of different groups, one at least where two groups are linked; ``sets`` has grp and block."""
     rows = sets.select("id", "grp", "block", "n", F.posexplode("prefix").alias("p", "token"))
+    rows = rows.withColumn("rest", F.col("n") - F.col("p") - 1)  # tokens after this one
     # the smaller set of a pair is met through the shorter prefix: n - ceil(2*num*n / (num + den)) + 1 tokens
     held = F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(num + den)) + 1
-    matrix = rows.where(F.col("p") < held).groupBy("token", "grp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    m = matrix.select("token", F.col("grp").alias("g"), F.col("block").alias("gb"), "lo", "hi")
-    fits = (F.col("g") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (F.col("hi") * den >= F.col("n") * num)
+    # dealt by token alone, as the join needs it
+    matrix = rows.where(F.col("p") < held).repartition("token").groupBy("token", "grp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"))
+    m = matrix.select("token", F.col("grp").alias("g"), F.col("block").alias("gb"), "lo", "hi", "most")
+    # at the first token that two sets share, the overlap is one and what is left of either at most
+    reach = (F.least("rest", "most") + 1) * (num + den) >= (F.col("n") + F.col("lo")) * num
+    fits = reach & (F.col("g") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (F.col("hi") * den >= F.col("n") * num)
     met = rows.join(m, (rows["token"] == m["token"]) & fits).select("id", "g", "gb").distinct()
     met = written(met, "candidates")
     opened = met.select("g", "gb").distinct()
     members = sets.select("id", F.col("grp").alias("g"), F.col("block").alias("gb")).join(opened, ["g", "gb"], "left_semi")
-    each = written(met.select("g", "gb", F.lit(True).alias("query"), "id").union(members.select("g", "gb", F.lit(False).alias("query"), "id")), "opened")
-    got = fetch(docs, each.select("id").distinct(), k)
-    runs = each.join(got, "id").repartition("g", "gb").sortWithinPartitions("g", "gb", "query")
-    return runs.select("g", "gb", "query", "id", "s").mapInArrow(_opened(num, den), "a long, b long")
+    each = met.select("g", "gb", F.lit(True).alias("query"), "id").union(members.select("g", "gb", F.lit(False).alias("query"), "id"))
+    # a set opens the groups it qualifies for, and is a member of one block
+    runs = written(each.groupBy("id").agg(F.collect_list(F.struct("g", "gb", "query")).alias("runs")), "runs")
+    rows = with_text(docs, runs).select(F.explode("runs").alias("r"), "id", "text").select("r.g", "r.gb", "r.query", "id", "text")
+    rows = rows.repartition("g", "gb").sortWithinPartitions("g", "gb", "query")
+    return rows.select("g", "gb", "query", "id", "text").mapInArrow(_opened(k, num, den), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,7 +299,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     copies = written(copies, "copies")
     # one row a set; rows that repeat id and set are alike in all columns
     some = all_sets.select("id", "n", "fp", "mins").join(copies.select("fp", F.col("rep").alias("id")), ["fp", "id"], "left_semi").dropDuplicates(["fp", "id"])
-    near = written(similar_groups(written(some, "sets"), docs, k, num, den), "near")
+    near = written(similar_groups(some, docs, k, num, den), "near")
     groups = components(near)
     named = written(copies.select(F.col("rep").alias("id"), "fp").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("component", "id").alias("grp")), "groups")
     sizes = named.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
