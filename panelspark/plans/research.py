@@ -172,12 +172,12 @@ cv AS (SELECT a.security_id AS id_i, b.security_id AS id_j, covar_samp(a.r, b.r)
 
 
 def _trailing(spark: SparkSession, d: str) -> DataFrame:
-    return risk.trailing_returns(V.prices(spark, d).where("security_id < 40"), AS_OF, 120)
+    return risk.trailing_returns(V.prices(spark, d), AS_OF, 120)
 
 
 @query(_COV + " SELECT id_i, id_j, round(cov, 6) AS cov FROM cv")
 def pairwise_covariance(spark: SparkSession, d: str) -> DataFrame:
-    """Zero-filled trailing covariance of a candidate pool of 40 names."""
+    """Zero-filled trailing covariance of all names that traded often enough up to the date; pairs grow with the square of the names."""
     return rounded(risk.covariance(_trailing(spark, d)))
 
 

@@ -27,3 +27,9 @@ def test_returns_of_all_names(spark):
 def test_pbo_of_all_names_over_70_splits(spark):
     blocks = [("* 6 / n), 5)", "* 8 / n), 7)"), ("range(0, 64)", "range(0, 256)"), ("bit_count(i::INT) = 3", "bit_count(i::INT) = 4")]
     same(spark, registry.QUERIES["pbo"], uncut("pbo", NAMES, *blocks))
+
+
+def test_risk_of_all_names(spark):
+    for name in ("betas", "pairwise_covariance", "risk_contribution"):
+        same(spark, registry.QUERIES[name], uncut(name, (" AND security_id < 40", "")), "/root/testdata/sf0.01")
+    assert registry.QUERIES["shrunk_covariance"](spark, "/root/testdata/sf0.01").select("id_i").distinct().count() > 40
