@@ -248,8 +248,8 @@ def factor_composite_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def walk_forward_elastic_net(spark: SparkSession, d: str) -> DataFrame:
-    """Out-of-sample rank IC by fold of an elastic net on ranked features, with purge and embargo."""
-    p = splits.split_panel(_panel(spark, d), _schedule(spark).where("fold < 2"), V.sessions(spark, d), embargo=5)
+    """Out-of-sample rank IC by fold, over all folds of the schedule, of an elastic net on ranked features, with purge and embargo."""
+    p = splits.split_panel(_panel(spark, d), _schedule(spark), V.sessions(spark, d), embargo=5)
     scores = models.run_folds(p, FACTORS, "excess_return", ["elastic_net"])
     ic = metrics.ic_by_date(scores.where("split = 'test'").join(p.select("security_id", "as_of", "fold", "excess_return"), ["security_id", "as_of", "fold"]), "prediction", "excess_return", ["model", "fold"])
     return rounded(metrics.ic_summary(ic, ["model", "fold"]))

@@ -4,8 +4,11 @@ The SQL of some queries takes a part of the names or of the years; ``uncut`` giv
 with that part widened to the whole, for these tests only.
 """
 
-from panelspark.plans import registry
-from tests.oracle import same
+import pytest
+
+from panelspark.operators import models
+from panelspark.plans import registry, states
+from tests.oracle import DIR, same
 
 
 def uncut(name: str, *cuts: tuple[str, str]) -> str:
@@ -33,3 +36,19 @@ def test_risk_of_all_names(spark):
     for name in ("betas", "pairwise_covariance", "risk_contribution"):
         same(spark, registry.QUERIES[name], uncut(name, (" AND security_id < 40", "")), "/root/testdata/sf0.01")
     assert registry.QUERIES["shrunk_covariance"](spark, "/root/testdata/sf0.01").select("id_i").distinct().count() > 40
+
+
+def test_walk_forward_fits_every_fold(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def run_folds(panel, *args):
+        seen.extend(r["fold"] for r in panel.select("fold").distinct().collect())
+        raise Stop
+
+    monkeypatch.setattr(models, "run_folds", run_folds)
+    with pytest.raises(Stop):
+        registry.QUERIES["walk_forward_elastic_net"](spark, DIR)
+    assert sorted(seen) == sorted(r["fold"] for r in states._schedule(spark).collect()) and len(seen) == 7
