@@ -42,9 +42,9 @@ s AS (SELECT d::DATE AS session FROM generate_series((SELECT greatest(min(l_ship
   WHERE dayofweek(d) NOT IN (0, 6) AND d::DATE NOT IN (SELECT d FROM hol))
 SELECT session, row_number() OVER (ORDER BY session)::INT - 1 AS idx FROM s""")
 def session_table(spark: SparkSession, d: str) -> DataFrame:
-    """Exchange sessions over the span of the data from 1997 on."""
+    """Exchange sessions over the span of the data."""
     lo, hi = V.table(spark, d, "lineitem").agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
-    return calendar.sessions(spark, max(lo, date(1997, 1, 1)), hi)
+    return calendar.sessions(spark, lo, hi)
 
 
 @query(V.with_sql(V.SESSIONS) + """

@@ -52,3 +52,8 @@ def test_walk_forward_fits_every_fold(spark, monkeypatch):
     with pytest.raises(Stop):
         registry.QUERIES["walk_forward_elastic_net"](spark, DIR)
     assert sorted(seen) == sorted(r["fold"] for r in states._schedule(spark).collect()) and len(seen) == 7
+
+
+def test_sessions_of_all_years(spark):
+    years = ("range(1997, 2003)", "range((SELECT min(year(l_shipdate)) FROM lineitem)::INT, (SELECT max(year(l_shipdate)) FROM lineitem)::INT + 2)")
+    same(spark, registry.QUERIES["session_table"], uncut("session_table", years, ("greatest(min(l_shipdate), DATE '1997-01-01')", "min(l_shipdate)")))
