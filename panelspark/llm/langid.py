@@ -9,6 +9,9 @@ sequence of words where each change of language costs ``PENALTY``: spans of mixe
 come out as runs of one label.  A document's language is the one with most of its
 lettered words (on ties the first by code point); its score is that share.
 
+A letter is any character of the Unicode categories L*; those outside the listed blocks
+are of the script "letters", which narrows no languages.
+
 Null text, text without a letter and an empty model give ``und`` with score 0; words
 without letters count for no language.  Texts of any length are labelled whole: the
 sequence step runs over all documents of a slice at once.  Rows are independent of each
@@ -18,6 +21,7 @@ result column.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,16 +38,35 @@ PENALTY = 12.0
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 SLICE = 512 << 10
-#: First code points of script ranges and their names (fixed values).
-SCRIPTS = (
-    (0x0, "other"), (0x41, "Latin"), (0x5B, "other"), (0x61, "Latin"), (0x7B, "other"), (0xC0, "Latin"), (0x250, "other"), (0x370, "Greek"), (0x400, "Cyrillic"),
-    (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "other"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "other"), (0xB80, "Tamil"),
-    (0xC00, "other"), (0xE00, "Thai"), (0xE80, "other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "other"), (0x1E00, "Latin"), (0x1F00, "Greek"),
-    (0x2000, "other"), (0x3040, "Kana"), (0x3100, "other"), (0x3400, "Han"), (0xA000, "other"), (0xAC00, "Hangul"), (0xD7B0, "other"),
+#: Scripts by code block (fixed values): first and last code point of ranges whose letters belong to it; other letters are "letters".
+BLOCKS = (
+    ("Latin", 0x0, 0x24F), ("Latin", 0x1E00, 0x1EFF), ("Latin", 0x2C60, 0x2C7F), ("Latin", 0xA720, 0xA7FF), ("Latin", 0xAB30, 0xAB6F), ("Latin", 0xFB00, 0xFB06), ("Latin", 0xFF21, 0xFF5A),
+    ("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF), ("Cyrillic", 0x400, 0x52F), ("Cyrillic", 0x1C80, 0x1C8F), ("Cyrillic", 0xA640, 0xA69F), ("Armenian", 0x530, 0x58F), ("Armenian", 0xFB13, 0xFB17),
+    ("Hebrew", 0x590, 0x5FF), ("Hebrew", 0xFB1D, 0xFB4F), ("Arabic", 0x600, 0x6FF), ("Arabic", 0x750, 0x77F), ("Arabic", 0x870, 0x8FF), ("Arabic", 0xFB50, 0xFDFF), ("Arabic", 0xFE70, 0xFEFE),
+    ("Syriac", 0x700, 0x74F), ("Thaana", 0x780, 0x7BF), ("Nko", 0x7C0, 0x7FF), ("Devanagari", 0x900, 0x97F), ("Devanagari", 0xA8E0, 0xA8FF), ("Bengali", 0x980, 0x9FF), ("Gurmukhi", 0xA00, 0xA7F),
+    ("Gujarati", 0xA80, 0xAFF), ("Oriya", 0xB00, 0xB7F), ("Tamil", 0xB80, 0xBFF), ("Telugu", 0xC00, 0xC7F), ("Kannada", 0xC80, 0xCFF), ("Malayalam", 0xD00, 0xD7F), ("Sinhala", 0xD80, 0xDFF),
+    ("Thai", 0xE00, 0xE7F), ("Lao", 0xE80, 0xEFF), ("Tibetan", 0xF00, 0xFFF), ("Myanmar", 0x1000, 0x109F), ("Myanmar", 0xA9E0, 0xA9FF), ("Myanmar", 0xAA60, 0xAA7F), ("Georgian", 0x10A0, 0x10FF),
+    ("Georgian", 0x1C90, 0x1CBF), ("Georgian", 0x2D00, 0x2D2F), ("Hangul", 0x1100, 0x11FF), ("Hangul", 0x3130, 0x318F), ("Hangul", 0xA960, 0xA97F), ("Hangul", 0xAC00, 0xD7FF), ("Hangul", 0xFFA0, 0xFFDC),
+    ("Ethiopic", 0x1200, 0x139F), ("Ethiopic", 0x2D80, 0x2DDF), ("Ethiopic", 0xAB00, 0xAB2F), ("Cherokee", 0x13A0, 0x13FF), ("Cherokee", 0xAB70, 0xABBF), ("Syllabics", 0x1400, 0x167F),
+    ("Syllabics", 0x18B0, 0x18FF), ("Khmer", 0x1780, 0x17FF), ("Mongolian", 0x1800, 0x18AF), ("Kana", 0x3040, 0x30FF), ("Kana", 0x31F0, 0x31FF), ("Kana", 0xFF66, 0xFF9D), ("Kana", 0x1B000, 0x1B16F),
+    ("Bopomofo", 0x3100, 0x312F), ("Bopomofo", 0x31A0, 0x31BF), ("Han", 0x3005, 0x3007), ("Han", 0x3400, 0x9FFF), ("Han", 0xF900, 0xFAFF), ("Han", 0x20000, 0x3FFFF), ("Yi", 0xA000, 0xA4CF),
 )
-_NAMES = sorted({n for _, n in SCRIPTS} - {"other"})
-_FROM = np.array([a for a, _ in SCRIPTS])
-_SCRIPT = np.array([_NAMES.index(n) if n != "other" else -1 for _, n in SCRIPTS])
+#: The script of letters outside all blocks; it narrows no languages.
+ANY = "letters"
+_NAMES = sorted({n for n, _, _ in BLOCKS} | {ANY})
+
+
+def _letters() -> np.ndarray:
+    """Script of every code point, -1 where it is not a letter (categories L*)."""
+    out = np.full(0x110000, -1, np.int8)
+    out[[c for c in range(0x40000) if unicodedata.category(chr(c))[0] == "L"]] = _NAMES.index(ANY)
+    for name, first, last in BLOCKS:
+        part = out[first : last + 1]
+        part[part >= 0] = _NAMES.index(name)
+    return out
+
+
+_SCRIPT = _letters()
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -59,13 +82,12 @@ def _scripts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     """Script of each word: that of its first letter; -1 for words without letters."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     b = data[lead].astype(np.int64)
-    more = [np.zeros(len(lead), np.int64) for _ in range(2)]
-    for i in (1, 2):
-        at = np.minimum(lead + i, len(data) - 1)
-        more[i - 1] = data[at].astype(np.int64) & 0x3F
-    point = np.where(b < 0x80, b, np.where(b < 0xE0, (b & 0x1F) << 6 | more[0], np.where(b < 0xF0, (b & 0xF) << 12 | more[0] << 6 | more[1], 0x10000)))
-    kind = _SCRIPT[np.searchsorted(_FROM, point, side="right") - 1]
-    kind[point >= 0x10000] = -1
+    point = b.copy()
+    long = np.flatnonzero(b >= 0xC0)  # characters of more than one byte
+    c, last = b[long], len(data) - 1
+    one, two, three = (data[np.minimum(lead[long] + i, last)].astype(np.int64) & 0x3F for i in (1, 2, 3))
+    point[long] = np.where(c < 0xE0, (c & 0x1F) << 6 | one, np.where(c < 0xF0, (c & 0xF) << 12 | one << 6 | two, np.minimum((c & 0x7) << 18 | one << 12 | two << 6 | three, 0x10FFFF)))
+    kind = _SCRIPT[point]
     lettered = kind >= 0
     where, kind = lead[lettered], kind[lettered]
     at = np.searchsorted(where, starts)
@@ -166,6 +188,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     words = n[SLOTS:]
     allowed = words >= 0.001 * np.maximum(words.sum(axis=0), 1)
     allowed[~allowed.any(axis=1)] = True
+    allowed[_NAMES.index(ANY)] = True
     return Model(langs, log.astype(np.float32), allowed)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -294,3 +295,18 @@ def test_pipeline(spark, tmp_path):
     got = Counter(r["doc_id"] for r in out.select("doc_id").collect())
     assert set(got) <= stay and max(got.values()) <= 3
     assert abs(sum(sized[i] * n for i, n in got.items()) - sum(sized.values())) <= 4 * max(sized.values())
+
+
+def test_langid_counts_letters_of_every_script(spark):
+    words = {"te": ["తెలుగు", "నీరు", "ఇల్లు"], "am": ["ውሃ", "ቤት", "ሰላም"], "km": ["ទឹក", "ផ្ទះ"], "got": ["𐌰𐍄𐍄𐌰", "𐌿𐌽𐍃𐌰𐍂"], "en": ["water", "house", "the"]}
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice(words[g]) for _ in range(20)), g) for i, g in enumerate(list(words) * 10)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = [(1, "నీరు ఇల్లు నీరు the నీరు"), (2, "ቤት ሰላም"), (3, "ទឹក ផ្ទះ"), (4, "𐌿𐌽𐍃𐌰𐍂"), (5, "ｗａｔｅｒ"), (6, "١٢ ❤ – 12"), (7, "𝟙 😀"), (8, "ㄅㄆ")]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["te", "am", "km", "got"]
+    assert "und" not in (got[5], got[8]) and got[6] == got[7] == "und"
+    letters = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]
+    data = np.frombuffer("".join(map(chr, letters)).encode(), np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    assert (langid._scripts(data, starts, np.append(starts[1:], len(data))) >= 0).all()
