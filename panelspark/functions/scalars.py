@@ -37,7 +37,7 @@ MIDDLE = (
     (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
 )
 TAIL = (
-    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732537539343e00, 4.374664141464968e00, 2.938163982698783e00),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
     (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
 )
 EDGE = 0.02425

@@ -64,9 +64,12 @@ def numbered(days: DataFrame) -> DataFrame:
 
 def snapped(dates: DataFrame, cal: DataFrame, day: str) -> DataFrame:
     """``dates`` with idx of the session on or after the day (null after the last one)."""
-    spans = cal.withColumn("_after", F.lag("session").over(Window.orderBy("session")))
-    hit = (F.col(day) <= F.col("session")) & (F.col("_after").isNull() | (F.col(day) > F.col("_after")))
-    return dates.join(F.broadcast(spans.select("session", "idx", "_after")), hit, "left").drop("session", "_after")
+    spans = cal.withColumn("_from", F.coalesce(F.date_add(F.lag("session").over(Window.orderBy("session")), 1), "session"))
+    # every day of the calendar's span to its session: a row a day, met by equality
+    days = spans.select("idx", F.explode(F.sequence("_from", "session")).alias("_day"))
+    first = cal.agg(F.min("session").alias("_first"), F.min("idx").alias("_idx"))
+    out = dates.join(F.broadcast(days), F.col(day) == F.col("_day"), "left").crossJoin(F.broadcast(first))
+    return out.withColumn("idx", F.when(F.col(day) < F.col("_first"), F.col("_idx")).otherwise(F.col("idx"))).drop("_day", "_first", "_idx")
 
 
 def shifted(dates: DataFrame, cal: DataFrame, day: str, n: int, name: str = "shifted") -> DataFrame:

@@ -19,6 +19,7 @@ from panelspark.functions.scalars import clean
 from panelspark.functions.windows import ID, average_rank
 from panelspark.operators.metrics import ic_by_date
 from panelspark.operators.preprocess import apply, fit
+from panelspark.sources.shared import written
 
 KEY = [ID, "as_of"]
 
@@ -186,23 +187,32 @@ def bounded_search(train: DataFrame, validation: DataFrame, features: Sequence[s
 
 
 def ensemble_weights(ic: Mapping[str, float], floor: float = 0.05, cap: float = 0.6, previous: Mapping[str, float] | None = None, smoothing: float = 0.0, is_holdout: bool = False) -> dict[str, float]:
-    """Weights by positive validation IC within floor and cap, smoothed with the previous ones; holdout ICs are refused."""
+    """Weights by positive validation IC, scaled in proportion within floor and cap, smoothed with the previous ones.
+
+    Holdout ICs are refused, and so is a cap that the members cannot add up to one under.
+    """
     if is_holdout:
         raise PermissionError("ensemble weights must not use the holdout")
     names = sorted(ic)
     w = {n: max(ic[n] or 0.0, 0.0) for n in names}
     total = sum(w.values())
     w = {n: w[n] / total if total else 1 / len(names) for n in names}
-    cap = max(cap, 1 / len(names))
-    floor = min(floor, 1 / len(names))
+    if cap * len(names) < 1 - 1e-9:
+        raise ValueError(f"{len(names)} members of at most {cap} each do not add up to one")
+    low = min(floor, 1 / len(names))
+
+    def held(x: dict[str, float]) -> dict[str, float]:
+        return {n: min(max(v, low), cap) for n, v in x.items()}
+
+    # bounds and scaling in turn; both hold where the sum of the bounded weights is one
+    w = held(w)
     for _ in range(100):
-        fixed = {n: min(max(x, floor), cap) for n, x in w.items()}
-        gap = 1 - sum(fixed.values())
-        free = [n for n in names if (fixed[n] < cap if gap > 0 else fixed[n] > floor)]
-        if abs(gap) < 1e-12 or not free:
-            w = fixed
+        total = sum(w.values())
+        if abs(total - 1) < 1e-12:
             break
-        w = {n: fixed[n] + (gap / len(free) if n in free else 0) for n in names}
+        w = held({n: x / total for n, x in w.items()})
+    total = sum(w.values())
+    w = {n: x / total for n, x in w.items()}
     if previous:
         w = {n: (1 - smoothing) * w[n] + smoothing * previous.get(n, w[n]) for n in names}
         total = sum(w.values())
@@ -241,17 +251,22 @@ def run_folds(panel: DataFrame, features: Sequence[str], target: str, models: Se
     Preprocessing is fitted on the fold's training rows.
     """
     out = None
+    # read once a fold and model, so it is not worked out anew each time
+    panel = written(panel.select(*KEY, "fold", "split", *features, target), "folds")
     for fold in sorted(r["fold"] for r in panel.select("fold").distinct().collect()):  # a row a fold
         part = panel.where(F.col("fold") == fold)
         train = part.where("split = 'train'")
         stats = fit(train, features)
-        ready = apply(part, stats, features, how, flags=False).persist()
+        ready = written(apply(part, stats, features, how, flags=False), "ready")
         for name in models:
             kw = {} if name == "elastic_net" else {"seed": seed_of(run_id, name, fold)}
             m = FITTERS[name](ready.where("split = 'train'"), features, target, **kw)
             rest = ready.where("split <> 'train'")
             p = m.predict(rest).join(rest.select(*KEY, "split"), KEY).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "split", *KEY, "prediction", "cross_sectional_rank")
+            p = written(p, "predictions")
             out = p if out is None else out.unionByName(p)
+    if out is None:
+        return panel.sparkSession.createDataFrame([], f"model string, fold int, split string, {ID} string, as_of date, prediction double, cross_sectional_rank double")
     return out
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.windows import average_rank
-from panelspark.operators import ledger, risk, trades, weights
+from panelspark.operators import grid, ledger, risk, trades, weights
 from panelspark.plans import views as V
 from panelspark.plans.features import rounded
 from panelspark.plans.research import _ar
 from panelspark.plans.states import _FEAT, feature_panel
+from panelspark.sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -111,7 +112,17 @@ def trade_costs_by_scenario(spark: SparkSession, d: str) -> DataFrame:
     return by.select("cost_scenario", "fill_date", "n", "n_sells", F.round("notional", 2).alias("notional"), F.round("total_cost", 2).alias("total_cost"))
 
 
-@query()
+_CURVE = _TRADES + """, hf AS (SELECT ew.security_id, ew.weight, c2.session AS f FROM ew JOIN cal c1 ON c1.session = ew.as_of JOIN cal c2 ON c2.idx = c1.idx + 1),
+fe AS (SELECT f, lead(f) OVER (ORDER BY f) AS e FROM (SELECT DISTINCT f FROM hf)),
+lv AS (SELECT security_id, weight, hf.f, e, session AS d FROM hf JOIN fe USING (f) JOIN cal ON session >= f AND (e IS NULL OR session <= e)),
+lb AS (SELECT lv.*, px.close AS q FROM lv ASOF LEFT JOIN px ON px.security_id = lv.security_id AND px.observation_date <= lv.d),
+l0 AS (SELECT *, first_value(q IGNORE NULLS) OVER (PARTITION BY security_id, f ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q0 FROM lb),
+sg AS (SELECT f, e, d, sum(weight * coalesce(q / q0, 1)) + 1 - sum(weight) AS g FROM l0 GROUP BY 1, 2, 3), cs AS (SELECT fill_date AS f, sum(cost) / 1e4 AS c FROM tc GROUP BY 1),
+s2 AS (SELECT sg.*, coalesce(c, 0) AS c FROM sg LEFT JOIN cs USING (f)), en AS (SELECT e AS f, ln(g) AS lg FROM s2 WHERE d = e),
+sb AS (SELECT f, exp(sum(coalesce(lg, 0) + ln(greatest(1 - c, 1e-12))) OVER (ORDER BY f)) AS base FROM (SELECT DISTINCT f, c FROM s2) LEFT JOIN en USING (f))"""
+
+
+@query(_CURVE + " SELECT d AS as_of, round(g, 6) AS segment_growth, round(c, 6) AS cost_fraction, round(base * g, 6) AS value FROM s2 JOIN sb USING (f) WHERE e IS NULL OR d < e")
 def equity_curve(spark: SparkSession, d: str) -> DataFrame:
     """Net value of the same strategy, costs as a fraction of the value at the previous rebalance."""
     t = _trades(spark, d).where("cost_scenario = 'base'").groupBy("fill_date").agg((F.sum("total_cost") / 1e4).alias("cost_fraction"))
@@ -119,6 +130,51 @@ def equity_curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.select("as_of", "segment_growth", "cost_fraction", "value"))
 
 
+_GRID = _CAND + _capped("k - min(k) OVER (PARTITION BY as_of) + 1e-6", 0.15) + f""",
+sw AS (SELECT 'equal_10' AS strategy, as_of, security_id, least(1.0 / count(*) OVER (PARTITION BY as_of), 0.2)::DOUBLE AS weight FROM tp UNION ALL SELECT 'score_10', as_of, security_id, w FROM fin),
+gd AS (SELECT strategy, as_of, lead(as_of) OVER (PARTITION BY strategy ORDER BY as_of) AS nx FROM (SELECT DISTINCT strategy, as_of FROM sw)),
+gp AS (SELECT strategy, nx AS as_of, security_id, weight AS p FROM sw JOIN gd USING (strategy, as_of) WHERE nx IS NOT NULL),
+gm AS (SELECT strategy, as_of, security_id, coalesce(weight, 0) AS w, coalesce(p, 0) AS p FROM sw FULL JOIN gp USING (strategy, as_of, security_id)),
+{V.SESSIONS}, gf AS (SELECT gm.*, delay, c2.session AS f FROM gm JOIN cal c1 ON c1.session = gm.as_of, (VALUES (1), (2), (5)) dl(delay) JOIN cal c2 ON c2.idx = c1.idx + delay),
+gq AS (SELECT gf.*, px.close FROM gf ASOF LEFT JOIN px ON px.security_id = gf.security_id AND px.observation_date <= gf.f),
+lq AS (SELECT security_id, observation_date, CASE WHEN count(dollar_volume) OVER a >= 5 THEN avg(dollar_volume) OVER a END AS adv, CASE WHEN count(r) OVER b >= 20 THEN stddev_samp(r) OVER b * sqrt(252) END AS vol
+  FROM (SELECT *, close / lag(close) OVER (PARTITION BY security_id ORDER BY observation_date) - 1 AS r FROM px)
+  WINDOW a AS (PARTITION BY security_id ORDER BY observation_date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), b AS (PARTITION BY security_id ORDER BY observation_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+gt AS (SELECT gq.*, lq.adv, lq.vol, abs((w - p) * 1e4) AS n FROM gq ASOF LEFT JOIN lq ON lq.security_id = gq.security_id AND lq.observation_date <= gq.as_of WHERE gq.close > 0),
+gc AS (SELECT strategy, delay, f, s.cost_scenario, count(*) AS n, sum(x * (n * 0.5 / 1e4 + n * 2.0 / 1e4 * CASE WHEN adv > 0 THEN least(greatest(sqrt(1e7 / adv), 0.5), 10) ELSE 3 END + n * 1.0 / 1e4
+  + 0.1 * coalesce(vol, 0.3) / sqrt(252) * sqrt(CASE WHEN adv > 0 THEN n / adv ELSE 0.05 END) * n)) / 1e4 AS c
+  FROM gt, (VALUES ('zero', 0.0), ('base', 1.0), ('double', 2.0), ('triple', 3.0)) s(cost_scenario, x) WHERE n >= 1 GROUP BY 1, 2, 3, 4),
+ge AS (SELECT strategy, delay, f, lead(f) OVER (PARTITION BY strategy, delay ORDER BY f) AS e FROM (SELECT DISTINCT strategy, delay, f FROM gf)),
+gh AS (SELECT gq.*, ge.e FROM gq JOIN ge USING (strategy, delay, f) WHERE w > 0 AND e IS NOT NULL),
+gg AS (SELECT strategy, delay, f, sum(w * coalesce(q / close, 1)) + 1 - sum(w) AS g FROM (SELECT gh.*, p2.close AS q FROM gh ASOF LEFT JOIN px p2 ON p2.security_id = gh.security_id AND p2.observation_date <= gh.e) GROUP BY 1, 2, 3),
+grid AS (SELECT strategy, delay::INT AS delay, sc.cost_scenario, count(*) AS n_rebalances, coalesce(sum(n), 0)::BIGINT AS n_trades, round(sum(coalesce(c, 0)), 6) AS cost_fraction, round(min(coalesce(g, 1)) - 1, 6) AS worst_segment,
+  round(sum(ln(coalesce(g, 1)) + ln(greatest(1 - coalesce(c, 0), 1e-12))), 6) AS log_growth
+  FROM ge CROSS JOIN (SELECT DISTINCT cost_scenario FROM gc) sc LEFT JOIN gc USING (strategy, delay, f, cost_scenario) LEFT JOIN gg USING (strategy, delay, f) GROUP BY 1, 2, 3)"""
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    c = written(_candidates(spark, d), "candidates")
+    both = {"equal_10": weights.equal_weight(c, 10, 0.2), "score_10": weights.score_weight(c, 10, 0.15)}
+    w = None
+    for name, df in both.items():
+        one = df.select(F.lit(name).alias("strategy"), "as_of", "security_id", "weight")
+        w = one if w is None else w.unionByName(one)
+    return grid.scenario_grid(written(w, "weights"), written(V.prices(spark, d), "prices"), V.sessions(spark, d), 1e4, (1, 2, 5))
+
+
+@query(_GRID + " SELECT * FROM grid")
+def scenario_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Two constructors under three delays and four cost scenarios."""
+    return rounded(_grid(spark, d))
+
+
+@query(_GRID + """ SELECT CASE WHEN strategy <> 'equal_10' THEN 'portfolio:' || strategy WHEN delay <> 1 THEN 'delay:' || delay WHEN cost_scenario <> 'base' THEN 'cost:' || cost_scenario ELSE 'base' END AS "case", * FROM grid
+WHERE (strategy <> 'equal_10')::INT + (delay <> 1)::INT + (cost_scenario <> 'base')::INT <= 1""")
+def stress_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The grid's cells one step away from equal weights, one session of delay and base costs."""
+    return rounded(grid.stress_cases(_grid(spark, d), "equal_10"))
+
+
 @query(V.with_sql(V.SECURITIES) + """ SELECT me.as_of, sector, round(count(*) / sum(count(*)) OVER (PARTITION BY me.as_of), 6)::DOUBLE AS weight FROM px JOIN (SELECT max(observation_date) AS as_of FROM li GROUP BY date_trunc('month', observation_date)) me ON px.observation_date = me.as_of JOIN sec USING (security_id) GROUP BY 1, 2""")
 def universe_sector_weights(spark: SparkSession, d: str) -> DataFrame:
     p = V.prices(spark, d).withColumnRenamed("observation_date", "as_of").join(F.broadcast(V.month_ends(spark, d)), "as_of").join(V.securities(spark, d).select("security_id", "sector"), "security_id")

@@ -7,11 +7,13 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import factors, metrics, models, overfit, preprocess, results, risk, scorecard, splits, stress
+from panelspark.operators import factors, labels, metrics, models, overfit, panel, preprocess, results, risk, scorecard, splits, stress, universe
+from panelspark.operators.features_price import price_features
 from panelspark.plans import views as V
 from panelspark.plans.features import _W, rounded
-from panelspark.plans.states import _FEAT, _LABELS, _labels, _schedule, feature_panel
+from panelspark.plans.states import _FEAT, _LABELS, _SCREENS, _UNIVERSE, FEATURES, _labels, _schedule, feature_panel
 from panelspark.sources import writers
+from panelspark.sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,6 +39,34 @@ _PANEL = _LABELS + ", " + _FEAT[len(V.with_sql(V.BENCH, V.MONTH_ENDS, V.SECURITI
 pn AS (SELECT fx.*, l2.excess_return, l2.raw_return FROM fx JOIN l2 USING (security_id, as_of))"""
 
 
+_BUILT = _PANEL + f", {V.MEMBERSHIP}, {V.MONTH_ENDS}" + _UNIVERSE[len(V.with_sql(V.SECURITIES, V.MEMBERSHIP, V.MONTH_ENDS)) :]
+
+
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Universe, features and labels at month ends, from bars that are worked out once."""
+    p, b, s = written(V.prices(spark, d), "prices"), written(V.benchmark(spark, d), "benchmark"), V.securities(spark, d)
+    me = written(b.groupBy(F.trunc("observation_date", "month")).agg(F.max("observation_date").alias("as_of")).select("as_of"), "month_ends")
+    names = universe.universe_panel(me, V.membership(spark, d), s, p, _SCREENS)
+    features = price_features(p, b).join(F.broadcast(me), "as_of", "left_semi").select("security_id", "as_of", *FEATURES)
+    return names, features, labels.forward_labels(p, b, s, 21, 1, me)
+
+
+@query(_BUILT + """ SELECT u.as_of, u.security_id, u.sector, round(momentum_21d, 6) AS momentum_21d, round(volatility_20d, 6) AS volatility_20d, round(adv_21d, 6) AS adv_21d, window_end, round(l.excess_return, 6) AS excess_return
+FROM ex u LEFT JOIN fx ON fx.security_id = u.security_id AND fx.as_of = u.as_of JOIN l2 l ON l.security_id = u.security_id AND l.as_of = u.as_of WHERE rule IS NULL""")
+def panel_build(spark: SparkSession, d: str) -> DataFrame:
+    """The research panel: eligible names with features and labels at month ends."""
+    out = panel.research_panel(*_parts(spark, d))
+    return rounded(out.select("as_of", "security_id", "sector", *FEATURES, "window_end", "excess_return"))
+
+
+@query(_BUILT + """ SELECT u.as_of, u.security_id, round(momentum_21d, 6) AS momentum_21d, round(adv_21d, 6) AS adv_21d FROM ex u LEFT JOIN fx ON fx.security_id = u.security_id AND fx.as_of = u.as_of
+WHERE rule IS NULL AND u.as_of = (SELECT max(as_of) FROM ex WHERE rule IS NULL)""")
+def scoring_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The newest date's eligible names with features, without labels."""
+    names, features, _ = _parts(spark, d)
+    return rounded(panel.latest(panel.scoring_panel(names, features)).select("as_of", "security_id", "momentum_21d", "adv_21d"))
+
+
 def _ar(x: str, by: str) -> str:
     return f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0)"
 
@@ -94,7 +124,7 @@ def factor_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RET = V.with_sql(V.BENCH, V.SECURITIES) + f""",
-r9 AS (SELECT security_id AS strategy, observation_date AS as_of, close / lag(close) OVER ({_W}) - 1 AS r FROM px WHERE security_id % 10 < 3),
+r9 AS (SELECT security_id AS strategy, observation_date AS as_of, close / lag(close) OVER ({_W}) - 1 AS r FROM px),
 b9 AS (SELECT observation_date AS as_of, close / lag(close) OVER (ORDER BY observation_date) - 1 AS b FROM bm), ret AS (SELECT r9.*, b9.b FROM r9 JOIN b9 USING (as_of) WHERE r IS NOT NULL AND b IS NOT NULL)"""
 
 
@@ -135,8 +165,8 @@ def sharpe_probabilities(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PBO_T = """, t AS (SELECT strategy, r, dense_rank() OVER (ORDER BY as_of) - 1 AS t FROM ret),
-n AS (SELECT max(t) + 1 AS n, min(t) AS a FROM t), bk AS (SELECT strategy, least(floor((t - a) * 6 / n), 5)::INT AS b, count(r) AS c, sum(r) AS s, sum(r * r) AS q FROM t, n GROUP BY 1, 2),
-cb AS (SELECT i AS split FROM range(0, 64) x(i) WHERE bit_count(i::INT) = 3),
+n AS (SELECT max(t) + 1 AS n, min(t) AS a FROM t), bk AS (SELECT strategy, least(floor((t - a) * 8 / n), 7)::INT AS b, count(r) AS c, sum(r) AS s, sum(r * r) AS q FROM t, n GROUP BY 1, 2),
+cb AS (SELECT i AS split FROM range(0, 256) x(i) WHERE bit_count(i::INT) = 4),
 m AS (SELECT split, (split::INT >> b) & 1 AS inside, strategy, sum(c) AS c, sum(s) AS s, sum(q) AS q FROM bk, cb GROUP BY 1, 2, 3),
 sr AS (SELECT *, CASE WHEN c > 1 AND (q - s * s / c) / (c - 1) > 1e-20 THEN s / c / sqrt((q - s * s / c) / (c - 1)) ELSE 0 END AS sr FROM m),
 be AS (SELECT split, arg_max(strategy, (sr, strategy)) AS best FROM sr WHERE inside = 1 GROUP BY 1),
@@ -164,7 +194,7 @@ def half_sample_sharpe(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COV = V.with_sql(V.BENCH) + f""",
-k AS (SELECT security_id, observation_date AS d, close / lag(close) OVER ({_W}) - 1 AS r FROM px WHERE observation_date <= DATE '2000-06-30' AND security_id < 40),
+k AS (SELECT security_id, observation_date AS d, close / lag(close) OVER ({_W}) - 1 AS r FROM px WHERE observation_date <= DATE '2000-06-30'),
 w AS (SELECT * FROM k WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY d DESC) <= 120),
 u AS (SELECT * FROM w WHERE security_id IN (SELECT security_id FROM w GROUP BY 1 HAVING count(*) >= 60)),
 gr AS (SELECT i.security_id, t.d, coalesce(u.r, 0) AS r FROM (SELECT DISTINCT security_id FROM u) i CROSS JOIN (SELECT DISTINCT d FROM u) t LEFT JOIN u ON u.security_id = i.security_id AND u.d = t.d),
@@ -190,7 +220,12 @@ def risk_contribution(spark: SparkSession, d: str) -> DataFrame:
     return rounded(risk.risk_contributions(ids.crossJoin(n).select("security_id", (1 / F.col("n")).alias("weight")), cov))
 
 
-@query()
+@query(_COV + """, dn AS (SELECT count(DISTINCT d) AS n FROM u), mn AS (SELECT security_id, sum(r) / (SELECT n FROM dn) AS m FROM u GROUP BY 1), mq AS (SELECT sum(m * m) AS mm FROM mn),
+nr AS (SELECT d, sum(r * r - 2 * r * m) AS q FROM u JOIN mn USING (security_id) GROUP BY 1), f4 AS (SELECT sum((q + mm) ** 2) AS f FROM nr, mq),
+sz AS (SELECT sqrt(count(*)) AS p, sum(CASE WHEN id_i = id_j THEN cov END) AS tr, sum(cov * cov) AS ss FROM cv),
+ab AS (SELECT tr / p AS mu, p, n, f, ss / (252.0 * 252.0) * ((n - 1.0) / n) ** 2 AS s2, tr / 252.0 * (n - 1.0) / n / p AS m2 FROM sz, dn, f4),
+ai AS (SELECT mu, CASE WHEN s2 - p * m2 * m2 > 0 THEN least(greatest((f / n - s2) / n / (s2 - p * m2 * m2), 0), 1) ELSE 1.0 END::DOUBLE AS a FROM ab)
+SELECT id_i, id_j, round((1 - a) * cov + CASE WHEN id_i = id_j THEN a * mu ELSE 0 END, 6) AS cov, round(a, 6) AS intensity FROM cv, ai""")
 def shrunk_covariance(spark: SparkSession, d: str) -> DataFrame:
     r = _trailing(spark, d)
     return rounded(risk.shrunk(risk.covariance(r), returns=r))
@@ -249,7 +284,7 @@ def factor_composite_score(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def walk_forward_elastic_net(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-sample rank IC by fold, over all folds of the schedule, of an elastic net on ranked features, with purge and embargo."""
-    p = splits.split_panel(_panel(spark, d), _schedule(spark), V.sessions(spark, d), embargo=5)
+    p = written(splits.split_panel(_panel(spark, d), _schedule(spark), V.sessions(spark, d), embargo=5), "panel")
     scores = models.run_folds(p, FACTORS, "excess_return", ["elastic_net"])
     ic = metrics.ic_by_date(scores.where("split = 'test'").join(p.select("security_id", "as_of", "fold", "excess_return"), ["security_id", "as_of", "fold"]), "prediction", "excess_return", ["model", "fold"])
     return rounded(metrics.ic_summary(ic, ["model", "fold"]))

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""WITH RECURSIVE y AS (SELECT unnest(range(1997, 2003)) AS y), h0 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
+@query("""WITH RECURSIVE y AS (SELECT unnest(range((SELECT min(year(l_shipdate)) FROM lineitem)::INT, (SELECT max(year(l_shipdate)) FROM lineitem)::INT + 2)) AS y), h0 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
 h1 AS (SELECT *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 AS h FROM h0), h2 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS m FROM h1),
 h3 AS (SELECT *, (a + 11 * h + 22 * m) // 451 AS n FROM h2), e AS (SELECT y, make_date(y, (h + m - 7 * n + 114) // 31, (h + m - 7 * n + 114) % 31 + 1) AS easter FROM h3),
 f AS (SELECT y, unnest([make_date(y, 7, 4), make_date(y, 12, 25)]) AS d FROM y),
@@ -38,7 +38,7 @@ hol AS (SELECT CASE dayofweek(d) WHEN 0 THEN d + 1 WHEN 6 THEN d - 1 ELSE d END
   UNION ALL SELECT make_date(y, 2, 1) + ((8 - dayofweek(make_date(y, 2, 1))) % 7 + 14)::INT FROM y
   UNION ALL SELECT make_date(y, 1, 1) + ((8 - dayofweek(make_date(y, 1, 1))) % 7 + 14)::INT FROM y WHERE y >= 1998
   UNION ALL SELECT make_date(y, 5, 31) - ((dayofweek(make_date(y, 5, 31)) + 6) % 7)::INT FROM y),
-s AS (SELECT d::DATE AS session FROM generate_series((SELECT greatest(min(l_shipdate), DATE '1997-01-01') FROM lineitem), (SELECT max(l_shipdate) FROM lineitem), INTERVAL 1 DAY) t(d)
+s AS (SELECT d::DATE AS session FROM generate_series((SELECT min(l_shipdate) FROM lineitem), (SELECT max(l_shipdate) FROM lineitem), INTERVAL 1 DAY) t(d)
   WHERE dayofweek(d) NOT IN (0, 6) AND d::DATE NOT IN (SELECT d FROM hol))
 SELECT session, row_number() OVER (ORDER BY session)::INT - 1 AS idx FROM s""")
 def session_table(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +231,12 @@ def purge_embargo_rows(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("fold", "split").agg(F.count("*").alias("n"), F.max("as_of").alias("last"))
 
 
-@query()
+@query(_LABELS + f""", {V.MONTH_ENDS}, {V.SESSIONS}, {_FOLDS}, z AS (SELECT security_id, as_of, window_end FROM l2 WHERE as_of IN (SELECT as_of FROM me)),
+em AS (SELECT fold, a, v0, t0, t1, (SELECT c2.session FROM cal c1, cal c2 WHERE c1.session >= v0 AND c2.idx = c1.idx - 5 ORDER BY c1.session LIMIT 1) AS edge FROM fd),
+y AS (SELECT fold, a, v0, t0, t1, window_end, CASE WHEN as_of < v0 THEN CASE WHEN as_of < edge AND window_end < v0 THEN 'train' END WHEN as_of < t0 THEN CASE WHEN window_end < t0 THEN 'validation' END ELSE 'test' END AS split, as_of FROM z JOIN em ON as_of >= a AND as_of < t1)
+SELECT fold::INT AS fold, split, count(*) AS n, min(as_of) AS first, max(as_of) AS last,
+ min(as_of) >= CASE split WHEN 'train' THEN a WHEN 'validation' THEN v0 ELSE t0 END AND max(as_of) < CASE split WHEN 'train' THEN v0 WHEN 'validation' THEN t0 ELSE t1 END AND (split <> 'train' OR max(window_end) < v0) AS ok
+FROM y WHERE split IS NOT NULL GROUP BY fold, split, a, v0, t0, t1""")
 def fold_safety(spark: SparkSession, d: str) -> DataFrame:
     """The safety report of purged folds."""
     s = splits.split_panel(_labels(spark, d), _schedule(spark), V.sessions(spark, d), embargo=5)

@@ -79,10 +79,10 @@ def prices(df: DataFrame) -> DataFrame:
 def fundamentals(df: DataFrame, lag_days: int | None = None) -> DataFrame:
     """Availability from the filing (17:00 that day), else from an explicit lag after the period, else refused."""
     df = as_timestamp(as_date(require(df, *REQUIRED["fundamentals"], what="fundamentals"), "fiscal_period_end", "filing_date"), "available_at")
+    if "filing_date" in df.columns:
+        return _default(df, available_at=_after("filing_date", 17))
     if "available_at" in df.columns:
         return df
-    if "filing_date" in df.columns:
-        return df.withColumn("available_at", _after("filing_date", 17))
     if lag_days is None:
         raise ValueError("fundamentals have neither available_at nor filing_date, and no lag was given")
     return df.withColumn("available_at", F.date_add("fiscal_period_end", lag_days).cast("timestamp"))

@@ -66,6 +66,8 @@ def verify(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame:
     """(table, n, ok): whether each table's digest is still that of the manifest."""
     out = None
     names = [r["table"] for r in manifest(spark, root).where(F.col("snapshot_id") == snapshot_id).select("table").distinct().collect()]
+    if not names:
+        raise ValueError(f"no snapshot {snapshot_id}")
     for name in names:
         now = digest(spark.read.parquet(f"{root}/data/snapshot={snapshot_id}/{name}")).select(F.lit(name).alias("table"), "n", F.col("digest").alias("now"))
         out = now if out is None else out.unionByName(now)

@@ -25,8 +25,8 @@ def seen(spark, filings, *days):
 
 
 def test_a_filing_is_invisible_before_it_is_made(spark):
-    f = [filing(date(2020, 9, 30), datetime(2020, 11, 10), 100), filing(date(2020, 12, 31), datetime(2021, 2, 15), 999)]
-    assert seen(spark, f, date(2021, 1, 20), date(2021, 3, 1)) == {date(2021, 1, 20): 100, date(2021, 3, 1): 999}
+    f = [filing(date(2020, 9, 30), datetime(2020, 10, 29), 71), filing(date(2020, 12, 31), datetime(2021, 2, 3), 86)]
+    assert seen(spark, f, date(2021, 1, 20), date(2021, 3, 1)) == {date(2021, 1, 20): 71, date(2021, 3, 1): 86}
 
 
 def test_midnight_is_visible_and_an_evening_filing_a_day_later(spark):
@@ -37,8 +37,8 @@ def test_midnight_is_visible_and_an_evening_filing_a_day_later(spark):
 
 
 def test_a_restatement_counts_from_its_publication(spark):
-    f = [filing(date(2020, 3, 31), datetime(2020, 5, 10), 100), filing(date(2020, 3, 31), datetime(2020, 11, 20), 55)]
-    assert seen(spark, f, date(2020, 7, 1), date(2020, 12, 1)) == {date(2020, 7, 1): 100, date(2020, 12, 1): 55}
+    f = [filing(date(2020, 3, 31), datetime(2020, 4, 27), 34), filing(date(2020, 3, 31), datetime(2020, 9, 8), 29)]
+    assert seen(spark, f, date(2020, 7, 1), date(2020, 12, 1)) == {date(2020, 7, 1): 34, date(2020, 12, 1): 29}
 
 
 def test_ties_fall_to_the_later_period(spark):

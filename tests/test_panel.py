@@ -188,6 +188,11 @@ def test_models(spark):
         models.elastic_net(df, ["x", "excess_return"], "excess_return")
     with pytest.raises(ValueError, match="drifted"):
         m.predict(df.drop("z"))
+    with pytest.raises(ValueError, match="add up"):
+        models.ensemble_weights({"a": 0.1, "b": 0.2}, cap=0.4)
+    # clipped at the cap, the rest scaled in proportion
+    w = models.ensemble_weights({"a": 0.7, "b": 0.2, "c": 0.1}, floor=0.0, cap=0.5)
+    assert w["a"] == pytest.approx(0.5, abs=1e-6) and w["b"] / w["c"] == pytest.approx(2, abs=1e-6)
     w = models.ensemble_weights({"a": 0.2, "b": 0.1, "c": -0.3})
     assert sum(w.values()) == pytest.approx(1) and min(w.values()) >= 0.05 - 1e-9 and max(w.values()) <= 0.6 + 1e-9
 
@@ -226,3 +231,38 @@ def test_streams(spark, tmp_path):
     assert got[0]["quantity"] == 20.0
     bars_ = run(streams.provisional_bars(src().withColumnRenamed("security_id", "ticker")), "append", "bars")
     assert {r["session_date"]: r["close"] for r in bars_} == {date(2024, 1, 1): 33.0, date(2024, 1, 2): 57.0}
+
+
+def test_snapped_days_before_between_and_after_sessions(spark):
+    from panelspark.operators import calendar
+
+    cal = spark.createDataFrame([(date(2024, 1, 2), 0), (date(2024, 1, 5), 1), (date(2024, 1, 8), 2)], "session date, idx int")
+    days = [date(2023, 12, 1), date(2024, 1, 2), date(2024, 1, 3), date(2024, 1, 5), date(2024, 1, 7), date(2024, 1, 9), None]
+    got = {r["d"]: r["idx"] for r in calendar.snapped(spark.createDataFrame([(d,) for d in days], "d date"), cal, "d").collect()}
+    assert [got[d] for d in days] == [0, 0, 1, 1, 2, None, None]
+
+
+def test_verify_refuses_unknown_snapshots(spark, tmp_path):
+    writers.snapshot(spark, str(tmp_path), {"t": spark.createDataFrame([(1,)], "a int")}, "s", "p")
+    with pytest.raises(ValueError, match="no snapshot"):
+        writers.verify(spark, str(tmp_path), "other")
+
+
+def test_fundamentals_without_availability_take_the_filing(spark):
+    rows = [("A", date(2020, 3, 31), date(2020, 5, 1), None), ("B", date(2020, 3, 31), date(2020, 5, 1), datetime(2020, 6, 1, 9))]
+    df = readers.fundamentals(spark.createDataFrame(rows, "security_id string, fiscal_period_end date, filing_date date, available_at timestamp"))
+    assert {r["security_id"]: r["available_at"] for r in df.collect()} == {"A": datetime(2020, 5, 1, 17), "B": datetime(2020, 6, 1, 9)}
+
+
+def test_shared_folder_where_none_is_set():
+    from types import SimpleNamespace as Fake
+
+    from panelspark.sources import shared
+
+    def session(master):
+        return Fake(conf=Fake(get=lambda key, default: default), sparkContext=Fake(master=master))
+
+    at = shared.folder(session("local[2]"))
+    assert at.startswith("file://") and at == shared.folder(session("local[2]"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.folder(session("spark://host:7077"))
