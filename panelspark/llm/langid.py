@@ -3,10 +3,13 @@
 Training counts, for every language, hashed byte n-grams (1 to 4 bytes, with a mark at
 both ends of a word) and words by script, over all labelled rows; Spark sums the counts
 and the model is a table of ``SLOTS`` rows and a column a language, so its size does not
-depend on the data.  Prediction scores each word by naive Bayes over its n-grams among
+depend on the data; with more than 128 languages slots are folded so that it keeps to
+``CELLS`` numbers.  Prediction scores each word by naive Bayes over its n-grams among
 the languages that use the word's script, then finds the best labelling of the whole
 sequence of words where each change of language costs ``PENALTY``: spans of mixed text
-come out as runs of one label.  A document's language is the one with most of its
+come out as runs of one label.  Words that are sure to keep their label
+cut the sequence, and where running sums show that no stretch of other labels is worth its
+changes the step-by-step search is left out (``best_labels``).  A document's language is the one with most of its
 lettered words (on ties the first by code point); its score is that share.
 
 A letter is any character of the Unicode categories L*; those outside the listed blocks
@@ -15,8 +18,8 @@ are of the script "letters", which narrows no languages.
 Null text, text without a letter and an empty model give ``und`` with score 0; words
 without letters count for no language.  Texts of any length are labelled whole: the
 sequence step runs over all documents of a slice at once.  Rows are independent of each
-other, so repeated rows repeat their result.  Extra columns are kept unless named like a
-result column.
+other, so repeated rows repeat their result.  Extra columns are kept; those named like a result
+column are replaced, and ``names`` gives the results other names.
 """
 
 from __future__ import annotations
@@ -30,12 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import text as X
-from panelspark.llm.shared import table
+from panelspark.llm.shared import releasing, table, written
 
 SLOTS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 PENALTY = 12.0
-MOST_LANGUAGES = 1000
+CELLS = 1 << 23
+HELD = 32  # languages a task counts at a time
 UNKNOWN = "und"
 SLICE = 512 << 10
 #: Scripts by code block (fixed values): first and last code point of ranges whose letters belong to it; other letters are "letters".
@@ -80,13 +84,7 @@ def _lower(data: np.ndarray) -> np.ndarray:
 
 def _scripts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Script of each word: that of its first letter; -1 for words without letters."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    b = data[lead].astype(np.int64)
-    point = b.copy()
-    long = np.flatnonzero(b >= 0xC0)  # characters of more than one byte
-    c, last = b[long], len(data) - 1
-    one, two, three = (data[np.minimum(lead[long] + i, last)].astype(np.int64) & 0x3F for i in (1, 2, 3))
-    point[long] = np.where(c < 0xE0, (c & 0x1F) << 6 | one, np.where(c < 0xF0, (c & 0xF) << 12 | one << 6 | two, np.minimum((c & 0x7) << 18 | one << 12 | two << 6 | three, 0x10FFFF)))
+    lead, point = X.code_points(data)
     kind = _SCRIPT[point]
     lettered = kind >= 0
     where, kind = lead[lettered], kind[lettered]
@@ -149,6 +147,13 @@ def count(train: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
     def run(batches):
         got: dict[str, np.ndarray] = {}
+
+        def counted():
+            for name, n in got.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "slot", "n"])
+            got.clear()
+
         for b in batches:
             langs = np.array(b.column(1).to_pylist(), dtype=object)
             for lo, hi, data, offs in X.slices(b.column(0), SLICE):
@@ -161,31 +166,34 @@ def count(train: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                     into = got.setdefault(name, np.zeros(SLOTS + len(_NAMES)))
                     into[:SLOTS] += np.bincount(w.slots, np.repeat(times, grams), minlength=SLOTS)
                     into[SLOTS:] += np.bincount(w.script, times, minlength=len(_NAMES))
-        for name, n in got.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "slot", "n"])
+                    if len(got) >= HELD:
+                        yield from counted()
+        yield from counted()
 
     rows = train.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
-    return rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(releasing(run), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
     langs: list[str]
-    log: np.ndarray  # slot x language
+    log: np.ndarray  # slot x language; the number of slots is a power of two
     allowed: np.ndarray  # script x language
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all labelled rows; at most SLOTS rows a language come to the driver."""
-    got = count(train, text, lang).toPandas()
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model is made for {MOST_LANGUAGES} at most")
-    n = np.zeros((SLOTS + len(_NAMES), len(langs)))
+    """The model of all labelled rows; at most CELLS numbers come to the driver, and a few for each language."""
+    counts = written(count(train, text, lang), "langid")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    slots = SLOTS
+    while slots > 1 and slots * len(langs) > CELLS:
+        slots //= 2
+    folded = F.when(F.col("slot") < SLOTS, F.col("slot") % slots).otherwise(F.col("slot") - SLOTS + slots).alias("slot")
+    got = counts.groupBy("lang", folded).agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros((slots + len(_NAMES), len(langs)))
     n[got["slot"], np.searchsorted(np.array(langs, dtype=object), got["lang"])] = got["n"]
-    log = np.log((n[:SLOTS] + 0.5) / (n[:SLOTS].sum(axis=0) + 0.5 * SLOTS)) if langs else n[:SLOTS]
-    words = n[SLOTS:]
+    log = np.log((n[:slots] + 0.5) / (n[:slots].sum(axis=0) + 0.5 * slots)) if langs else n[:slots]
+    words = n[slots:]
     allowed = words >= 0.001 * np.maximum(words.sum(axis=0), 1)
     allowed[~allowed.any(axis=1)] = True
     allowed[_NAMES.index(ANY)] = True
@@ -230,29 +238,82 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return out
 
 
+def best_labels(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """The labels that ``viterbi`` gives, with its steps kept to the words where they matter.
+
+    A word whose best label leads the next one by over two changes has that label in every
+    best sequence: taking it for that word alone would pay.  These words cut a row into
+    pieces that do not depend on each other.  A piece takes the label of the words at its
+    ends if they agree, and no stretch of other labels inside gains over two changes (at a
+    row's own start or end: over one), even if each word took its best other label.
+    """
+    size, n = np.diff(first), len(scores)
+    if not n or scores.shape[1] == 1:
+        return np.zeros(n, np.int64)
+    word, limit = np.arange(n), penalty - 1e-3
+    top = scores.argmax(axis=1)
+    others = scores.copy()
+    others[word, top] = -np.inf
+    fixed = scores[word, top] - others.max(axis=1) > 2 * penalty + 1e-3
+    row_start = np.zeros(n, bool)
+    row_start[first[:-1][size > 0]] = True
+    at = np.flatnonzero(row_start | fixed)
+    end = np.append(at[1:], n) - 1
+    piece = np.repeat(np.arange(len(at)), end - at + 1)
+    fixed_before = fixed[at]
+    fixed_after = np.append(~row_start[at[1:]], False)
+    after = np.append(top[at[1:]], 0)
+    total = np.add.reduceat(scores, at, axis=0, dtype=np.float64).argmax(axis=1)
+    own = np.where(fixed_before, top[at], np.where(fixed_after, after, total))
+    mine = own[piece]
+    others = scores.copy()
+    others[word, mine] = -np.inf
+    gain = np.maximum(others.max(axis=1) - scores[word, mine], -2 * penalty).astype(np.float64)
+    upto = np.cumsum(gain) - 1e6 * piece  # the drop between pieces keeps stretches within a piece
+    before = upto - gain
+    sure = np.maximum.reduceat(upto - np.minimum.accumulate(before), at) <= 2 * limit
+    sure &= fixed_before | (np.maximum.reduceat(upto, at) - before[at] <= limit)
+    sure &= fixed_after | (upto[end] - np.minimum.reduceat(before, at) <= limit)
+    sure &= ~(fixed_before & fixed_after) | (own == after)
+    out = mine.astype(np.int64)
+    left = np.flatnonzero(~sure)
+    if len(left):
+        length = end[left] - at[left] + 1 + fixed_after[left]
+        begin = np.concatenate([[0], np.cumsum(length)])
+        words = np.repeat(at[left] - begin[:-1], length) + np.arange(begin[-1])
+        out[words] = viterbi(scores[words], begin, penalty)
+    return out
+
+
 def label_words(w: Words, model: Model, penalty: float) -> np.ndarray:
     """Language index of each word of a slice."""
-    scores = np.zeros((len(w.which), len(model.langs)), np.float32)
+    k = len(model.langs)
+    scores = np.zeros((len(w.which), k), np.float32)
     if len(w.bounds):
-        own = np.add.reduceat(model.log[w.slots], w.bounds, axis=0)
+        fold, ends = model.log.shape[0] - 1, np.append(w.bounds, len(w.slots))
+        own = np.empty((len(w.bounds), k), np.float32)
+        step = max(1, (1 << 18) // k)  # distinct words at a time
+        for lo in range(0, len(w.bounds), step):
+            hi = min(lo + step, len(w.bounds))
+            own[lo:hi] = np.add.reduceat(model.log[w.slots[ends[lo] : ends[hi]] & fold], w.bounds[lo:hi] - ends[lo], axis=0)
         own = np.where(model.allowed[w.script], own, own.min() - 1e3).astype(np.float32)
         lettered = w.which >= 0
         own -= own.max(axis=1, keepdims=True)
         scores[lettered] = own[w.which[lettered]]
-    return viterbi(scores, w.first, penalty)
+    return best_labels(scores, w.first, penalty)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY, keep_text: bool = True) -> DataFrame:
-    """``docs`` (without the text, if so asked) with lang_pred, score and spans (array of lang, first word, end word)."""
-    names = ["lang_pred", "score", "spans"]
+def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = PENALTY, keep_text: bool = True, names: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """``docs`` (without the text, if so asked) with language, score and spans (array of lang, first word, end word) under ``names``."""
     keep = [c for c in docs.columns if c not in names and (keep_text or c != text)]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS rows, whatever the data
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # CELLS numbers, whatever the data
+    size = max(SLICE >> 6, SLICE * 16 // max(16, len(model.langs)))  # scores are words by languages
 
     def run(batches):
         model = sent.value
         k = max(1, len(model.langs))
         for b in batches:
-            for lo, hi, data, offs in X.slices(b.column(text), SLICE):
+            for lo, hi, data, offs in X.slices(b.column(text), size):
                 w = words_of(data, offs)
                 label = label_words(w, model, penalty) if model.langs else np.zeros(len(w.which), np.int64)
                 rows = np.repeat(np.arange(hi - lo), np.diff(w.first))
@@ -280,7 +341,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                     [*[part.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score), pa.array(spans, kind)], [*keep, *names])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
-    return docs.select(*keep, *([] if keep_text else [text])).mapInArrow(run, f"{fields}, lang_pred string, score double, spans array<struct<lang:string,first:int,end:int>>")
+    return docs.select(*keep, *([] if keep_text else [text])).mapInArrow(releasing(run), f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` array<struct<lang:string,first:int,end:int>>")
 
 
 def bucket(doc_id: Column, n: int) -> Column:

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The temporary folder of a local session that names no shared one.
+_own_folder: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local session gets a temporary folder; a cluster is refused,
-    since a machine-local folder would not be seen by other executors.
+    Where it is unset, a local session gets a temporary folder, one a driver process; a
+    cluster is refused, since a machine-local folder would not be seen by other executors.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="panelspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="panelspark-"))
+        at = _own_folder[0]
     return at.rstrip("/")
 
 
@@ -34,6 +41,26 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+def free() -> None:
+    """Gives the memory of a worker's finished work back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it keeps
+        return
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow and mapInPandas; the worker, which goes on to other tasks, holds nothing of it afterwards."""
+
+    def work(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        free()
+
+    return work
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession

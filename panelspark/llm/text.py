@@ -72,6 +72,19 @@ def slices(col: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, n
         lo = hi
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and number of each code point of valid UTF-8."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    b = data[lead].astype(np.int64)
+    point = b.copy()
+    long = np.flatnonzero(b >= 0xC0)  # of more than one byte
+    if len(long):
+        c, last = b[long], len(data) - 1
+        one, two, three = (data[np.minimum(lead[long] + i, last)].astype(np.int64) & 0x3F for i in (1, 2, 3))
+        point[long] = np.where(c < 0xE0, (c & 0x1F) << 6 | one, np.where(c < 0xF0, (c & 0xF) << 12 | one << 6 | two, np.minimum((c & 0x7) << 18 | one << 12 | two << 6 | three, 0x10FFFF)))
+    return lead, point
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and each row's index of its first word (one more at the end)."""
     n = len(data)
