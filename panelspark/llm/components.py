@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import written
+from panelspark.llm.shared import releasing, written
 
 FLUSH = 1 << 20
 
@@ -69,7 +69,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = e.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     e = e.where(F.col("u") != F.col("v"))
-    e = written(e.mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    e = written(e.mapInArrow(releasing(_forest), "u long, v long").distinct(), "edges")
     was = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import text as X
 from panelspark.llm.components import components
-from panelspark.llm.shared import empty_texts, table, written
+from panelspark.llm.shared import empty_texts, releasing, table, written
 
 COUNTERS = 1 << 24
 CHUNK = 1 << 18
@@ -61,7 +61,7 @@ def _summed(parts: DataFrame, kind: str, wide: str, size: int, join) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([zlib.compress(a.tobytes(), 1) for a in got.values()], pa.binary())], ["chunk", "data"])
 
     out = np.zeros(size, wide)
-    for row in parts.repartition("chunk").mapInArrow(run, "chunk int, data binary").collect():  # fixed size
+    for row in parts.repartition("chunk").mapInArrow(releasing(run), "chunk int, data binary").collect():  # fixed size
         a = np.frombuffer(zlib.decompress(row["data"]), wide)
         out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(a)] = a
     return out
@@ -88,7 +88,7 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
                 n[at] = np.minimum(n[at] + more, 65535)
         yield _chunks(n)
 
-    parts = docs.select("text").mapInArrow(run, "chunk int, data binary")
+    parts = docs.select("text").mapInArrow(releasing(run), "chunk int, data binary")
     total = _summed(parts, "uint16", "int64", COUNTERS, np.add)
     usual = float(np.median(total[:: max(1, COUNTERS >> 16)]))
     return np.clip((total - usual) / np.sqrt(usual + 1) * 2 + 16, 0, 255).astype(np.uint8)
@@ -103,7 +103,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
             bits[(X.mix(b.column(0).to_numpy().astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
         yield _chunks(np.packbits(bits))
 
-    return _summed(ids.mapInArrow(run, "chunk int, data binary"), "uint8", "uint8", FILTER_BITS // 8, np.bitwise_or)
+    return _summed(ids.mapInArrow(releasing(run), "chunk int, data binary"), "uint8", "uint8", FILTER_BITS // 8, np.bitwise_or)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -137,7 +137,7 @@ def records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     prefix.append(s[at])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), _lists(mins), _lists(prefix)], ["id", "n", "fp", "mins", "prefix"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, fp binary, mins array<long>, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(releasing(run), "id long, n int, fp binary, mins array<long>, prefix array<long>")
 
 
 def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield b.filter(pa.array((m[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)))
 
     # what the filter lets through goes to the join; the filter only saves shuffling the rest
-    some = docs.select("id", "text").where(F.col("id").isNotNull()).mapInArrow(near, "id long, text string")
+    some = docs.select("id", "text").where(F.col("id").isNotNull()).mapInArrow(releasing(near), "id long, text string")
     return some.join(wanted, "id")
 
 
@@ -232,9 +232,9 @@ def similar_groups(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int)
                 part = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(key.view(np.int64)), pa.array(salt), *part.columns], ["k", "key", "salt", "id", "text"])
 
-    rows = docs.select("id", "text").where(F.col("id").isNotNull()).mapInArrow(run, "k int, key long, salt int, id long, text string")
+    rows = docs.select("id", "text").where(F.col("id").isNotNull()).mapInArrow(releasing(run), "k int, key long, salt int, id long, text string")
     rows = rows.repartition("k", "key", "salt").sortWithinPartitions("k", "key", "salt", "id")
-    return rows.mapInArrow(_leaders(k, num, den), "a long, b long")
+    return rows.mapInArrow(releasing(_leaders(k, num, den)), "a long, b long")
 
 
 def _opened(k: int, num: int, den: int):
@@ -286,7 +286,7 @@ def group_links(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     runs = written(each.groupBy("id").agg(F.collect_list(F.struct("g", "gb", "query")).alias("runs")), "runs")
     rows = with_text(docs, runs).select(F.explode("runs").alias("r"), "id", "text").select("r.g", "r.gb", "r.query", "id", "text")
     rows = rows.repartition("g", "gb").sortWithinPartitions("g", "gb", "query")
-    return rows.select("g", "gb", "query", "id", "text").mapInArrow(_opened(k, num, den), "a long, b long")
+    return rows.select("g", "gb", "query", "id", "text").mapInArrow(releasing(_opened(k, num, den)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
