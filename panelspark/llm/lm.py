@@ -15,12 +15,15 @@ in chunks (about the size of an input split).  A chunk sends its distinct n-gram
 packed arrays of hashes with counts, to the buckets of a hash space; a bucket adds up the
 counts of all chunks and answers each with the totals in the order it asked; chunk and
 answers meet again and its documents are scored.  So each n-gram crosses the network once
-a chunk in either direction, in about five bytes.  The number of buckets follows the
-number of distinct n-grams, so that a bucket stays at about ``PER_BUCKET`` of them.
+a chunk in either direction, in about seven bytes.  The number of buckets follows the
+number of distinct n-grams, so that a bucket stays at about ``PER_BUCKET`` of them; a
+chunk sends a row to each bucket that it has an n-gram for, so rows never outnumber
+n-grams.  A task holds one chunk or one bucket at a time.
 
 Words are lower-cased (A-Z) runs of non-blank characters; each text ends with one end
 token, and its first token follows a start context.  Null and empty texts are one end
-token.  Unigrams are told apart by 64-bit hashes, bigrams by 48 bits and their bucket.
+token.  Words and bigrams are told apart by 64-bit hashes: with 10**12 distinct bigrams
+one that never occurred finds a count once in 18 million.
 Documents with a null id belong to training as the empty id does.  Rows that repeat are
 counted and scored each.  An empty table gives an empty result; without training tokens
 every estimate is uniform.
@@ -38,9 +41,9 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import text as X
 from panelspark.llm.langid import bucket
-from panelspark.llm.shared import empty_texts, table, written
+from panelspark.llm.shared import empty_texts, free, releasing, table, written
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 PER_BUCKET = 1_000_000
 CONTEXTS = 24
 GRID = 16  # histogram steps to one natural logarithm
@@ -85,7 +88,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         width, packed_vocab = _pack_keys(vocab)
         pairs = len(np.unique(_pair_keys(vocab, tokens, first)))
         return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([np.concatenate(ids)], pa.list_(pa.int64())), pa.array([np.concatenate(folds)], pa.list_(pa.int8())), pa.array([first], pa.list_(pa.int32())),
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(first) - 1], pa.int32()), pa.concat_arrays(ids)), pa.array([np.concatenate(folds)], pa.list_(pa.int8())), pa.array([first], pa.list_(pa.int32())),
              pa.array([width], pa.int32()), pa.array([packed_vocab], pa.binary()), pa.array([_pack(tokens, 4)], pa.binary()), pa.array([pairs], pa.int64()), pa.array([bool((np.concatenate(folds) == HELD).any())])],
             ["chunk", "ids", "folds", "first", "width", "vocab", "tokens", "n_pairs", "held"])
 
@@ -103,7 +106,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 at = np.ones(len(with_end), bool)
                 at[ends] = False
                 with_end[at], with_end[ends] = h, END
-                for into, x in zip(held, (ids.slice(lo, hi - lo).to_numpy(zero_copy_only=False), folds[lo:hi], with_end, n + 1), strict=True):
+                for into, x in zip(held, (ids.slice(lo, hi - lo), folds[lo:hi], with_end, n + 1), strict=True):
                     into.append(x)
                 size += len(data)
                 if size >= CHUNK_BYTES:
@@ -113,16 +116,16 @@ def chunks(docs: DataFrame) -> DataFrame:
             yield packed(number, *held)
 
     # ids stand for rows inside a chunk only; a null id comes back null
-    return docs.mapInArrow(run, "chunk long, ids array<long>, folds array<byte>, first array<int>, width int, vocab binary, tokens binary, n_pairs long, held boolean")
+    return docs.mapInArrow(releasing(run), "chunk long, ids array<long>, folds array<byte>, first array<int>, width int, vocab binary, tokens binary, n_pairs long, held boolean")
 
 
 def _pair_keys(vocab: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each token with the one before it; the lowest 16 bits are zero."""
+    """A 64-bit key of each token with the one before it."""
     h = vocab[tokens]
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[first[:-1]] = START
-    return X.mix(before * U(0x9FB21C651E98DF25) + h) & ~U(0xFFFF)
+    return X.mix(before * U(0x9FB21C651E98DF25) + h)
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +141,9 @@ def _asks(n_buckets: int):
 
     def run(batches):
         for b in batches:
-            for row in b.select(["chunk", "folds", "first", "width", "vocab", "tokens"]).to_pylist():
+            b = b.select(["chunk", "folds", "first", "width", "vocab", "tokens"])
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 vocab, tokens, first, folds = _open(row)
                 fold = np.repeat(folds, np.diff(first))
                 pair_keys, pairs = np.unique(_pair_keys(vocab, tokens, first), return_inverse=True)
@@ -148,10 +153,9 @@ def _asks(n_buckets: int):
                     held = np.bincount(which[fold == HELD], minlength=len(keys))
                     to = ((keys >> U(32)) * U(n_buckets)) >> U(32)
                     cut = np.searchsorted(to, np.arange(n_buckets + 1, dtype=np.uint64))
-                    for i in np.flatnonzero(np.diff(cut)):
-                        j = slice(cut[i], cut[i + 1])
-                        # bigrams come with 16 zero bits
-                        out.append((int(i), kind, row["chunk"], int(cut[i + 1] - cut[i]), *_pack_keys(keys[j] >> U(16) if kind == 2 else keys[j]), *_pack_counts(main[j]), *_pack_counts(held[j])))
+                    for to_bucket in np.flatnonzero(np.diff(cut)):
+                        j = slice(cut[to_bucket], cut[to_bucket + 1])
+                        out.append((int(to_bucket), kind, row["chunk"], int(cut[to_bucket + 1] - cut[to_bucket]), *_pack_keys(keys[j]), *_pack_counts(main[j]), *_pack_counts(held[j])))
                 names = [f.split()[0] for f in _ASK.split(", ")]
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
@@ -177,6 +181,7 @@ def _answer(group: pa.Table) -> pa.Table:
         w = which[at : at + len(k)]
         at += len(k)
         out.append((r["chunk"], r["kind"], r["bucket"], *_pack_counts(main_sum[w]), *_pack_counts(full_sum[w]), None, None, None))
+    free()
     out.append((-1, rows[0]["kind"], rows[0]["bucket"], None, None, None, None, int(main_sum.sum()), int(full_sum.sum()), int((full_sum > 0).sum())))
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in _ANSWER.split(", ")])
@@ -254,6 +259,7 @@ def _scored(n: int, v: int, weights: np.ndarray):
         # what a context that never occurred cannot give goes to the uniform part
         p += np.where(c_u == 0, w[:, 0], 0) / (v + 1) + (w[:, 1] / (v + 1) if n == 0 else 0)
         at = first[:-1]
+        free()
         return pa.table(
             [pa.array(row["ids"], pa.int64()), pa.array(folds.astype(np.int8)), pa.array(np.diff(first)), pa.array(np.add.reduceat((c_w > 0).astype(np.int64), at)), pa.array(np.full(len(at), n)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at))],
             names=names)
@@ -267,7 +273,7 @@ def lm_scores(docs: DataFrame, fold: Column, key: str = "doc_id", text: str = "t
     packed = written(chunks(rows), "chunks")
     n_pairs = packed.agg(F.sum("n_pairs")).first()[0] or 0
     n_buckets = max(8, -(-n_pairs // PER_BUCKET))
-    asks = packed.mapInArrow(_asks(n_buckets), _ASK)
+    asks = packed.mapInArrow(releasing(_asks(n_buckets)), _ASK)
     answers = written(asks.groupBy("bucket", "kind").applyInArrow(_answer, _ANSWER), "answers")
     n_main, n, v = (x or 0 for x in answers.where("chunk = -1 AND kind = 1").agg(F.sum("main_total"), F.sum("total"), F.sum("types")).first())
     answers = answers.where("chunk <> -1").select("chunk", "kind", "bucket", "main_width", "main", "full_width", "full")
