@@ -6,15 +6,17 @@ intersection of their sets is at least ``num``/``den`` of the union.  The join i
 1. Equal sets are one set from here on (``copies``).
 2. Sets are partitioned into groups of similar ones: sets that share a min-hash are held
    against the one with the smallest id, and verified links are closed to groups.
-3. The token-group matrix holds, for each block of at most about ``BLOCK`` sets of a
-   group, the union of its members' tokens.  Shuffled is the part of it that the prefix
-   filter needs: by one order of tokens for all sets, rare ones first, two sets can only
-   reach the threshold if the first n - ceil(t*n) + 1 tokens of the larger meet the first
-   n - ceil(2t/(1+t)*n) + 1 of the smaller.  Counting those matches bounds the overlap of
-   a query with a group; groups of its own group number are connected already and skipped.
-4. Groups that qualify are opened: their members' sets are fetched, the query's overlap
-   with the whole token union is bounded once more, and members are compared until one
-   links, which joins the two groups.
+3. The token-group matrix holds, for each block of at most about ``BLOCK`` sets and
+   ``BLOCK_TOKENS`` tokens of a group, the union of its members' tokens.  It is used in two
+   steps.  Shuffled first are only its columns that the prefix filter needs: by one order of
+   tokens for all sets, rare ones first, two sets can only reach the threshold if the first
+   n - ceil(t*n) + 1 tokens of the larger meet the first n - ceil(2t/(1+t)*n) + 1 of the
+   smaller.  With prefixes this short one match within the position bounds is all that can
+   be asked for.  Groups of a query's own group number are connected already and skipped.
+4. For the groups that are left the members' sets are fetched and the whole token union is
+   built; the query's overlap with it is counted and bounds that with every member.  Only a
+   group that still qualifies is opened: members are compared until one links, which joins
+   the two groups.
 
 The order of tokens comes from a sketch of document frequencies with ``COUNTERS``
 counters, summed over all documents and kept as a byte each: its size is fixed, and any order gives the same
@@ -44,7 +46,7 @@ COUNTERS = 1 << 24
 CHUNK = 1 << 18
 KEYS = 3
 BLOCK = 256
-SALTS = 64
+BLOCK_TOKENS = 1 << 18
 FILTER_BITS = 1 << 26
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
@@ -141,7 +143,7 @@ def records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (a row an id, with other columns) with the text of its ids."""
+    """``wanted`` (id and other columns) with the text of its ids."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("id")))  # FILTER_BITS bits
 
     def near(batches):
@@ -206,6 +208,7 @@ def similar_groups(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int)
     """
     keyed = sets.select("id", F.posexplode("mins").alias("k", "key"))
     often = written(keyed.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1"), "keys")
+    salts = np.uint64(max(2, (often.agg(F.max("c")).first()[0] or 0) // (4 * BLOCK)))  # so that a share of the largest run is of bounded size
     sent = docs.sparkSession.sparkContext.broadcast((id_filter(often.select("key")), id_filter(often.where(F.col("c") > 16 * BLOCK).select("key"))))  # twice FILTER_BITS bits
 
     def has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -228,11 +231,11 @@ def similar_groups(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int)
                 key = np.array([_min_hash(met[r], i) for r in rows], np.uint64)
                 ok = has(shared, key)
                 at, key = rows[ok], key[ok]
-                salt = np.where(has(hot, key), X.mix(ids[at] + np.uint64(i)) % np.uint64(SALTS), np.uint64(0)).astype(np.int32)
+                salt = np.where(has(hot, key), X.mix(ids[at] + np.uint64(i)) % salts, np.uint64(0)).astype(np.int64)
                 part = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(key.view(np.int64)), pa.array(salt), *part.columns], ["k", "key", "salt", "id", "text"])
 
-    rows = docs.select("id", "text").where(F.col("id").isNotNull()).mapInArrow(releasing(run), "k int, key long, salt int, id long, text string")
+    rows = docs.select("id", "text").where(F.col("id").isNotNull()).mapInArrow(releasing(run), "k int, key long, salt long, id long, text string")
     rows = rows.repartition("k", "key", "salt").sortWithinPartitions("k", "key", "salt", "id")
     return rows.mapInArrow(releasing(_leaders(k, num, den)), "a long, b long")
 
@@ -282,9 +285,8 @@ def group_links(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     opened = met.select("g", "gb").distinct()
     members = sets.select("id", F.col("grp").alias("g"), F.col("block").alias("gb")).join(opened, ["g", "gb"], "left_semi")
     each = met.select("g", "gb", F.lit(True).alias("query"), "id").union(members.select("g", "gb", F.lit(False).alias("query"), "id"))
-    # a set opens the groups it qualifies for, and is a member of one block
-    runs = written(each.groupBy("id").agg(F.collect_list(F.struct("g", "gb", "query")).alias("runs")), "runs")
-    rows = with_text(docs, runs).select(F.explode("runs").alias("r"), "id", "text").select("r.g", "r.gb", "r.query", "id", "text")
+    # a set is a row for each group it may open, and one as a member of its block
+    rows = with_text(docs, written(each, "runs"))
     rows = rows.repartition("g", "gb").sortWithinPartitions("g", "gb", "query")
     return rows.select("g", "gb", "query", "id", "text").mapInArrow(releasing(_opened(k, num, den)), "a long, b long")
 
@@ -302,7 +304,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     near = written(similar_groups(some, docs, k, num, den), "near")
     groups = components(near)
     named = written(copies.select(F.col("rep").alias("id"), "fp").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("component", "id").alias("grp")), "groups")
-    sizes = named.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    sized = named.join(all_sets.select("id", "fp", "n"), ["id", "fp"]).groupBy("grp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    sizes = sized.select("grp", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_TOKENS)).cast("int").alias("blocks")).where("blocks > 1")
     named = named.join(sizes, "grp", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks")
     sets = all_sets.select("id", "fp", "n", "prefix").join(named, ["id", "fp"])
     across = group_links(sets, docs, k, num, den)
