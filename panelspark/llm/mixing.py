@@ -72,7 +72,8 @@ def mix_plan(sized: DataFrame, targets: DataFrame, repeats: int = MOST_REPEATS,
     """
     own = ["source_size", "target", "slope", "copies", "taken", "positions"]
     keep = [c for c in sized.columns if c not in own]
-    rows = sized.select(*keep).withColumn("_okey", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    no_id = F.lit("null") if tie is None else F.concat(F.lit("null"), tie.cast("string"))  # rows without an id spread by the tie
+    rows = sized.select(*keep).withColumn("_okey", F.md5(F.coalesce(F.col("doc_id").cast("string"), no_id)))
     rows = rows.withColumn("_bucket", F.substring("_okey", 1, 3))
     buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
     buckets = buckets.withColumn("_base", F.sum("_n").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_n"))

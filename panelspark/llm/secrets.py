@@ -12,7 +12,7 @@ third of all paths share does not gather in one task.
 
 Null content is empty content.  Empty and very long contents are scanned whole.  Rows
 that repeat are paths of their own and are all reported.  Extra columns are kept; those
-named ``blob`` or ``spans`` are replaced.
+named ``blob`` or ``spans`` are replaced, and ``names`` gives the results other names.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ import re
 import uuid
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import empty_texts, shared_folder, table
+from panelspark.llm.shared import empty_texts, releasing, shared_folder, table, written
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -77,7 +79,7 @@ def _contents(paths: DataFrame, content: str) -> DataFrame:
             take = [i for i, x in enumerate(ids) if not (x in met or met.add(x))]
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in take], pa.binary()), col.take(pa.array(take, pa.int64()))], ["blob", "content"])
 
-    return paths.select(F.col(content).alias("content")).mapInArrow(first, "blob binary, content string")
+    return paths.select(F.col(content).alias("content")).mapInArrow(releasing(first), "blob binary, content string")
 
 
 def _scanned(contents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -96,24 +98,40 @@ def _scanned(contents: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             types = (pa.binary(), pa.list_(pa.string()), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["blob", "rules", "spans"])
 
-    return contents.repartition("blob").mapInArrow(scan, f"blob binary, rules array<string>, spans {SPANS}")
+    return contents.repartition("blob").mapInArrow(releasing(scan), f"blob binary, rules array<string>, spans {SPANS}")
 
 
-def scan(paths: DataFrame, ledger: str, content: str = "text", rules: tuple[Rule, ...] = BASE + ADDED, exists: bool = False) -> DataFrame:
-    """Brings the ledger up to date; returns (blob, spans) for the blobs with findings of the current rules.
+def ledger_of(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """(blob, rules, spans) of earlier runs; None where there is no ledger yet."""
+    try:
+        return spark.read.parquet(ledger)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-    ``exists`` says whether the folder ``ledger`` holds a ledger of an earlier run.
-    """
-    spark = paths.sparkSession
+
+def unseen(paths: DataFrame, seen: DataFrame, content: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, todo): the blobs of ``paths`` with the rule versions that the ledger lacks for them; contents are hashed, not moved."""
     current = F.array(*[F.lit(r.name) for r in rules])
-    todo = _contents(empty_texts(paths, content), content)
-    if exists:
-        seen = spark.read.parquet(ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("_seen"))
-        todo = todo.join(seen, "blob", "left").withColumn("todo", F.array_except(current, F.coalesce("_seen", F.array().cast("array<string>"))))
-        todo = todo.where(F.size("todo") > 0).drop("_seen")
+    blobs = paths.select(blob_id(F.coalesce(F.col(content), F.lit(""))).alias("blob")).distinct()
+    # a blob has a row a run that scanned it with new rules
+    tried = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("_seen"))
+    todo = F.array_except(current, F.coalesce("_seen", F.array().cast("array<string>")))
+    return blobs.join(tried, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0)
+
+
+def scan(paths: DataFrame, ledger: str, content: str = "text", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
+    """Brings the ledger (a folder; made on the first run) up to date; returns (blob, spans) for the blobs with findings of the current rules."""
+    spark = paths.sparkSession
+    seen = ledger_of(spark, ledger)
+    contents = _contents(empty_texts(paths, content), content)
+    if seen is None:
+        _scanned(contents.withColumn("todo", F.array(*[F.lit(r.name) for r in rules])), rules).write.parquet(ledger)
     else:
-        todo = todo.withColumn("todo", current)
-    _scanned(todo, rules).write.mode("append").parquet(ledger)
+        todo = written(unseen(paths, seen, content, rules), "todo")
+        if not todo.isEmpty():
+            _scanned(contents.join(todo, "blob"), rules).write.mode("append").parquet(ledger)
     # a row a scan with findings; a blob has as many as it was scanned with new rules
     found = spark.read.parquet(ledger).where(F.size("spans") > 0).select("blob", F.explode(F.arrays_zip("spans")).alias("_s"), "rules")
     kinds = {r.kind: r.name for r in rules}
@@ -123,26 +141,38 @@ def scan(paths: DataFrame, ledger: str, content: str = "text", rules: tuple[Rule
     return found.groupBy("blob").agg(F.collect_set("_s.spans").alias("spans"))
 
 
-def with_findings(paths: DataFrame, found: DataFrame, content: str = "text") -> DataFrame:
-    """Every path with ``blob`` and ``spans`` (empty where there are none), spans by start, then by kind as the rules list them."""
+def with_findings(paths: DataFrame, found: DataFrame, content: str = "text", names: tuple[str, str] = ("blob", "spans")) -> DataFrame:
+    """Every path with its blob and spans (empty where there are none) under ``names``, spans by start, then by kind as the rules list them."""
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(BASE + ADDED) for x in (r.kind, i)])
-    order = F.array_sort(F.transform("_f", lambda s: F.struct(s["start"].alias("start"), F.coalesce(kinds[s["kind"]], F.lit(99)).alias("o"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.coalesce(kinds[s["kind"]], F.lit(99)).alias("o"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    rows = paths.drop("blob", "spans").withColumn("blob", blob_id(F.coalesce(F.col(content), F.lit(""))))
-    found = found.select(F.col("blob").alias("_b"), F.col("spans").alias("_f")).withColumn("spans", spans).drop("_f")
-    return rows.join(found, F.col("blob") == F.col("_b"), "left").drop("_b").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    blob, out = names
+    rows = paths.drop(*names).withColumn(blob, blob_id(F.coalesce(F.col(content), F.lit(""))))
+    more = [c for c in found.columns if c not in ("blob", "spans")]
+    found = found.select(F.col("blob").alias(blob), spans.alias(out), *more)
+    return rows.join(found, blob, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast(SPANS))).select(*[c for c in paths.columns if c not in names], *names, *more)
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first wins."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    """The text with every span (by start) replaced by its kind in brackets; of overlapping spans the first wins.
+
+    One pass over the text, however many spans; null text stays null, a text without spans as it is.
+    """
+    return F.pandas_udf(_mask, "string")(text, spans)
 
-    def step(acc, s):
-        put = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(put.alias("done"), s["end"].alias("at"))).otherwise(acc)
 
-    rest = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+def _mask(text: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for t, found in zip(text, spans, strict=True):
+        if t is not None and found is not None and len(found):
+            parts, at = [], 0
+            for s in found:
+                if s["start"] >= at:
+                    parts += [t[at : s["start"]], "[", s["kind"], "]"]
+                    at = s["end"]
+            t = "".join([*parts, t[at:]])
+        out.append(t)
+    return pd.Series(out, dtype=object)
 
 
 def new_ledger(spark: SparkSession) -> str:
@@ -154,10 +184,16 @@ def _joined(spans: Column) -> Column:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every whole text, as a first run with an empty ledger."""
+    """Secrets in every whole text: a first run fills the ledger, a second one finds nothing unseen and reports from it.
+
+    ``n_scans`` is how often the text was scanned: once, whatever the number of runs and of its copies.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, new_ledger(spark))
-    rows = with_findings(docs, found).select("doc_id", "spans")
+    ledger = new_ledger(spark)
+    scan(docs, ledger)
+    found = scan(docs, ledger)
+    times = spark.read.parquet(ledger).groupBy("blob").agg(F.count("*").alias("n_scans"))
+    rows = with_findings(docs, times.join(found, "blob", "left")).select("doc_id", "spans", "n_scans")
     base = [r.kind for r in BASE]
 
     def of(*kinds: str) -> Column:
@@ -165,7 +201,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
     only = of(*base)
-    return rows.select("doc_id", *counts, F.sha2(_joined(only), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(_joined(only), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "n_scans")
 
 
 QUERIES = {"op5_secrets": op5_secrets}
