@@ -1,29 +1,30 @@
 """BPE encoding and decoding by a depth-first walk of a trie of distinct words.
 
 The words of a batch (pre-tokens, each ending in a symbol with the end mark) that were
-not met before are put in a trie.  A walk down the trie keeps, for the prefix at each
-depth, the last token of that prefix's encoding: the encoding of a prefix is the
-encoding of what precedes its last token plus that token, so one number a depth is the
-whole state, and a prefix that many words share is worked out once.  A token that ends
-the prefix is its last token if it may follow the last token before it, that is, if no
-merge across their border would have come before the merges that built the two.
+not met lately form a trie.  A walk down the trie keeps, for the prefix at each depth, the
+last token of that prefix's encoding: the encoding of a prefix is the encoding of what
+precedes its last token plus that token, so one number a depth is the whole state, and a
+prefix that many words share is worked out once.  A token that ends the prefix is its last
+token if it may follow the last token before it, that is, if no merge across their border
+would have come before the merges that built the two.  Which tokens end a prefix is told
+by the vocabulary's own trie with suffix links.
 
 Encodings are those of the tokenizer file: NFC, white space to blanks, lower case, the
 file's split pattern, byte symbols, merges by rank, and special tokens found in the raw
 text first.  Decoding joins the tokens with blanks, as a file without a decoder asks.
 
 Null text is empty: no tokens, and the hash of the empty string.  Text of any length is
-encoded whole.  Rows are independent, so ties, repeated rows, empty tables and extra
-columns need no rule.
+encoded whole.  Rows are independent, so ties, repeated rows and empty tables need no
+rule.  Other columns are kept; a column named like a result is an error, not replaced.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from panelspark.llm.shared import empty_texts, table
+from panelspark.llm.shared import empty_texts, releasing, table
 
-CACHE_WORDS = 150_000
+CACHE_WORDS = 120_000
 _SPACES = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SENTINEL = 1 << 60
 
@@ -77,19 +78,50 @@ class Bpe:
                 self.parts[whole] = (self.ids[a], self.ids[b])
                 self.made[whole] = r
         self._edges: tuple[dict, dict] = ({}, {})
-        self._follows: dict[tuple[int, int], bool] = {}
-        # vocabulary trie by symbols (the last one with the end mark, if any); None leads to the token's id
-        self.vocab: dict = {}
+        self._follows: dict[int, bool] = {}
+        # a symbol is a character, with the end mark if it is a word's last one
+        self.symbols = {c: i for i, c in enumerate(self.chars)}
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """The vocabulary's trie, with a link from each node to the longest proper suffix that is a node too."""
+        self.step: dict[int, int] = {}  # node << 9 | symbol -> node
+        token, depth = [-1], [0]
         for t, i in self.ids.items():
             # a token that its own parts would not be merged into is never used
             if i in self.parts and not self._sound(i):
                 continue
             ended = bool(self.end) and t.endswith(self.end) and len(t) > len(self.end)
             body = t[: -len(self.end)] if ended else t
-            node = self.vocab
-            for c in [*body[:-1], body[-1] + self.end * ended]:
-                node = node.setdefault(c, {})
-            node[None] = i
+            if any(c not in self.symbols for c in body):
+                continue
+            node = 0
+            for d, c in enumerate(body, 1):
+                key = node << 9 | self.symbols[c] | (ended and d == len(body)) << 8
+                node = self.step.get(key)
+                if node is None:
+                    node = self.step[key] = len(token)
+                    token.append(-1)
+                    depth.append(d)
+            token[node] = i
+        self.link = [0] * len(token)
+        self.ends: list[tuple | None] = [None] * len(token)  # (token, its length) of each suffix that is a token, long ones first
+        edges = sorted(self.step.items(), key=lambda e: depth[e[1]])
+        for key, node in edges:  # by depth, so that links of what is above are there
+            if key >> 9:
+                self.link[node] = self.after(self.link[key >> 9], key & 511)
+            own = ((token[node], depth[node]),) if token[node] >= 0 else ()
+            self.ends[node] = own + (self.ends[self.link[node]] or ())
+        self.ends[0] = ()
+
+    def after(self, node: int, symbol: int) -> int:
+        """The node of the longest suffix that goes on with ``symbol``."""
+        at = node
+        while (to := self.step.get(at << 9 | symbol)) is None:
+            if not at:
+                return 0
+            at = self.link[at]
+        return to
 
     def _sound(self, token: int) -> bool:
         a, b = self.parts[token]
@@ -121,52 +153,52 @@ class Bpe:
         return True
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Encodings of distinct words given as byte characters without the end mark."""
-        trie: dict = {}
-        for w in words:
-            node = trie
-            for c in w[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault(w[-1] + self.end, w)  # a leaf: the last symbol bears the end mark
+        """Encodings of distinct words given as byte characters without the end mark.
+
+        In sorted order the words are the trie's leaves as a depth-first walk meets them: a
+        word goes on from the states of the prefix that it shares with the one before.
+        """
         out: dict[str, list[int]] = {}
-        follows, border, vocab = self._follows, self._border, self.vocab
-        if len(follows) > 300_000:
+        follows, border, ends, step, after, symbols = self._follows, self._border, self.ends, self.step, self.after, self.symbols
+        if len(follows) > 200_000:
             follows.clear()
-        # by depth: the prefix's last token, where that starts, and the places from which a longer token may come
-        last, start, open_at = [-1], [0], [[]]
-        stack: list = [(c, n, 1) for c, n in trie.items()]
-        while stack:
-            symbol, node, depth = stack.pop()
-            del last[depth:], start[depth:], open_at[depth:]
-            found, more = -1, []
-            for s, v in (*open_at[-1], (depth - 1, vocab)):
-                v = v.get(symbol)
-                if v is None:
-                    continue
-                more.append((s, v))
-                token = v.get(None)
-                if token is not None and found < 0:
+        # by depth: the vocabulary's node, the prefix's last token, and where that starts
+        node, last, start = [0], [-1], [0]
+        before = ""
+        for w in sorted(words):
+            n = 0
+            for x, y in zip(before[:-1], w[:-1]):  # the last symbol bears the end mark
+                if x != y:
+                    break
+                n += 1
+            del node[n + 1 :], last[n + 1 :], start[n + 1 :]
+            at = node[n]
+            for d in range(n + 1, len(w) + 1):
+                symbol = symbols[w[d - 1]]
+                if d == len(w):
+                    symbol |= 256
+                to = step.get(at << 9 | symbol)
+                at = after(at, symbol) if to is None else to
+                for token, size in ends[at]:
+                    s = d - size
                     if s:
-                        key = (last[s], token)
+                        key = last[s] << 17 | token
                         ok = follows.get(key)
                         if ok is None:
-                            ok = follows[key] = border(*key)
+                            ok = follows[key] = border(last[s], token)
                         if not ok:
                             continue
-                    found = token
-                    start.append(s)
-            if found < 0:
-                raise ValueError(f"no token ends at {symbol!r}, depth {depth}")
-            last.append(found)
-            open_at.append(more)
-            if isinstance(node, str):
-                ids, d = [], depth
-                while d:
-                    ids.append(last[d])
-                    d = start[d]
-                out[node] = ids[::-1]
-            else:
-                stack.extend([(c, n, depth + 1) for c, n in node.items()])
+                    break
+                else:
+                    raise ValueError(f"no token ends at {w[:d]!r}")
+                node.append(at)
+                last.append(token)
+                start.append(s)
+            before, d, ids = w, len(w), []
+            while d:
+                ids.append(last[d])
+                d = start[d]
+            out[w] = ids[::-1]
         return out
 
     def words(self, text: str) -> list[str]:
@@ -182,41 +214,81 @@ _loaded: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Encodes texts with a bounded cache of words; ``spec`` is the JSON of a tokenizer file."""
+    """Encodes texts with a bounded cache of blank-delimited words; ``spec`` is the JSON of a tokenizer file.
+
+    No token spans white space, so a text's encoding is that of its blank-delimited words
+    one after the other.
+    """
 
     def __init__(self, spec: str):
         self.bpe = Bpe(json.loads(spec))
-        self.ids: dict[str, str] = {}
-        self.shown: dict[str, str] = {}
+        size = max(self.bpe.names, default=-1) + 1
+        self.names = [self.bpe.names.get(i, "") for i in range(size)]
+        self.decimals = [str(i) for i in range(size)]
+        self.words = Recent(CACHE_WORDS)  # blank-delimited words to their ids
+        self.parts = Recent(CACHE_WORDS)  # pre-tokens to their ids
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-            self.shown.clear()
-        bpe, ids = self.bpe, self.ids
-        new = {w if w.isascii() and w.isprintable() else "".join([bpe.chars[b] for b in w.encode()]): w for w in words if w not in ids}
-        for word, got in bpe.encode_words(list(new)).items():
-            w = new[word]
-            ids[w] = " ".join(map(str, got))
-            self.shown[w] = " ".join([bpe.names[i] for i in got])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """(number of tokens, decimal ids, decoded text) of each text, ids and tokens joined by blanks."""
+        """Encodes the words that were not met lately: their pre-tokens share one trie."""
+        bpe, parts = self.bpe, self.parts
+        split = {w: [p if p.isascii() and p.isprintable() else "".join([bpe.chars[b] for b in p.encode()]) for p in bpe.words(w)] for w in self.words.missing(words)}
+        every = {p for ps in split.values() for p in ps}
+        got = bpe.encode_words(parts.missing(every))
+        parts.new.update((p, tuple(ids)) for p, ids in got.items())
+        known, into = parts.new, self.words.new
+        for w, ps in split.items():
+            into[w] = known[ps[0]] if len(ps) == 1 else tuple([i for p in ps for i in known[p]])
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
         bpe = self.bpe
         # odd parts are special tokens
-        split = [[p if i % 2 else bpe.words(p) for i, p in enumerate(bpe.specials.split(t) if bpe.specials and any(x in t for x in bpe.special) else [t])] for t in texts]
+        split = [[p if i % 2 else blank_words(p) for i, p in enumerate(bpe.specials.split(t) if bpe.specials and any(x in t for x in bpe.special) else [t])] for t in texts]
         self.learn({w for parts in split for words in parts[::2] for w in words})
+        known = self.words.new.__getitem__
         for parts in split:
-            ids, shown = [], []
+            ids: list[int] = []
             for i, p in enumerate(parts):
                 if i % 2:
-                    ids.append(str(bpe.special[p]))
-                    shown.append(p)
-                elif p:
-                    ids.append(" ".join(map(self.ids.__getitem__, p)))
-                    shown.append(" ".join(map(self.shown.__getitem__, p)))
-            all_ids = " ".join(ids)
-            yield all_ids.count(" ") + 1 if all_ids else 0, all_ids, " ".join(shown)
+                    ids.append(bpe.special[p])
+                else:
+                    ids.extend(chain.from_iterable(map(known, p)))
+            yield ids
+
+    def shown(self, ids: list[int]) -> str:
+        """Decimal ids joined by blanks."""
+        return " ".join(map(self.decimals.__getitem__, ids))
+
+    def decode(self, ids: list[int]) -> str:
+        """Tokens joined by blanks, as a file without a decoder asks."""
+        return " ".join(map(self.names.__getitem__, ids))
+
+
+class Recent:
+    """A bounded cache: what was not asked for while ``size`` others came is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that are not known; the known ones are in ``new`` from here on."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if (v := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    new[k] = v
+        return out
+
+
+def blank_words(text: str) -> list[str]:
+    """The text divided at white space; str.split also divides at four control characters, which are none here."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in _SPACES.split(text) if w]
+    return text.split()
 
 
 def encoder(spec: str) -> Encoder:
@@ -246,33 +318,40 @@ def tokenizer_spec(path: str) -> str:
 
 
 def _encoded(df: DataFrame, spec: str, text: str, schema: str, row) -> DataFrame:
-    """Columns but ``text`` kept; ``row`` makes the added values of (n, ids, decoded)."""
+    """Columns but ``text`` kept; ``row`` makes the added values of the encoder and a text's ids."""
     sent = df.sparkSession.sparkContext.broadcast(spec)  # one tokenizer file, a few MB whatever the data
     fields_of = StructType.fromDDL(schema).fields
     names, kinds = [f.name for f in fields_of], [to_arrow_type(f.dataType) for f in fields_of]
-    keep = [c for c in df.columns if c != text and c not in names]
+    keep = _free_names(df, names, text)
 
     def run(batches):
         own = encoder(sent.value)
         for whole in batches:
             for batch in _batches(whole, text):
-                rows = [row(*r) for r in own.encode([t or "" for t in batch.column(text).to_pylist()])]
+                rows = [row(own, ids) for ids in own.encode([t or "" for t in batch.column(text).to_pylist()])]
                 cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, keep + names)
         del own
-        _loaded.clear()  # a worker that goes on to other work holds nothing
-        gc.collect()
+        _loaded.clear()
 
     kept = df.select(*keep, text)
     fields = [f"`{n}` {t}" for n, t in kept.drop(text).dtypes]
-    return kept.mapInArrow(run, ", ".join([*fields, schema]))
+    return kept.mapInArrow(releasing(run), ", ".join([*fields, schema]))
+
+
+def _free_names(df: DataFrame, added: list[str], taken: str) -> list[str]:
+    """The columns of ``df`` but ``taken``; one named like an added column is refused, not replaced."""
+    clash = [c for c in df.columns if c in added and c != taken]
+    if clash:
+        raise ValueError(f"columns named like results: {', '.join(clash)}")
+    return [c for c in df.columns if c != taken]
 
 
 def encode(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
     """n_tokens, ids (array of int) and decoded_sha256 in place of the text; a null text has an empty array."""
 
-    def row(n, ids, decoded):
-        return n, np.fromstring(ids, dtype=np.int32, sep=" "), hashlib.sha256(decoded.encode()).hexdigest()
+    def row(own, ids):
+        return len(ids), np.array(ids, np.int32), hashlib.sha256(own.decode(ids).encode()).hexdigest()
 
     return _encoded(df, spec, text, "n_tokens long, ids array<int>, decoded_sha256 string", row)
 
@@ -280,23 +359,25 @@ def encode(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
 def decode(df: DataFrame, spec: str, ids: str = "ids") -> DataFrame:
     """``decoded`` in place of the ids: tokens joined by blanks; null ids decode to the empty string."""
     sent = df.sparkSession.sparkContext.broadcast(spec)
-    keep = [c for c in df.columns if c not in (ids, "decoded")]
+    keep = _free_names(df, ["decoded"], ids)
 
     def run(batches):
-        names = encoder(sent.value).bpe.names
+        own = encoder(sent.value)
         for b in batches:
-            texts = [" ".join([names[i] for i in x or []]) for x in b.column(ids).to_pylist()]
+            texts = [own.decode(x or []) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "decoded"])
+        del own
+        _loaded.clear()
 
     kept = df.select(*keep, ids)
-    return kept.mapInArrow(run, ", ".join([*[f"`{n}` {t}" for n, t in kept.drop(ids).dtypes], "decoded string"]))
+    return kept.mapInArrow(releasing(run), ", ".join([*[f"`{n}` {t}" for n, t in kept.drop(ids).dtypes], "decoded string"]))
 
 
 def digests(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 in place of the text; what is hashed need not leave the task."""
+    """n_tokens, ids_sha256 and decoded_sha256 in place of the text: ids and what they decode to are hashed in the task."""
 
-    def row(n, ids, decoded):
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def row(own, ids):
+        return len(ids), hashlib.sha256(own.shown(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
 
     return _encoded(df, spec, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 
