@@ -8,7 +8,7 @@ shared folder before the next stage reads it.  An empty table passes through eve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.bpe import default_spec, encode
@@ -82,9 +82,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     bounded_batches(spark)
     names = _free(docs, "blob", "spans")
     rows = with_findings(docs, scan(docs, new_ledger(spark)), names=names)
-    text: Column = masked(F.col("text"), F.col(names[1]))
+    rows = masked(rows.select(*docs.columns, names[1]), names[1])
     kind = dict(docs.dtypes)["n_chars"]
-    rows = rows.withColumn("text", text)
     chars = F.when(F.size(names[1]) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
     return rows.withColumn("n_chars", chars).select(*docs.columns)
 
