@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 
 from panelspark.llm.shared import empty_texts, releasing, table
 
-CACHE_WORDS = 120_000
+CACHE_WORDS = 50_000
 _SPACES = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SENTINEL = 1 << 60
 

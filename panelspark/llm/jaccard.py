@@ -308,7 +308,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     sizes = sized.select("grp", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("t") / BLOCK_TOKENS)).cast("int").alias("blocks")).where("blocks > 1")
     named = named.join(sizes, "grp", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks")
     sets = all_sets.select("id", "fp", "n", "prefix").join(named, ["id", "fp"])
-    across = group_links(sets, docs, k, num, den)
+    across = written(group_links(sets, docs, k, num, den), "across")
     same = all_sets.where("n > 0").select("id", "fp").join(copies, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     whole = components(near.union(across).union(same))
     out = all_sets.select("id", "n").join(whole, F.col("id") == F.col("node"), "left")

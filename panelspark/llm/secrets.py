@@ -22,8 +22,9 @@ import re
 import uuid
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,26 +154,35 @@ def with_findings(paths: DataFrame, found: DataFrame, content: str = "text", nam
     return rows.join(found, blob, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast(SPANS))).select(*[c for c in paths.columns if c not in names], *names, *more)
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with every span (by start) replaced by its kind in brackets; of overlapping spans the first wins.
+def masked(rows: DataFrame, spans: str = "spans", content: str = "text") -> DataFrame:
+    """``rows`` with every span of the content (by start) replaced by its kind in brackets; of overlapping spans the first wins.
 
-    One pass over the text, however many spans; null text stays null, a text without spans as it is.
+    One pass over a text, however many spans; null text stays null, a text without spans as it is.
     """
-    return F.pandas_udf(_mask, "string")(text, spans)
-
-
-def _mask(text: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for t, found in zip(text, spans, strict=True):
-        if t is not None and found is not None and len(found):
-            parts, at = [], 0
-            for s in found:
-                if s["start"] >= at:
-                    parts += [t[at : s["start"]], "[", s["kind"], "]"]
-                    at = s["end"]
-            t = "".join([*parts, t[at:]])
-        out.append(t)
-    return pd.Series(out, dtype=object)
+    names = rows.columns
+    at, by = names.index(content), names.index(spans)
+
+    def mask(text: str, found: list[dict]) -> str:
+        parts, end = [], 0
+        for s in found:
+            if s["start"] >= end:
+                parts += [text[end : s["start"]], "[", s["kind"], "]"]
+                end = s["end"]
+        return "".join([*parts, text[end:]])
+
+    def run(batches):
+        for b in batches:
+            text = b.column(at)
+            hit = np.flatnonzero(pc.fill_null(pc.list_value_length(b.column(by)), 0).to_numpy(zero_copy_only=False))
+            if len(hit):
+                take = pa.array(hit)
+                new = [None if t is None else mask(t, f) for t, f in zip(text.take(take).to_pylist(), b.column(by).take(take).to_pylist(), strict=True)]
+                flags = np.zeros(len(text), bool)
+                flags[hit] = True
+                text = pc.replace_with_mask(text, pa.array(flags), pa.array(new, text.type))
+            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(b.columns)], names)
+
+    return rows.mapInArrow(releasing(run), rows.schema)
 
 
 def new_ledger(spark: SparkSession) -> str:

@@ -34,8 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB at most, whatever the length of texts, unless the session sets its own bounds."""
-    for key, usual, ours in (("maxBytesPerBatch", ("67108864", "67108864b", "64MB", "64m"), "8m"), ("maxRecordsPerBatch", ("10000",), "4000")):
+    """Arrow batches of 4 MB at most, whatever the length of texts, unless the session sets its own bounds."""
+    for key, usual, ours in (("maxBytesPerBatch", ("67108864", "67108864b", "64MB", "64m"), "4m"), ("maxRecordsPerBatch", ("10000",), "4000")):
         key = f"spark.sql.execution.arrow.{key}"
         if spark.conf.get(key) in usual:
             spark.conf.set(key, ours)
