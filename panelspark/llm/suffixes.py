@@ -6,8 +6,8 @@ corpus is built; suffixes meet by content:
 
 1. Every window of ``length`` bytes has an anchor: the smallest hash among its substrings
    of half that length.  Equal windows have equal anchors, and consecutive windows share
-   theirs, so about one position in fifty is shuffled, as (anchor, hash of the bytes that
-   the anchor's windows span, place).  Equal spans are repeated whole; a task settles
+   theirs, so about one position in fifty is shuffled, as (anchor, digest of the bytes
+   that the anchor's windows span, place).  Equal spans are repeated whole; a task settles
    those it holds itself first and passes on one of each, so copies do not pile up.
 2. Spans that share an anchor but differ (the ends of a repeated passage) are fetched.
    Their suffixes are sorted by a mergesort whose comparisons find common extensions by
@@ -18,7 +18,8 @@ corpus is built; suffixes meet by content:
    the parts by an aggregation over their hashes.
 3. The byte ranges of each distinct text are united and cut out.
 
-Texts are told apart by a 64-bit hash; a text that occurs twice repeats as a whole.
+Spans are told apart by 64 bits of a cryptographic digest under the 64-bit hash of their
+anchor, texts by SHA-256; a text that occurs twice repeats as a whole.
 Null text is empty.  Texts shorter than ``length`` keep all their bytes, whatever they
 repeat.  Matches lie within one text.  Texts are used whole.  Repeated rows are copies of
 each other.  An empty table gives an empty result; extra columns are ignored.  What is
@@ -27,15 +28,17 @@ kept is bytes: a cut may fall inside a character.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import text as X
 from panelspark.llm.jaccard import FILTER_BITS, id_filter
-from panelspark.llm.shared import empty_texts, table, written
+from panelspark.llm.shared import empty_texts, releasing, table, written
 
 GROUP = 4096
 LOW = np.uint64(0xFFFFFFFF)
@@ -43,10 +46,10 @@ U = np.uint64
 
 
 def _anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For each run of windows with one anchor: row, first and last window, anchor's place, anchor hash, span hash."""
+    """For each run of windows with one anchor: row, first and last window, anchor's place, anchor hash."""
     half = length // 2
     n = len(data)
-    none = tuple(np.empty(0, np.int64) for _ in range(4)) + tuple(np.empty(0, np.uint64) for _ in range(2))
+    none = tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),)
     if n < length:
         return none
     sums = X.prefix_hash(data)
@@ -68,9 +71,13 @@ def _anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarra
     cut = np.flatnonzero((place[1:] != place[:-1]) | (row[1:] != row[:-1])) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]]) - 1
     anchor = grams[place[lo]]
-    span = X.mix(X.span_hash(sums, window[lo], window[hi] + length) ^ anchor)
     r = row[lo]
-    return r, window[lo] - offs[r], window[hi] - offs[r], place[lo] - offs[r], anchor, span
+    return r, window[lo] - offs[r], window[hi] - offs[r], place[lo] - offs[r], anchor
+
+
+def digests(parts: Iterable[bytes]) -> np.ndarray:
+    """64 bits of each string's BLAKE2b; two strings are told apart by these and by the hash of their anchor."""
+    return np.frombuffer(b"".join([blake2b(p, digest_size=8).digest() for p in parts]), np.uint64)
 
 
 def _merged(text: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -103,7 +110,9 @@ def _found(length: int):
         for b in batches:
             ids = b.column(0).to_numpy()
             for lo, hi, data, offs in X.slices(b.column(1)):
-                r, first, last, _, anchor, span = _anchors(data, offs, length)
+                r, first, last, _, anchor = _anchors(data, offs, length)
+                raw = data.tobytes()
+                span = digests(raw[a:b] for a, b in zip((offs[r] + first).tolist(), (offs[r] + last + length).tolist(), strict=True))
                 for into, a in zip(got, (ids[lo:hi][r], first, last, anchor, span), strict=True):
                     into.append(a)
         if not got[0]:
@@ -111,9 +120,14 @@ def _found(length: int):
         tid, first, last, anchor, span = (np.concatenate(g) for g in got)
         del got
         _, pick, inverse, times = np.unique(span, return_index=True, return_inverse=True, return_counts=True)
+        # equal digests under another anchor are other spans
+        other = np.flatnonzero(anchor != anchor[pick][inverse])
+        times -= np.bincount(inverse[other], minlength=len(times))
         settled = (times > 1)[inverse]
+        settled[other] = False
         t, lo, end = _merged(tid[settled], first[settled], last[settled] + length)
-        tid, first, last, anchor, span, many = tid[pick], first[pick], last[pick], anchor[pick], span[pick], (times > 1).astype(np.int64)
+        pick, many = np.concatenate([pick, other]), np.concatenate([times > 1, np.zeros(len(other), bool)]).astype(np.int64)
+        tid, first, last, anchor, span = tid[pick], first[pick], last[pick], anchor[pick], span[pick]
         at = first << 32 | last << 1 | many
         for i in range(0, len(at), 100_000):
             j = slice(i, i + 100_000)
@@ -267,9 +281,9 @@ class Suffixes:
         return out, first
 
 
-def _compared(length: int):
-    """Rows (key, tid, lo, hi, known, bytes) by key to rows (tid, lo, hi, window, known): ranges, or (window not null) windows left over."""
-    names = ["tid", "lo", "hi", "window", "known"]
+def _compared(length: int, most: int):
+    """Rows (key, tid, lo, hi, known, bytes) by key to rows (tid, lo, hi, key, window, known): ranges, or (window not null) windows left over."""
+    names = ["tid", "lo", "hi", "key", "window", "known"]
 
     def sorted_part(rows: list[tuple], left_over: bool):
         keys = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in rows))}
@@ -282,7 +296,7 @@ def _compared(length: int):
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = begin[row] + step
         # the distance to the anchor: each row's windows share it, so it is found in the row's own bytes
-        _, _, _, place, _, _ = _one_anchor(raw, begin, length)
+        _, _, _, place, _ = _one_anchor(raw, begin, length)
         cls = np.array([keys[r[0]] for r in rows])[row] * 1024 + place[row] - step
         s = Suffixes(raw, length)
         rep, first = s.repeated(at, cls)
@@ -290,18 +304,20 @@ def _compared(length: int):
         hit = rep & ~known[row]
         w = (lo[row] + step)[hit]
         t, a, b = _merged(tid[row][hit], w, w + length)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.nulls(len(t), pa.int64()), pa.array(np.ones(len(t), bool))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), pa.array(np.ones(len(t), bool))], names)
         if left_over:
             at, r, i = at[first], row[first], step[first]
-            h = X.mix(X.span_hash(s.sums, at, at + length) ^ np.array([r[0] for r in rows], np.int64).view(np.uint64)[r])
-            yield pa.RecordBatch.from_arrays([pa.array(tid[r]), pa.array((lo[r] + i).astype(np.int32)), pa.array((lo[r] + i + length).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(rep[first] | known[r])], names)
+            whole = raw.tobytes()
+            h = digests(whole[i : i + length] for i in at.tolist())
+            own = np.array([r[0] for r in rows], np.int64)[r]
+            yield pa.RecordBatch.from_arrays([pa.array(tid[r]), pa.array((lo[r] + i).astype(np.int32)), pa.array((lo[r] + i + length).astype(np.int32)), pa.array(own), pa.array(h.view(np.int64)), pa.array(rep[first] | known[r])], names)
 
     def run(batches):
         rows: list[tuple] = []
         long_key = None
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(rows) >= GROUP:
+                if len(rows) >= most:
                     if rows[0][0] == r[0] or rows[0][0] == long_key:  # one anchor fills the part, or the end of one that did
                         long_key = rows[0][0]
                         mine = [x for x in rows if x[0] == long_key]
@@ -342,7 +358,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             ok[ok] = [not (t in met or met.add(t)) for t in tid[ok].tolist()]
             yield b.filter(pa.array(ok))
 
-    return docs.select("tid", "text").mapInArrow(near, "tid long, text string").join(ids, "tid", "left_semi")
+    return docs.select("tid", "text").mapInArrow(releasing(near), "tid long, text string").join(ids, "tid", "left_semi")
 
 
 def _pieces(length: int):
@@ -363,20 +379,20 @@ def _pieces(length: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 200, group: int = GROUP) -> DataFrame:
     """(tid, lo, hi): byte ranges, overlapping or not, that cover the repeated bytes of each text; ``docs`` has tid and text."""
-    found = docs.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(_found(length), "key long, span long, tid long, at long")
+    found = docs.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(releasing(_found(length)), "key long, span long, tid long, at long")
     found = found.repartition("key").sortWithinPartitions("key", "span")
-    sure = written(found.mapInArrow(_decided(length), "key long, tid long, lo int, hi int, ask boolean, known boolean"), "decided")
+    sure = written(found.mapInArrow(releasing(_decided(length)), "key long, tid long, lo int, hi int, ask boolean, known boolean"), "decided")
     asks = sure.where("ask").groupBy("tid").agg(F.collect_list(F.struct("key", "lo", "hi", "known")).alias("asks"))  # of one text
     asks = written(asks, "asks")
-    got = texts_of(docs, asks.select("tid")).join(asks, "tid").select("tid", "text", "asks").mapInArrow(_pieces(length), "key long, tid long, lo int, hi int, known boolean, bytes binary")
+    got = texts_of(docs, asks.select("tid")).join(asks, "tid").select("tid", "text", "asks").mapInArrow(releasing(_pieces(length)), "key long, tid long, lo int, hi int, known boolean, bytes binary")
     got = got.repartition("key").sortWithinPartitions("key", "tid", "lo")
-    more = written(got.mapInArrow(_compared(length), "tid long, lo int, hi int, window long, known boolean"), "compared")
+    more = written(got.mapInArrow(releasing(_compared(length, group)), "tid long, lo int, hi int, key long, window long, known boolean"), "compared")
     # windows of groups that were sorted in parts
     left = more.where(F.col("window").isNotNull())
-    twice = left.groupBy("window").agg(F.count("*").alias("c"), F.max("known").alias("k")).where("c > 1")
-    across = left.where("NOT known").join(twice.select("window"), "window", "left_semi").select("tid", "lo", "hi")
+    twice = left.groupBy("key", "window").agg(F.count("*").alias("c"), F.max("known").alias("k")).where("c > 1")
+    across = left.where("NOT known").join(twice.select("key", "window"), ["key", "window"], "left_semi").select("tid", "lo", "hi")
     ends = more.where(F.col("window").isNull()).select("tid", "lo", "hi")
     return sure.where("NOT ask").select("tid", "lo", "hi").union(ends).union(across)
 
@@ -398,19 +414,35 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["tid", "n_removed", "n_spans", "kept"])
 
 
-def without_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def with_tid(docs: DataFrame, text: str) -> DataFrame:
+    """``tid``, a 64-bit number of each distinct text: a hash; texts whose hashes collide, as SHA-256 tells, get another one."""
+    tid, digest = text_hash(F.col(text)), F.sha2(text, 256)
+    same = docs.select(tid.alias("tid"), F.unhex(digest).alias("d")).groupBy("tid").agg((F.min("d") != F.max("d")).alias("c")).where("c").select("tid")
+    same = written(same, "collisions")
+    docs = docs.withColumn("tid", tid)
+    if same.isEmpty():
+        return docs
+    other = docs.join(same.withColumn("_c", F.lit(True)), "tid", "left")
+    return other.withColumn("tid", F.when(F.col("_c"), F.xxhash64(digest)).otherwise(F.col("tid"))).select(*docs.columns)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(``docs`` with tid and null text read as empty, (tid, n_removed, n_spans, kept) of each text that loses bytes)."""
-    docs = empty_texts(docs, text).withColumn("tid", F.xxhash64(text))
+    docs = with_tid(empty_texts(docs, text), text)
     plain = docs.select("tid", F.col(text).alias("text"))
-    ranges = repeated_ranges(plain, length).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # of one text
+    ranges = repeated_ranges(plain, length, group).groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # of one text
     ranges = written(ranges, "ranges")
     cut = texts_of(plain, ranges.select("tid")).dropDuplicates(["tid"]).join(ranges, "tid").select("tid", "text", "ranges")
-    return docs, cut.mapInArrow(_cut, "tid long, n_removed long, n_spans long, kept binary")
+    return docs, cut.mapInArrow(releasing(_cut), "tid long, n_removed long, n_spans long, kept binary")
 
 
-def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_suffixes(spark: SparkSession, sf_dir: str, group: int = GROUP) -> DataFrame:
     """What every document keeps without its repeated 200-byte strings."""
-    docs, cut = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs, cut = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), group=group)
     cut = written(cut.select("tid", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "cut")
     rows = docs.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_whole"))
     out = rows.join(cut, "tid", "left")
