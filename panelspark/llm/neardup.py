@@ -6,11 +6,13 @@ of its nearest centroid and visits each further cell whose border lies within ``
 two unit vectors of cosine >= t are at most s = sqrt(2 - 2t) apart, so with margin = s
 no link can be missed (``exact=True``).  In d dimensions the part of such a difference
 along one border's normal is about s / sqrt(d); by default the margin is 4.5 times that
-(s itself up to 20 dimensions), which left recall at 1.0 in every measurement here.
+(s itself up to 20 dimensions).  Norms are taken after division by the largest component,
+so neither tiny nor huge vectors lose their direction.
 
-The rows of a cell are split into blocks of about ``BLOCK`` home vectors.  A task holds
-one block and streams the cell's other rows past it in batches, so a group of near copies
-that a third of all vectors belong to is many tasks of bounded memory.  Each block's rows
+Equal vectors are one vector with a weight from here on, so copies, however many, are
+compared once.  The rows of a cell are split into blocks of about ``BLOCK`` numbers of home
+vectors.  A task holds one block and streams the cell's other rows past it in batches, so a
+group of near copies that a third of all vectors belong to is many tasks of bounded memory.  Each block's rows
 see every row that may link to them, so their link counts are complete there, and the
 task passes on a spanning forest of its links, not the links.
 
@@ -18,8 +20,9 @@ Cosines are those of double precision: products in single precision decide only
 farther than ``BAND`` from the threshold, the rest is worked out in double.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without an
-id link with nothing and are kept.  Vectors of different length do not link.  Rows that
-repeat an id are one vector met twice: they do not link with each other.  An empty table
+id link with nothing and are kept.  Vectors of different length do not link.  Every row
+counts as a vector of its own in other rows' link counts; rows that repeat an id do not
+link with each other.  An empty table
 gives an empty result.  Extra columns are ignored.
 """
 
@@ -32,24 +35,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm.components import Forest, components
-from panelspark.llm.shared import table, written
+from panelspark.llm.shared import releasing, table, written
 
 SAMPLE = 20_000
-BLOCK = 1024
+BLOCK = 1 << 18  # numbers
 CELL = 2000
 MOST_CELLS = 16_384
 BAND = 1e-4
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, a bounded number of products at a time."""
+    step = max(1, (1 << 23) // len(c))
+    return np.concatenate([(x[i : i + step] @ c.T).argmax(axis=1) for i in range(0, len(x), step)])
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """k unit centroids of unit vectors, by Lloyd's steps from the first k vectors."""
     c = x[:k].copy()
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        size = np.linalg.norm(total, axis=1)
-        c = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], c)
+        near = nearest(x, c)
+        order = np.argsort(near, kind="stable")
+        at = np.flatnonzero(np.diff(near[order], prepend=-1))
+        total = np.add.reduceat(x[order], at, axis=0)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c[near[order][at]] = np.where(size > 1e-9, total / np.maximum(size, 1e-9), c[near[order][at]])
+    if not np.isfinite(c).all():
+        raise ValueError("a centroid is not finite")
     return c
 
 
@@ -66,30 +84,35 @@ def fit_cells(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
     got = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("e", "n").toPandas()
     out = {}
     for n, part in got.groupby("n"):
-        x = np.stack(part["e"].map(np.asarray).to_list()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.stack(part["e"].map(np.asarray).to_list()).astype(np.float64))
         k = max(1, min(MOST_CELLS, round(count * len(x) / len(got) / CELL), len(x)))
         out[int(n)] = spherical_kmeans(x, k)
     return out
 
 
-def _visits(cells: dict[int, np.ndarray], margins: dict[int, float]):
-    """Rows (id, e, n) to a row for each cell met: dim, cell, home."""
+def _visits(sent, margins: dict[int, float]):
+    """Rows (id, e, n, weight) to a row for each cell met: dim, cell, home."""
 
     def run(batches):
+        cells = sent.value
         for pdf in batches:
             for n, part in pdf.groupby("n"):
                 c = cells.get(int(n))
-                x = np.stack(part["e"].map(np.asarray).to_list())
                 if c is None or len(c) == 1:
-                    yield pd.DataFrame({"id": part["id"], "e": part["e"], "dim": n, "cell": 0, "home": True})
+                    yield pd.DataFrame({"id": part["id"], "e": part["e"], "weight": part["weight"], "dim": n, "cell": 0, "home": True})
                     continue
-                dot = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T
-                home = dot.argmax(axis=1)
-                gap = dot.max(axis=1, keepdims=True) - dot
-                apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-18))[home]
-                r, cell = np.nonzero(gap <= margins[int(n)] * apart + 1e-9)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[r], "e": part["e"].to_numpy()[r], "dim": n, "cell": cell, "home": cell == home[r]})
+                step = max(1, (1 << 22) // len(c))
+                for lo in range(0, len(part), step):
+                    some = part.iloc[lo : lo + step]
+                    dot = unit(np.stack(some["e"].map(np.asarray).to_list())) @ c.T
+                    home = dot.argmax(axis=1)
+                    gap = dot.max(axis=1, keepdims=True) - dot
+                    # centroids are at most 2 apart; how far is worked out for the cells that this leaves
+                    r, cell = np.nonzero(gap <= margins[int(n)] * 2 + 1e-9)
+                    apart = np.linalg.norm(c[cell] - c[home[r]], axis=1)
+                    ok = gap[r, cell] <= margins[int(n)] * apart + 1e-9
+                    r, cell = r[ok], cell[ok]
+                    yield pd.DataFrame({"id": some["id"].to_numpy()[r], "e": some["e"].to_numpy()[r], "weight": some["weight"].to_numpy()[r], "dim": n, "cell": cell, "home": cell == home[r]})
 
     return run
 
@@ -100,11 +123,6 @@ def _compare(threshold: float):
     def run(batches):
         key, ids, base, n_links, forest, wait = None, None, None, None, None, []
 
-        def unit(x: np.ndarray) -> np.ndarray:
-            # scaled by the largest component first, so that squares neither overflow nor vanish
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            return x / np.linalg.norm(x, axis=1, keepdims=True)
-
         def out():
             a = [(i, r) for i in list(forest.up) if (r := forest.root(i)) != i]
             n = len(ids)
@@ -112,7 +130,7 @@ def _compare(threshold: float):
                 [pa.array(np.concatenate([ids, np.array([i for i, _ in a], np.int64)])), pa.array(list(n_links) + [None] * len(a), pa.int64()), pa.array([None] * n + [r for _, r in a], pa.int64())],
                 ["id", "links", "other"])
 
-        def against(oid: np.ndarray, x: np.ndarray) -> None:
+        def against(oid: np.ndarray, weight: np.ndarray, x: np.ndarray) -> None:
             low = base.astype(np.float32) @ x.T.astype(np.float32)
             r, c = np.nonzero(low >= threshold - BAND)
             close = np.abs(low[r, c] - threshold) <= BAND
@@ -125,7 +143,7 @@ def _compare(threshold: float):
             r, c = r[other], c[other]
             if not len(r):
                 return
-            np.add.at(n_links, r, 1)
+            np.add.at(n_links, r, weight[c])
             # labels of block rows and batch rows settle to the smallest row reached; one union each follows
             rows, cols = np.arange(len(ids)), np.full(len(oid), len(ids))
             while True:
@@ -145,14 +163,16 @@ def _compare(threshold: float):
             nonlocal ids, base, n_links, forest, wait
             ids = np.concatenate([w[0] for w in wait])
             base = np.concatenate([w[1] for w in wait])
+            weights = np.concatenate([w[2] for w in wait])
             wait, n_links, forest = [], np.zeros(len(ids), np.int64), Forest()
-            for lo in range(0, len(ids), 2048):
-                against(ids[lo : lo + 2048], base[lo : lo + 2048])
+            for lo in range(0, len(ids), 1024):
+                against(ids[lo : lo + 1024], weights[lo : lo + 1024], base[lo : lo + 1024])
 
         for b in batches:
             dims, cells, blocks, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             vid = b.column(4).to_numpy()
-            flat = b.column(5)
+            weight = b.column(5).to_numpy()
+            flat = b.column(6)
             cut = np.flatnonzero((np.diff(dims) != 0) | (np.diff(cells) != 0) | (np.diff(blocks) != 0) | (np.diff(own.astype(np.int8)) != 0)) + 1
             for lo, hi in zip([0, *cut], [*cut, len(vid)], strict=True):
                 if lo == hi:
@@ -167,12 +187,13 @@ def _compare(threshold: float):
                 part = flat.slice(lo, hi - lo)
                 x = unit(part.flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1))
                 if own[lo]:
-                    wait.append((vid[lo:hi], x))
+                    wait.append((vid[lo:hi], x, weight[lo:hi]))
                 else:
                     if wait:
                         start()
-                    for at in range(0, hi - lo, 2048):
-                        against(vid[lo + at : min(hi, lo + at + 2048)], x[at : at + 2048])
+                    for at in range(0, hi - lo, 1024):
+                        to = min(hi, lo + at + 1024)
+                        against(vid[lo + at : to], weight[lo + at : to], x[at : at + 1024])
         if wait:
             start()
         if ids is not None:
@@ -181,31 +202,40 @@ def _compare(threshold: float):
     return run
 
 
-def links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((id, n_links) of every usable vector, (node, component) of every linked one)."""
-    rows = valid(vectors, key, vector)
+def links(rows: DataFrame, threshold: float = 0.95, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((id, links), (a, b)) of distinct usable vectors (id, e, n, weight): summed weights of those linked with each, and a forest of the links."""
+    spark = rows.sparkSession
     cells = fit_cells(rows, rows.count())
     far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     margins = {n: far if exact else min(far, 4.5 * far / np.sqrt(n)) for n in cells}
-    met = written(rows.mapInPandas(_visits(cells, margins), "id long, e array<double>, dim int, cell int, home boolean"), "cells")
+    sent = spark.sparkContext.broadcast(cells)  # MOST_CELLS centroids a vector length at most
+    met = written(rows.mapInPandas(releasing(_visits(sent, margins)), "id long, e array<double>, weight long, dim int, cell int, home boolean"), "cells")
     # a row a cell: at most MOST_CELLS for each vector length
-    blocks = met.where("home").groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    size = F.greatest(F.lit(256), F.floor(BLOCK / F.greatest("dim", F.lit(1))))
+    blocks = met.where("home").groupBy("dim", "cell").agg(F.count("*").alias("c")).select("dim", "cell", F.ceil(F.col("c") / size).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     units = met.join(blocks, ["dim", "cell"]).withColumn("own", F.when(F.col("home"), own))
-    units = units.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "id", "e")
+    units = units.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "own", "id", "weight", "e")
     units = units.withColumn("other", ~(F.coalesce(F.col("own"), F.lit(-1)) == F.col("block")))
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    units = units.repartition(parts, "dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "other")
-    got = written(units.select("dim", "cell", "block", (~F.col("other")).alias("own"), "id", "e").mapInArrow(_compare(threshold), "id long, links long, other long"), "links")
-    counts = got.where(F.col("links").isNotNull()).select("id", F.col("links").alias("n_links"))
-    return counts, components(got.where(F.col("other").isNotNull()), "id", "other")
+    units = units.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "other")
+    got = units.select("dim", "cell", "block", (~F.col("other")).alias("own"), "id", "weight", "e").mapInArrow(releasing(_compare(threshold)), "id long, links long, other long")
+    got = written(got, "links")
+    return got.where(F.col("links").isNotNull()).select("id", "links"), got.where(F.col("other").isNotNull()).select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", exact: bool = False) -> DataFrame:
     """One row a vector: key, n_links, component_id, kept; the vector with the component's smallest id is kept."""
-    counts, groups = links(vectors, threshold, key, vector, exact)
+    usable = valid(vectors, key, vector)
+    distinct = written(usable.groupBy("e", "n").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vectors")
+    counts, found = links(distinct, threshold, exact)
+    copies = distinct.where("weight > 1").select("e", F.col("id").alias("rep"), "weight")
+    mine = usable.join(copies, "e", "left").groupBy("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight")).agg(F.count("*").alias("own"))
+    mine = written(mine, "copies")
+    groups = components(found.union(mine.where("id <> rep").select("id", "rep")), "a", "b")
+    # an id under several vectors has a row in ``mine`` for each; the largest count stands
+    counts = counts.groupBy("id").agg(F.max("links").alias("links")).withColumnRenamed("id", "rep")
+    per_id = mine.join(counts, "rep", "left").groupBy("id").agg(F.max(F.coalesce("links", F.lit(0).cast("long")) + F.greatest(F.col("weight") - F.col("own"), F.lit(0))).alias("n_links"))
     ids = vectors.select(F.col(key).cast("long").alias("_id"), F.col(key))
-    per_id = counts.groupBy("id").agg(F.max("n_links").alias("n_links"))
     out = ids.join(per_id, F.col("_id") == F.col("id"), "left").join(groups, F.col("_id") == F.col("node"), "left")
     component = F.coalesce("component", "_id")
     return out.select(key, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.coalesce(component == F.col("_id"), F.lit(True))).alias("kept"))
