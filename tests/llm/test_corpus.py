@@ -173,13 +173,13 @@ def test_secrets_and_the_ledger(spark, tmp_path):
     first = secrets.scan(df, ledger)
     n = spark.read.parquet(ledger).count()
     assert n == 4  # six paths, four blobs (null is empty)
-    secrets.scan(df, ledger, exists=True)
+    secrets.scan(df, ledger)
     assert spark.read.parquet(ledger).count() == n
     newer = tuple(r if r.kind != "hex" else secrets.Rule("hex", r.pattern, 20, version=2) for r in secrets.BASE + secrets.ADDED)
-    again = secrets.scan(df, ledger, rules=newer, exists=True)
+    again = secrets.scan(df, ledger, rules=newer)
     assert spark.read.parquet(ledger).where("array_contains(rules, 'hex@2')").count() == 4
     assert again.count() == first.count() == 2
-    m = secrets.with_findings(df, first).select("doc_id", secrets.masked(F.col("text"), F.col("spans")).alias("t")).collect()
+    m = secrets.masked(secrets.with_findings(df, first).select("doc_id", F.col("text").alias("t"), "spans"), content="t").collect()
     assert {r["doc_id"]: r["t"] for r in m}[1].startswith("é [assign]' token:short [access]")
 
 
@@ -199,11 +199,12 @@ def test_lm(spark, tmp_path):
 
 @pytest.mark.parametrize("group", [4096, 3])
 def test_suffixes(spark, tmp_path, monkeypatch, group):
-    monkeypatch.setattr(suffixes, "GROUP", group)
+    if group == 3:  # every text's hash collides with others
+        monkeypatch.setattr(suffixes, "text_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
     rnd = random.Random(4)
     shared = "".join(rnd.choice("abcdefgh é") for _ in range(260))
     rows = corpus() + [(500 + i, "".join(rnd.choice("abcxyz ") for _ in range(90 + i)) + shared[i * 3 :] + "".join(rnd.choice("abcxyz ") for _ in range(70)), "en", "a", 1) for i in range(14)] + [(600, "a" * 450, "en", "a", 1), (601, "ab" * 120, "en", "a", 1), (602, "q" * 200, "en", "a", 1)]
-    got = {r["doc_id"]: tuple(r)[1:] for r in registry.QUERIES["op7_suffixes"](spark, table_dir(spark, tmp_path, rows)).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.op7_suffixes(spark, table_dir(spark, tmp_path, rows), group).collect()}
     raw = [(i, (t or "").encode()) for i, t, *_ in rows]
     seen = Counter(r[s : s + 200] for _, r in raw for s in range(len(r) - 199))
     for i, r in raw:
@@ -240,12 +241,20 @@ def test_langid(spark):
 
 
 def test_licenses(spark):
-    rows = [(1, "Text.\nReleased under the MIT License.\nmore"), (2, "released UNDER the  MIT licence!"), (3, None), (4, ""), (5, "Licensed under the Apache License, Version 2.0."), (1, "Text.\nReleased under the MIT License.\nmore")]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.templates(spark)).collect()
-    assert {(r["doc_id"], r["line"], r["license"], r["n_rows"]) for r in got} == {(1, 2, "MIT", 2), (5, 1, "Apache-2.0", 1)}
-    low = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.templates(spark), least=0.7)
+    mit = next(t for name, t in licenses.TEMPLATES if name == "MIT" and len(t) > 300)
+    wrapped = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
+    bsd = next(t for name, t in licenses.TEMPLATES if name == "BSD-3-Clause")
+    rows = [
+        (1, "Text.\nReleased under the MIT License.\nmore"), (2, "released UNDER the  MIT licence!"), (3, None), (4, ""), (5, "Licensed under the Apache License, Version 2.0."),
+        (1, "Text.\nReleased under the MIT License.\nmore"), (6, "a heading\n\n" + wrapped + "\n\nother words"), (7, "Something else here. " + bsd + " And more words that follow, on one line"), (None, "Licensed under CC BY-NC 4.0."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"license": F.lit("x"), "place": F.lit(0)})
+    got = {(r["doc_id"], r["passage"], r["place"], r["license"], r["n_rows"]) for r in licenses.scan(df, licenses.templates(spark)).collect()}
+    assert {g for g in got if g[1] == "line"} == {(1, "line", 2, "MIT", 2), (5, "line", 1, "Apache-2.0", 1), (None, "line", 1, "CC-BY-NC-4.0", 1)}
+    assert (6, "paragraph", 2, "MIT", 1) in got and (7, "sentence", 2, "BSD-3-Clause", 1) in got and not {g for g in got if g[0] == 2}
+    low = licenses.scan(df, licenses.templates(spark), least=0.7)
     assert next(r["dice"] for r in low.collect() if r["doc_id"] == 2) == 0.75
-    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"), licenses.templates(spark)).count() == 0
+    assert licenses.scan(df.limit(0), licenses.templates(spark)).count() == 0
 
 
 def test_quality(spark, docs):
