@@ -61,8 +61,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """N-gram Jaccard join (5 words, 0.8): of each group of linked documents the one with the smallest id stays.
 
     A document is an id with a text.  Rows that repeat both are one document, of which one
-    row stays; different texts under one id, or under none, are documents of their own
-    (after those with an id, if a group has both).  Texts without words link with nothing and stay.
+    row stays.  Different texts under one id, or under none, are documents of their own, and
+    come after those whose id is theirs alone.  Texts without words link with nothing and stay.
     """
     bounded_batches(spark)
     key, number = _free(docs, "key", "number")
