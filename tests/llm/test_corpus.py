@@ -272,12 +272,129 @@ def test_quality(spark, docs):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(x in quality.SYMBOLS for x in t), dup, len(rep))
         assert r["base_failed"] == (len(w) < 20 or 100 * len(rep) > 30 * len(w)) and not (r["kept"] and r["base_failed"])
-    rng = np.random.default_rng(3)
-    keys, n = np.unique(rng.zipf(1.3, 5000) % 64**4, return_counts=True)
-    m = quality.KneserNey.of(keys, n)
-    for context in (int(keys[0]) >> 6, int(keys[-1]) >> 6, 5):
-        p = 10 ** m.logs(np.arange(64, dtype=np.uint32) + np.uint32(context << 6)).astype(np.float64)
-        assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def brute_perplexity(rows):
+    """log10 perplexity by the definition, from counts in dictionaries (no n-gram is pruned at this size)."""
+    def plain(t):
+        return ["0" if c in "0123456789" else " " if c in "\t\n\x0b\x0c\r" else c.lower() if c.isascii() else c for c in t]
+
+    def failed(t):
+        w = WORD.findall(t)
+        win = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        rep = {k for j in range(len(w) - 7) if win[tuple(w[j : j + 8])] > 1 for k in range(j, j + 8)}
+        return len(w) < 20 or 100 * len(rep) > 30 * len(w)
+
+    out = {}
+    for lang in {r[2] for r in rows}:
+        mine = [(i, plain(t or ""), failed(t or "")) for i, t, g, *_ in rows if g == lang]
+        counts = {5: Counter(tuple([""] * 4 + t)[j : j + 5] for _, t, bad in mine if not bad for j in range(len(t)))}
+        for k in (4, 3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        p = {(): None}
+        cut, total, gamma = {}, {}, {}
+        for k, c in counts.items():
+            n = [0] + [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+            d = [0, 0.5, 1.0, 1.5]
+            if n[1] and n[2] and n[3]:
+                y = n[1] / (n[1] + 2 * n[2])
+                d = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.01), i - 0.01) for i in (1, 2, 3)]
+            cut[k], total[k], gone = d, Counter(), Counter()
+            for g, v in c.items():
+                total[k][g[:-1]] += v
+                gone[g[:-1]] += d[min(v, 3)]
+            gamma[k] = {x: gone[x] / total[k][x] for x in total[k]}
+        seen = len(counts[1])
+
+        def prob(g, counts=counts, cut=cut, total=total, gamma=gamma, seen=seen):
+            p = 1 / (seen + 1) if seen else 1 / 0x110000
+            for k in range(1, 6):
+                part = g[5 - k :]
+                if part[:-1] in total[k]:
+                    v = counts[k][part]
+                    p = (v - cut[k][min(v, 3)]) / total[k][part[:-1]] * (v > 0) + gamma[k][part[:-1]] * p
+            return p
+
+        for i, t, _ in mine:
+            g = tuple([""] * 4 + t)
+            out[i, "".join(t)] = -sum(math.log10(prob(g[j : j + 5])) for j in range(len(t))) / len(t) if t else None
+    return out
+
+
+def test_perplexity_and_verdicts_by_definition(spark):
+    rows = list({r[0]: r for r in corpus(40) if len(r[1] or "") < 900}.values())
+    want = brute_perplexity(rows)
+    by_id = {i: v for (i, _), v in want.items()}
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, v in by_id.items():
+        assert (got[i]["perplexity"] is None) == (v is None)
+        if v is not None:
+            assert math.log10(got[i]["perplexity"]) == pytest.approx(v, abs=1e-9)
+        inside = v is not None and got[i]["lower"] is not None and got[i]["lower"] <= 10**v * (1 + 1e-9) and 10**v <= got[i]["upper"] * (1 + 1e-9)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and inside)
+    assert quality.judged(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_embeddings_of_all_norms_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 40)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 8))
+    x[450:] = x[:450] + rng.normal(size=(450, 8)) * 0.05
+    x[:40] *= np.where(np.arange(40) % 2, 1e-170, 1e200)[:, None]
+    x[40:60] = x[40]
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = u @ u.T >= 0.95
+    f = components.Forest()
+    for i, j in zip(*np.nonzero(c), strict=True):
+        f.join(int(i), int(j))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(df).collect()}
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (c[i].sum() - 1, f.root(i)) for i in range(900)) and c.sum() > 1800
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_of_the_default_margin_in_64_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 50)
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(600, 64))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.951 * a + math.sqrt(1 - 0.951**2) * b
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert sum(got[600 + i] == got[i] for i in range(600)) >= 595
+
+
+def test_best_labels_are_those_of_the_search():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        first = np.concatenate([[0], np.cumsum(rng.integers(0, 30, 6))])
+        scores = (rng.normal(size=(first[-1], 3)) * rng.choice([0.5, 2, 8])).astype(np.float32)
+        def value(label, scores=scores, first=first):
+            return sum(scores[np.arange(a, b), label[a:b]].sum() - 1.5 * (np.diff(label[a:b]) != 0).sum() for a, b in zip(first[:-1], first[1:], strict=True))
+        assert value(langid.best_labels(scores, first, 1.5)) == pytest.approx(value(langid.viterbi(scores, first, 1.5)), abs=1e-3)
+
+
+def test_pipeline_keeps_texts_of_repeated_ids_and_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    en = "the water of the house and the sea were blue in that long morning " * 2
+    fr = "les maisons et la mer avec des choses bleues dans le matin long " * 2
+    rows = [(1, en, "en", "a", 5), (1, fr, "fr", "a", 5), (None, en + "more words here", "en", "a", 5), (2, en, "en", "a", 5), (1, en, "en", "a", 5), (3, "password=abcdef1234 and token: zyxwvut99", "en", "a", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"score": F.lit("mine"), "spans": F.lit(7), "blob": F.array(F.lit(1)), "lang_pred": F.lit("x"), "_n": F.lit(1)})
+    one = P.language(spark, docs, "")
+    assert one.columns == docs.columns and {(r["score"], r["lang_pred"]) for r in one.collect()} == {("mine", "x")} and one.count() == 6
+    two = P.one_of_each_group(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"][:3]) for r in two.collect()) == [(1, "les"), (2, "the"), (3, "pas")]
+    three = P.without_secrets(spark, docs, "")
+    assert three.columns == docs.columns and {(tuple(r["blob"]), r["spans"]) for r in three.collect()} == {((1,), 7)}
+    assert next(r["text"] for r in three.collect() if r["doc_id"] == 3) == "[assign] and [assign]"
+    empty = docs.limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, "").count() == 0
 
 
 def test_queries_match_sql(spark):
