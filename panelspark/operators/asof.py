@@ -43,14 +43,13 @@ def validity(vintages: DataFrame, key: str, known: str, order: Sequence[str] = (
 def as_of_dates(dates: DataFrame, vintages: DataFrame, key: str, known: str, value: str, names: Sequence[str], day: str = "as_of", order: Sequence[str] = ("observation_date", "revision_id")) -> DataFrame:
     """For each distinct date a column a series: the value of its latest vintage known at midnight of that date.
 
-    Intervals of validity meet the distinct dates; both sides are small (vintages, sessions).
+    Each date asks for each of the named series, so dates and vintages meet in one as-of
+    join by series and no date is compared with every vintage.
     """
-    spans = validity(vintages.where(F.col(key).isin(list(names))), key, known, order)
-    d = dates.select(day).distinct()
-    at = F.col(day).cast("timestamp")
-    met = d.join(spans, (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
-    wide = met.groupBy(day).pivot(key, list(names)).agg(F.first(value))
-    return d.join(wide, day, "left")
+    asked = dates.select(day).distinct().withColumn(key, F.explode(F.array(*[F.lit(n) for n in names])))
+    known_rows = vintages.where(F.col(key).isin(list(names))).select(key, F.col(known).alias("_known"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).alias("_value"))
+    met = as_of_join(asked, known_rows, key, day, "_known", [f"_o{i}" for i in range(len(order))])
+    return met.groupBy(day).pivot(key, list(names)).agg(F.first("_value"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, day: str, start: str = "start_date", end: str = "end_date", known: str | None = None, how: str = "inner") -> DataFrame:

@@ -79,6 +79,22 @@ def shifted(dates: DataFrame, cal: DataFrame, day: str, n: int, name: str = "shi
     return at.join(F.broadcast(to), F.col("idx") == F.col("_to"), "left").drop("idx", "_to")
 
 
+def spanned(rows: DataFrame, cal: DataFrame, start: str, end: str, name: str = "as_of", closed: bool = False) -> DataFrame:
+    """Each row with each session of [start, end) in ``name``, of [start, end] if ``closed``; a null end is open, a null start meets nothing.
+
+    Both ends are looked up in the calendar by equality, and a row is copied only to the
+    sessions that it meets.
+    """
+    upto = F.date_add(F.col(end).cast("date"), 1) if closed else F.col(end).cast("date")
+    at = snapped(rows.withColumns({"_start": F.col(start).cast("date"), "_end": upto}), cal, "_start").withColumnRenamed("idx", "_a")
+    at = snapped(at, cal, "_end").withColumnRenamed("idx", "_b")
+    last = cal.agg((F.max("idx") + 1).alias("_size"))  # one row
+    at = at.crossJoin(F.broadcast(last)).withColumn("_b", F.coalesce("_b", "_size")).where("_a < _b")
+    at = at.withColumn("_i", F.explode(F.sequence("_a", F.col("_b") - 1)))
+    days = cal.select(F.col("idx").alias("_i"), F.col("session").alias(name))  # a row a session
+    return at.join(F.broadcast(days), "_i").drop("_i", "_a", "_b", "_size", "_start", "_end")
+
+
 def count_between(cal: DataFrame, start: date, end: date) -> DataFrame:
     return cal.where(F.col("session").between(F.lit(start), F.lit(end))).agg(F.count("*").alias("n"))
 

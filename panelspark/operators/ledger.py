@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelspark.functions.windows import ID
 from panelspark.operators.costs import Costs, with_costs
@@ -65,27 +68,54 @@ def rebalance_record(orders: DataFrame, targets: DataFrame) -> DataFrame:
     return o.crossJoin(w)
 
 
+def _signed() -> Column:
+    return F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity")).cast("double")
+
+
+def balances(fills: DataFrame) -> DataFrame:
+    """(account, security_id, quantity, cash): signed sums, pre-aggregated before the exchange."""
+    q = _signed()
+    return fills.groupBy("account", ID).agg(F.sum(q).alias("quantity"), F.sum(-q * F.col("price") - F.coalesce("cost", F.lit(0.0))).alias("cash"))
+
+
 def positions(fills: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """(account, security_id, quantity, cash, average_cost, realised): signed sums, and average cost by an ordered fold of each position's fills.
+    """(account, security_id, quantity, cash, average_cost, realised): sums and average cost by an ordered fold of each position's fills.
 
-    Buys raise the average cost by their price; sells realise against it and leave it.  A
-    fold holds the fills of one account and security.
+    Buys raise the average cost by their price; sells realise against it and leave it.
+    Partitions are sorted, which may spill, and read as a stream with one position's sums in
+    memory, however many fills it has.  A fill without quantity or price counts for nothing.
     """
-    signed = F.when(F.col("side") == "sell", -F.col("quantity")).otherwise(F.col("quantity"))
-    rows = fills.withColumn("_q", signed.cast("double"))
-    entry = F.struct(*[F.col(c) for c in order], F.col("_q").alias("q"), F.col("price").cast("double").alias("p"))
-    by = rows.groupBy("account", ID).agg(F.sum("_q").alias("quantity"), F.sum(-F.col("_q") * F.col("price") - F.coalesce("cost", F.lit(0.0))).alias("cash"), F.array_sort(F.collect_list(entry)).alias("_f"))
-    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("pnl"))
-
-    def step(acc, f):
-        buy = f["q"] > 0
-        held = acc["q"] + f["q"]
-        avg = F.when(buy & (held > 0), (acc["q"] * acc["avg"] + f["q"] * f["p"]) / held).when(held > 0, acc["avg"]).otherwise(0.0)
-        pnl = acc["pnl"] + F.when(~buy, F.least(-f["q"], F.greatest(acc["q"], F.lit(0.0))) * (f["p"] - acc["avg"])).otherwise(0.0)
-        return F.struct(held.alias("q"), avg.alias("avg"), pnl.alias("pnl"))
-
-    done = F.aggregate("_f", start, step)
-    return by.select("account", ID, "quantity", "cash", done["avg"].alias("average_cost"), done["pnl"].alias("realised"))
+    rows = fills.where("quantity IS NOT NULL AND price IS NOT NULL")
+    rows = rows.select("account", ID, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], _signed().alias("_q"), F.col("price").cast("double").alias("_p"), F.coalesce("cost", F.lit(0.0)).cast("double").alias("_c"))
+    rows = rows.repartition("account", ID).sortWithinPartitions("account", ID, *[f"_o{i}" for i in range(len(order))], "_q", "_p")
+
+    def fold(batches):
+        key, sums = None, [0.0] * 4
+        for batch in batches:
+            accounts, ids, *numbers = (c.to_pylist() for c in batch.columns)
+            done = []
+            for account, security, q, p, c in zip(accounts, ids, *numbers, strict=True):
+                if key != (account, security):
+                    if key is not None:
+                        done.append((*key, *sums))
+                    key, sums = (account, security), [0.0] * 4
+                held, cash, avg, pnl = sums
+                if q <= 0:
+                    pnl += min(-q, max(held, 0.0)) * (p - avg)
+                now = held + q
+                if now <= 0:
+                    avg = 0.0
+                elif q > 0:
+                    avg = (held * avg + q * p) / now
+                sums = [now, cash - q * p - c, avg, pnl]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, *sums), kinds, strict=True)], names)
+
+    out = StructType([*rows.select("account", ID).schema.fields, *[StructField(c, DoubleType()) for c in ("quantity", "cash", "average_cost", "realised")]])
+    kinds, names = list(to_arrow_schema(out).types), out.names
+    return rows.select("account", ID, "_q", "_p", "_c").mapInArrow(fold, out)
 
 
 def account_summary(held: DataFrame, quotes: DataFrame, cash: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.windows import DATE, ID, rolling
 from panelspark.operators.asof import as_of_join
-from panelspark.operators.calendar import shifted
+from panelspark.operators.calendar import numbered, shifted, spanned
 from panelspark.operators.costs import Costs, with_costs
 from panelspark.operators.weights import with_previous
 
@@ -57,8 +57,7 @@ def equity_curve(weights: DataFrame, prices: DataFrame, cal: DataFrame, delay: i
     rebalance) is taken off; costs of the whole value leave nothing.  Prices are carried forward over sessions without a bar.
     """
     held = holdings(weights, cal, delay)
-    days = cal.select(F.col("session").alias("as_of"))
-    live = held.join(F.broadcast(days), (F.col("as_of") >= F.col("start_date")) & (F.col("end_date").isNull() | (F.col("as_of") <= F.col("end_date"))))
+    live = spanned(held, cal, "start_date", "end_date", closed=True)
     bars = prices.select(ID, F.col(DATE).alias("_bar"), F.col("adjusted_close").alias("_p"))
     live = as_of_join(live, bars, ID, "as_of", "_bar").drop("_bar")
     live = live.withColumn("_p0", F.first("_p", ignorenulls=True).over(Window.partitionBy(ID, "start_date").orderBy("as_of")))
@@ -83,7 +82,8 @@ def curve_returns(curve: DataFrame) -> DataFrame:
 
 def marks(held_shares: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
     """(as_of, positions_value): shares held in [start_date, end_date) at the last price known on each day."""
-    live = held_shares.join(F.broadcast(days), (F.col("as_of") >= F.col("start_date")) & (F.col("end_date").isNull() | (F.col("as_of") < F.col("end_date"))))
+    cal = numbered(days.select(F.col("as_of").alias("session")).distinct())
+    live = spanned(held_shares, cal, "start_date", "end_date")
     bars = prices.select(ID, F.col(DATE).alias("_bar"), F.col("close").alias("_p"))
     return as_of_join(live, bars, ID, "as_of", "_bar").groupBy("as_of").agg(F.sum(F.col("shares") * F.col("_p")).alias("positions_value"))
 
@@ -99,6 +99,6 @@ def delisting_proceeds(held_shares: DataFrame, securities: DataFrame, prices: Da
     """(security_id, delisting_date, proceeds): last price times 1 + delisting return (null is -100%, 0.0 is 0.0) of shares held."""
     dead = securities.where("delisting_date IS NOT NULL").select(F.col(ID).alias("_k"), "delisting_date", F.coalesce("delisting_return", F.lit(-1.0)).alias("_r"))
     hit = (F.col(ID) == F.col("_k")) & (F.col("start_date") <= F.col("delisting_date")) & (F.col("end_date").isNull() | (F.col("delisting_date") < F.col("end_date")))
-    rows = held_shares.join(F.broadcast(dead), hit).drop("_k")
+    rows = held_shares.join(dead, hit).drop("_k")
     bars = prices.select(ID, F.col(DATE).alias("_bar"), F.col("close").alias("_p"))
     return as_of_join(rows, bars, ID, "delisting_date", "_bar").select(ID, "delisting_date", (F.col("shares") * F.col("_p") * (1 + F.col("_r"))).alias("proceeds"))

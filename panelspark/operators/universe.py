@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.windows import DATE, ID, in_order, rolling
 from panelspark.operators.asof import as_of_join
+from panelspark.operators.calendar import numbered, spanned
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,11 @@ def refuse_biased(membership: DataFrame, allowed: bool) -> None:
 
 def members(dates: DataFrame, membership: DataFrame, universe: str) -> DataFrame:
     """(as_of, security_id) of the members on each date that were announced by its end."""
-    m = membership.where(F.col("universe") == universe).select(ID, "start_date", "end_date", "available_at")
-    d = dates.select("as_of").distinct()
-    at = F.col("as_of")
-    hit = (F.col("start_date") <= at) & (at < F.col("end_date")) & (F.col("available_at").isNull() | (F.col("available_at") < F.date_add(at, 1).cast("timestamp")))
-    return m.join(F.broadcast(d), hit).select("as_of", ID).distinct()
+    m = membership.where(F.col("universe") == universe).select(ID, "start_date", "end_date", "available_at").where("end_date IS NOT NULL")
+    cal = numbered(dates.select(F.col("as_of").alias("session")).where("session IS NOT NULL").distinct())
+    hit = spanned(m, cal, "start_date", "end_date")
+    announced = F.col("available_at").isNull() | (F.col("available_at") < F.date_add("as_of", 1).cast("timestamp"))
+    return hit.where(announced).select("as_of", ID).distinct()
 
 
 def bar_state(prices: DataFrame, s: Screens) -> DataFrame:

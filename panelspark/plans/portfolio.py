@@ -183,7 +183,7 @@ def universe_sector_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + V.FILLS + """ SELECT account, security_id, sum(CASE WHEN side = 'buy' THEN 1.0 ELSE -1.0 END)::DOUBLE AS quantity, round(sum(CASE WHEN side = 'buy' THEN -cents ELSE cents END) / 100.0, 2) AS cash FROM fl GROUP BY 1, 2""")
 def positions_from_fills(spark: SparkSession, d: str) -> DataFrame:
-    p = ledger.positions(V.fills(spark, d).withColumn("cost", F.lit(0.0)))
+    p = ledger.balances(V.fills(spark, d).withColumn("cost", F.lit(0.0)))
     return p.select("account", "security_id", "quantity", F.round("cash", 2).alias("cash"))
 
 

@@ -144,6 +144,50 @@ def test_average_cost(spark):
     assert (r["quantity"], r["realised"], r["cash"], r["average_cost"]) == (0.0, 5 * 15.0 - 15 * 5.0, -300.0 + 150 + 150, 0.0)
 
 
+def test_positions_keep_to_their_keys_in_any_order(spark):
+    from random import Random
+
+    rng = Random(5)
+    fills = [(i, datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(400)), rng.choice("ab"), rng.choice(["X", "Y", None]), rng.choice(["buy", "sell"]), float(rng.randint(1, 9)), float(rng.randint(5, 50)), 0.5) for i in range(600)]
+    schema = "event_id long, ts timestamp, account string, security_id string, side string, quantity double, price double, cost double"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # positions run over several batches
+    try:
+        got = {(r["account"], r["security_id"]): r for r in ledger.positions(spark.createDataFrame(fills, schema).repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len({(f[2], f[3]) for f in fills})
+    for key, row in got.items():
+        q = cash = avg = pnl = 0.0
+        for _, _, _, _, side, n, p, c in sorted((f for f in fills if (f[2], f[3]) == key), key=lambda f: (f[1], f[0])):
+            if side == "sell":
+                pnl += min(n, max(q, 0.0)) * (p - avg)
+                q, cash = q - n, cash + n * p - c
+                avg = avg if q > 0 else 0.0
+            else:
+                avg = (q * avg + n * p) / (q + n) if q + n > 0 else 0.0
+                q, cash = q + n, cash - n * p - c
+        assert [row[c] for c in ("quantity", "cash", "average_cost", "realised")] == pytest.approx([q, cash, avg, pnl])
+    sums = {(r["account"], r["security_id"]): (r["quantity"], r["cash"]) for r in ledger.balances(spark.createDataFrame(fills, schema)).collect()}
+    assert sums == {k: pytest.approx((r["quantity"], r["cash"])) for k, r in got.items()}
+    assert ledger.positions(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rows_over_the_sessions_they_hold(spark):
+    cal = calendar.numbered(spark.createDataFrame([(date(2024, 1, n),) for n in (2, 3, 5, 8)], "session date"))
+    rows = spark.createDataFrame(
+        [("in", date(2024, 1, 3), date(2024, 1, 8)), ("open", date(2024, 1, 4), None), ("early", date(2023, 1, 1), date(2024, 1, 1)), ("late", date(2024, 1, 9), None), ("none", None, date(2024, 1, 5)), ("far", date(2024, 1, 1), date(9999, 12, 31)), ("gap", date(2024, 1, 6), date(2024, 1, 7)), ("back", date(2024, 1, 8), date(2024, 1, 2))],
+        "k string, start_date date, end_date date")
+
+    def days(closed):
+        out = {}
+        for r in calendar.spanned(rows.where("k <> 'far' OR NOT " + str(closed)), cal, "start_date", "end_date", closed=closed).collect():
+            out.setdefault(r["k"], set()).add(r["as_of"].day)
+        return out
+
+    assert days(False) == {"in": {3, 5}, "open": {5, 8}, "far": {2, 3, 5, 8}}
+    assert days(True) == {"in": {3, 5, 8}, "open": {5, 8}}
+
+
 def test_statistics(spark):
     r = spark.createDataFrame([("s", date(2020, 1, 1) + timedelta(i), x) for i, x in enumerate([0.1, -0.5, 0.2, -1.0, 0.3])], "strategy string, as_of date, net_return double")
     row = metrics.bundle(r, ["strategy"], b=None).first()
