@@ -78,3 +78,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def empty_texts(df: DataFrame, column: str = "text") -> DataFrame:
     """Null text read as empty."""
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
+
+
+#: A key that holds over 1 / HEAVY of all rows is heavy: there are fewer than HEAVY of them.
+HEAVY = 1024
+
+
+def joined_by_heavy_key(rows: DataFrame, totals: DataFrame, key: str, count: str, of: int) -> DataFrame:
+    """``rows`` with the columns of ``totals``, which holds every key of theirs once with its ``count`` of rows, null too.
+
+    Heavy keys (fewer than HEAVY, since counts add up to ``of``) are broadcast, so no task gets
+    all rows of one; the other keys are joined by a shuffle.
+    """
+    heavy = totals.where(F.col(count) * HEAVY > of).withColumnRenamed(key, "_k")
+    light = totals.where(F.col(count) * HEAVY <= of).withColumnRenamed(key, "_k")
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    met = rows.join(F.broadcast(heavy), same).drop("_k")
+    rest = rows.join(F.broadcast(heavy.select("_k")), same, "left_anti").join(light, same).drop("_k")
+    return met.unionByName(rest)
