@@ -10,6 +10,7 @@ of a longer sequence, so splitting bytes equals splitting code points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -117,11 +118,35 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(h ^ ((ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
 
 
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def string_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span as a string of its own: mixed blocks up to 16 bytes, BLAKE2b beyond.
+
+    A polynomial over all bytes would be cheaper, but modulo 2**64 there are pairs of
+    strings (a Thue-Morse word and its complement) on which it agrees whatever its base.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.empty(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    blocks = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+    h = mix((blocks[starts] & _TAIL[np.minimum(size, 8)]) ^ size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    two = np.flatnonzero((size > 8) & (size <= 16))
+    h[two] = mix(h[two] * _U(0x9FB21C651E98DF25) + (blocks[starts[two] + 8] & _TAIL[size[two] - 8]))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        sums = [blake2b(raw[s:e], digest_size=8).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        h[long] = np.frombuffer(b"".join(sums), "<u8")
+    return h
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every word with its start and end, and each row's first word index."""
     starts, ends, first = word_spans(data, offs)
-    h = span_hash(prefix_hash(LOWER[data] if lower else data), starts, ends)
-    return h, starts, ends, first
+    return string_hash(LOWER[data] if lower else data, starts, ends), starts, ends, first
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> Iterator[np.ndarray]:
