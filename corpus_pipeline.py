@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.bpe import default_spec, encode
 from panelspark.llm.jaccard import jaccard_components
-from panelspark.llm.langid import UNKNOWN, fit, identify
+from panelspark.llm.langid import fit, identify
 from panelspark.llm.mixing import mix
 from panelspark.llm.secrets import masked, new_ledger, scan, with_findings
 from panelspark.llm.shared import bounded_batches, table, written
@@ -35,13 +35,16 @@ def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: rows whose text is null or has no letter go; a null language is filled in.
 
+    Such rows are told by their score of 0, which no predicted language has: ``und`` may be a
+    language of the labelled rows as well, and its documents stay.
+
     The model is learned from the stage's own labelled rows, so without a labelled row no
     language is known and all rows go.  Rows are judged one by one: ids, null or repeated, do not matter.
     """
     bounded_batches(spark)
     names = _free(docs, "lang_pred", "score", "spans")
     out = identify(docs, fit(docs), names=names)
-    return out.where(F.col(names[0]) != UNKNOWN).withColumn("lang", F.coalesce("lang", names[0])).select(*docs.columns)
+    return out.where(F.col(names[1]) > 0).withColumn("lang", F.coalesce("lang", names[0])).select(*docs.columns)
 
 
 def _own_ids(docs: DataFrame, key: str) -> DataFrame:
