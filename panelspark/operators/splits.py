@@ -46,6 +46,15 @@ def usable_end(cal: DataFrame, holdout_start: date) -> DataFrame:
     return cal.where(F.col("session") < F.lit(holdout_start)).agg(F.max("session").alias("usable_end"))
 
 
+def with_embargo(schedule: DataFrame, cal: DataFrame | None = None, embargo: int = 0) -> DataFrame:
+    """The schedule with ``_last``: training rows stay before it, ``embargo`` sessions ahead of the validation start."""
+    f = schedule.withColumn("_last", F.col("validation_start"))
+    if cal is not None and embargo:
+        back = cal.select("session", F.lag("session", embargo).over(Window.orderBy("session")).alias("_e"))
+        f = f.join(back.where("_e IS NOT NULL"), F.col("session") >= F.col("validation_start")).groupBy(*schedule.columns).agg(F.min_by("_e", "session").alias("_last"))
+    return f
+
+
 def split_panel(panel: DataFrame, schedule: DataFrame, cal: DataFrame | None = None, embargo: int = 0, purge: bool = True, day: str = "as_of") -> DataFrame:
     """The panel with fold and split (train, validation, test), in one pass over all folds.
 
@@ -53,11 +62,7 @@ def split_panel(panel: DataFrame, schedule: DataFrame, cal: DataFrame | None = N
     do training rows whose label window reaches it, and validation rows whose window
     reaches the test start.
     """
-    f = schedule.withColumn("_last", F.col("validation_start"))
-    if cal is not None and embargo:
-        w = Window.orderBy("session")
-        back = cal.select("session", F.lag("session", embargo).over(w).alias("_e"))
-        f = f.join(back.where("_e IS NOT NULL"), F.col("session") >= F.col("validation_start")).groupBy(*schedule.columns).agg(F.min_by("_e", "session").alias("_last"))
+    f = with_embargo(schedule, cal, embargo)
     at, until = F.col(day), F.col("window_end")
     inside = lambda a, b: (at >= F.col(a)) & (at < F.col(b))
     reach = lambda c: (until.isNull() | (until < F.col(c))) if purge else F.lit(True)

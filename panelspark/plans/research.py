@@ -7,11 +7,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import factors, labels, metrics, models, overfit, panel, preprocess, results, risk, scorecard, splits, stress, universe
+from panelspark.operators import factors, labels, metrics, models, overfit, panel, preprocess, results, risk, scorecard, splits, stress, universe, walkforward
 from panelspark.operators.features_price import price_features
 from panelspark.plans import views as V
 from panelspark.plans.features import _W, rounded
-from panelspark.plans.states import _FEAT, _LABELS, _SCREENS, _UNIVERSE, FEATURES, _labels, _schedule, feature_panel
+from panelspark.plans.states import _FEAT, _FOLDS, _LABELS, _SCREENS, _UNIVERSE, FEATURES, _labels, _schedule, feature_panel
 from panelspark.sources import writers
 from panelspark.sources.shared import written
 
@@ -281,13 +281,57 @@ def factor_composite_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.factor_composite(f, pillars).select("security_id", "as_of", "prediction"))
 
 
-@query()
+def _rk(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY as_of ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY as_of, {x}) - 1) / 2.0 - 0.5) / count({x}) OVER (PARTITION BY as_of) - 0.5 END"
+
+
+NET = (2e-3, 0.5)
+_SOFT = "CASE WHEN {0} > l1 THEN {0} - l1 WHEN {0} < -l1 THEN {0} + l1 ELSE 0 END"
+# ranks by date, the training moments of each fold, and sweeps of coordinate descent over its normal equations
+_WALK = (
+    _LABELS + ", " + _FEAT[len(V.with_sql(V.BENCH, V.MONTH_ENDS, V.SECURITIES)) + 1 :].replace("FROM q1 WHERE as_of IN (SELECT as_of FROM me)", "FROM q1 WHERE as_of IN (SELECT max(observation_date) FROM li GROUP BY date_trunc('month', observation_date))")
+    + f""", {V.SESSIONS}, {_FOLDS},
+rn AS MATERIALIZED (SELECT security_id, as_of, window_end, excess_return AS y, {_rk('momentum_21d')} AS x1, {_rk('volatility_20d')} AS x2, {_rk('adv_21d')} AS x3 FROM fx JOIN l2 USING (security_id, as_of)),
+em AS (SELECT fold::INT AS fold, a, v0, t0, t1, (SELECT c2.session FROM cal c1, cal c2 WHERE c1.session >= v0 AND c2.idx = c1.idx - 5 ORDER BY c1.session LIMIT 1) AS edge FROM fd),
+mo AS MATERIALIZED (SELECT fold, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, covar_pop(x1, x1) AS g11, covar_pop(x2, x2) AS g22, covar_pop(x3, x3) AS g33, covar_pop(x1, x2) AS g12,
+    covar_pop(x1, x3) AS g13, covar_pop(x2, x3) AS g23, covar_pop(x1, y) AS b1, covar_pop(x2, y) AS b2, covar_pop(x3, y) AS b3, {NET[0] * NET[1]} AS l1, {NET[0] * (1 - NET[1])} AS l2
+  FROM rn JOIN em ON as_of >= a AND as_of < edge AND as_of < v0 AND window_end < v0 WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL GROUP BY fold),
+cd(fold, k, w1, w2, w3) AS (SELECT fold, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM mo UNION ALL
+  SELECT fold, k + 1, w1, w2, (""" + _SOFT.format("z") + """) / (g33 + l2) FROM (SELECT *, b3 - g13 * w1 - g23 * w2 AS z FROM (
+    SELECT * EXCLUDE (w2, z), (""" + _SOFT.format("z") + """) / (g22 + l2) AS w2 FROM (SELECT *, b2 - g12 * w1 - g23 * w3 AS z FROM (
+      SELECT * EXCLUDE (w1, z), (""" + _SOFT.format("z") + """) / (g11 + l2) AS w1 FROM (SELECT cd.*, mo.* EXCLUDE (fold), b1 - g12 * w2 - g13 * w3 AS z FROM cd JOIN mo USING (fold) WHERE k < 400)))))),
+cf AS (SELECT cd.*, mo.* EXCLUDE (fold), my - w1 * m1 - w2 * m2 - w3 * m3 AS c FROM cd JOIN mo USING (fold) WHERE k = 400)"""
+).replace("WITH li AS", "WITH RECURSIVE li AS", 1)
+_WALKED = _WALK + f""", te AS (SELECT cf.fold, rn.as_of, y, c + w1 * coalesce(x1, 0) + w2 * coalesce(x2, 0) + w3 * coalesce(x3, 0) AS p FROM rn JOIN em ON as_of >= t0 AND as_of < t1 JOIN cf ON cf.fold = em.fold),
+ti AS (SELECT fold, as_of, count(*) AS n, corr(a, b) AS ic FROM (SELECT *, {_ar('p', 'fold, as_of')} AS a, {_ar('y', 'fold, as_of')} AS b FROM te) GROUP BY 1, 2),
+v AS (SELECT fold, ic FROM ti WHERE n >= 5 AND ic IS NOT NULL AND NOT isnan(ic))"""
+
+
+def _walk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Coefficients and predictions of elastic nets on ranked features over all folds, with purge and embargo."""
+    p = preprocess.rank_normalize(_panel(spark, d), FACTORS)
+    return walkforward.walk_forward(p, FACTORS, "excess_return", _schedule(spark), V.sessions(spark, d), 5, alpha=NET[0], l1_ratio=NET[1])
+
+
+@query(_WALKED + """ SELECT fold, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS ic_std, round(avg((ic > 1e-12)::INT::DOUBLE), 6) AS share_positive, count(*) AS periods,
+ round(avg(ic) / stddev_samp(ic), 6) AS ic_ir FROM v GROUP BY fold""")
 def walk_forward_elastic_net(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-sample rank IC by fold, over all folds of the schedule, of an elastic net on ranked features, with purge and embargo."""
-    p = written(splits.split_panel(_panel(spark, d), _schedule(spark), V.sessions(spark, d), embargo=5), "panel")
-    scores = models.run_folds(p, FACTORS, "excess_return", ["elastic_net"])
-    ic = metrics.ic_by_date(scores.where("split = 'test'").join(p.select("security_id", "as_of", "fold", "excess_return"), ["security_id", "as_of", "fold"]), "prediction", "excess_return", ["model", "fold"])
-    return rounded(metrics.ic_summary(ic, ["model", "fold"]))
+    _, scores = _walk(spark, d)
+    return rounded(metrics.ic_summary(metrics.ic_by_date(scores.where("split = 'test'"), "prediction", "excess_return", ["fold"]), ["fold"]))
+
+
+@query(_WALK + """ SELECT fold, n AS n_train, round(c, 6) AS intercept, unnest(['momentum_21d', 'volatility_20d', 'adv_21d']) AS feature, round(unnest([w1, w2, w3]), 6) AS coefficient FROM cf""")
+def walk_forward_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows, intercept and coefficients of every fold."""
+    return rounded(_walk(spark, d)[0])
+
+
+@query(_WALK + """, lc AS (SELECT fold, unnest(['momentum_21d', 'volatility_20d', 'adv_21d']) AS feature, unnest([w1, w2, w3]) AS c FROM cf)
+SELECT feature, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS sd, round(abs(sum(sign(c))) / count(c), 6) AS sign_consistency, round(avg((abs(c) > 1e-12)::INT::DOUBLE), 6) AS share_nonzero FROM lc GROUP BY 1""")
+def coefficient_stability(spark: SparkSession, d: str) -> DataFrame:
+    """How steady the coefficients of the folds are."""
+    return rounded(models.coefficient_stability(_walk(spark, d)[0]))
 
 
 @query(_PANEL + """, t AS (SELECT avg(excess_return) AS m FROM pn WHERE as_of < DATE '1998-06-30') SELECT security_id, as_of, round(m, 6) AS prediction FROM pn, t WHERE as_of >= DATE '1998-06-30'""")
