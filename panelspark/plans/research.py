@@ -31,8 +31,17 @@ def query(sql: str | None = None):
 
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
-    """Features and the label at month ends."""
-    return feature_panel(spark, d).join(_labels(spark, d).select("security_id", "as_of", "window_end", "excess_return", "outperform", "raw_return"), ["security_id", "as_of"])
+    """Features and the label at month ends, from bars that are worked out once; written once too."""
+    p, b, me = _bars(spark, d)
+    features = price_features(p, b).join(F.broadcast(me), "as_of", "left_semi").select("security_id", "as_of", *FEATURES)
+    lab = labels.forward_labels(p, b, V.securities(spark, d, p), 21, 1, me)
+    return written(features.join(lab.select("security_id", "as_of", "window_end", "excess_return", "outperform", "raw_return"), ["security_id", "as_of"]), "panel")
+
+
+def _bars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bars, benchmark and month ends, each written once."""
+    p, b = written(V.prices(spark, d), "prices"), written(V.benchmark(spark, d), "benchmark")
+    return p, b, written(b.groupBy(F.trunc("observation_date", "month")).agg(F.max("observation_date").alias("as_of")).select("as_of"), "month_ends")
 
 
 _PANEL = _LABELS + ", " + _FEAT[len(V.with_sql(V.BENCH, V.MONTH_ENDS, V.SECURITIES)) + 1 :] .replace("FROM q1 WHERE as_of IN (SELECT as_of FROM me)", "FROM q1 WHERE as_of IN (SELECT max(observation_date) FROM li GROUP BY date_trunc('month', observation_date))") + """,
@@ -44,8 +53,8 @@ _BUILT = _PANEL + f", {V.MEMBERSHIP}, {V.MONTH_ENDS}" + _UNIVERSE[len(V.with_sql
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Universe, features and labels at month ends, from bars that are worked out once."""
-    p, b, s = written(V.prices(spark, d), "prices"), written(V.benchmark(spark, d), "benchmark"), V.securities(spark, d)
-    me = written(b.groupBy(F.trunc("observation_date", "month")).agg(F.max("observation_date").alias("as_of")).select("as_of"), "month_ends")
+    p, b, me = _bars(spark, d)
+    s = written(V.securities(spark, d, p), "securities")
     names = universe.universe_panel(me, V.membership(spark, d), s, p, _SCREENS)
     features = price_features(p, b).join(F.broadcast(me), "as_of", "left_semi").select("security_id", "as_of", *FEATURES)
     return names, features, labels.forward_labels(p, b, s, 21, 1, me)
@@ -177,7 +186,7 @@ rk AS (SELECT sr.split, strategy, (rank() OVER (PARTITION BY split ORDER BY sr)
 def pbo(spark: SparkSession, d: str) -> DataFrame:
     r = _returns(spark, d)
     days = r.select("as_of").distinct().withColumn("t", F.row_number().over(Window.orderBy("as_of")) - 1)
-    return rounded(overfit.pbo(r.join(F.broadcast(days), "as_of")))
+    return rounded(overfit.pbo(written(r.join(F.broadcast(days), "as_of"), "returns")))
 
 
 @query()
@@ -202,7 +211,7 @@ cv AS (SELECT a.security_id AS id_i, b.security_id AS id_j, covar_samp(a.r, b.r)
 
 
 def _trailing(spark: SparkSession, d: str) -> DataFrame:
-    return risk.trailing_returns(V.prices(spark, d), AS_OF, 120)
+    return written(risk.trailing_returns(V.prices(spark, d), AS_OF, 120), "trailing")
 
 
 @query(_COV + " SELECT id_i, id_j, round(cov, 6) AS cov FROM cv")
@@ -215,7 +224,7 @@ def pairwise_covariance(spark: SparkSession, d: str) -> DataFrame:
 SELECT id_i AS security_id, round(w::DOUBLE, 6) AS weight, round(s / sqrt(v), 6) AS marginal, round(w * s / sqrt(v), 6) AS contribution, round(w * s / v, 6) AS share FROM sw JOIN ew ON id = id_i, v""")
 def risk_contribution(spark: SparkSession, d: str) -> DataFrame:
     cov = risk.covariance(_trailing(spark, d))
-    ids = cov.select(F.col("id_i").alias("security_id")).distinct()
+    ids = cov.where("id_i = id_j").select(F.col("id_i").alias("security_id"))
     n = ids.agg(F.count("*").alias("n"))
     return rounded(risk.risk_contributions(ids.crossJoin(n).select("security_id", (1 / F.col("n")).alias("weight")), cov))
 
@@ -354,7 +363,7 @@ SELECT round((SELECT sum(c) FROM (SELECT c FROM s ORDER BY c DESC LIMIT 5)) / (S
 def concentration(spark: SparkSession, d: str) -> DataFrame:
     p = _panel(spark, d)
     w = p.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("as_of"))).select("as_of", "security_id", "weight")
-    out = stress.concentration(stress.contributions(w, p.select("as_of", "security_id", "raw_return")), V.securities(spark, d))
+    out = stress.concentration(stress.contributions(w, p.select("as_of", "security_id", "raw_return")), written(V.securities(spark, d), "securities"))
     return rounded(out.select("top5_securities", "top_sector", "top_year"))
 
 

@@ -42,9 +42,10 @@ def benchmark(spark: SparkSession, d: str) -> DataFrame:
 BENCH = "bm AS (SELECT observation_date, sum(c)::DOUBLE / (sum(q)::DOUBLE * 100.0) AS close FROM li GROUP BY 1)"
 
 
-def securities(spark: SparkSession, d: str) -> DataFrame:
+def securities(spark: SparkSession, d: str, bars: DataFrame | None = None) -> DataFrame:
+    """The security master; ``bars`` saves working the prices' spans out again."""
     region = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("sector"))
-    span = _lines(spark, d).groupBy("security_id").agg(F.min("observation_date").alias("first_trade_date"), F.max("observation_date").alias("_last"))
+    span = (_lines(spark, d) if bars is None else bars).groupBy("security_id").agg(F.min("observation_date").alias("first_trade_date"), F.max("observation_date").alias("_last"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("security_id"), "s_nationkey").join(F.broadcast(region), F.col("s_nationkey") == F.col("n_nationkey")).join(span, "security_id")
     dead = F.col("security_id") % 23 == 7
     return s.select("security_id", "sector", F.lit("common_stock").alias("security_type"), "first_trade_date", F.when(dead, F.date_sub("_last", 200)).alias("delisting_date"), F.when(dead, F.when(F.col("security_id") % 2 == 1, -1.0).otherwise(0.18)).alias("delisting_return"))

@@ -310,3 +310,21 @@ def test_shared_folder_where_none_is_set():
     assert at.startswith("file://") and at == shared.folder(session("local[2]"))
     with pytest.raises(ValueError, match="checkpoint"):
         shared.folder(session("spark://host:7077"))
+
+
+def test_labels_at_signals_are_those_of_every_session(spark):
+    import random
+
+    rnd = random.Random(5)
+    day = lambda i: date(2020, 1, 1) + timedelta(days=i)
+    rows = [(s, day(t), None if rnd.random() < 0.05 else 10 + s + rnd.random()) for s in range(6) for t in range(s * 9, 120) if rnd.random() < 0.6]
+    rows += [(2, day(500), 3.0)]  # no session
+    bars = spark.createDataFrame(rows, "security_id long, observation_date date, adjusted_close double")
+    bench = spark.createDataFrame([(day(t), 100.0 + t % 7) for t in range(0, 120, 1) if t % 7 < 5], "observation_date date, close double")
+    sec = spark.createDataFrame([(0, day(30), -0.4), (1, day(105), None), (2, None, None), (3, day(119), 0.1)], "security_id long, delisting_date date, delisting_return double")
+    signals = bench.where("day(observation_date) IN (3, 10, 24)").select(F.col("observation_date").alias("as_of")).unionByName(spark.createDataFrame([(day(700),)], "as_of date"))
+    every = labels.forward_labels(bars, bench, sec, 10, 2).join(signals, "as_of", "left_semi")
+    some = labels.forward_labels(bars, bench, sec, 10, 2, signals)
+    cols = sorted(some.columns)
+    a, b = (sorted(map(tuple, d.select(cols).collect()), key=str) for d in (every, some))
+    assert len(a) > 12 and a == b and any(r[cols.index("is_delisted")] for r in a)
