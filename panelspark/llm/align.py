@@ -54,6 +54,9 @@ PIECE = 256
 CHUNK = 1 << 23
 RUN = 1 << 20
 WORDS, WORD_BYTES = 200_000, 1 << 25  # of the memory of words
+# How byte-level tokenizer files divide a text, and the pattern that this stands for.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEFORE_SPACE = re.compile(r"\s ")
 _BORDER = re.compile(r"(?<=\S) ")
 
@@ -106,15 +109,17 @@ class Pair:
     def __init__(self, a_spec: str, b_model: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_str(a_spec)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
-        self._encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         byte = {c: i for i, c in enumerate(_byte_chars())}
-        vocab = json.loads(a_spec)["model"]["vocab"]
+        spec = json.loads(a_spec)
+        model = spec["model"]
+        vocab = model["vocab"]
         self.a_bytes = [b""] * (max(vocab.values(), default=-1) + 1)
         for t, i in vocab.items():
             self.a_bytes[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
@@ -123,10 +128,25 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.divides = not any(re.search("[^▁]▁", p) for p in pieces)
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of texts that each lack their leading space."""
-        return [e.ids for e in self._encode([" " + p for p in parts], add_special_tokens=False)], self.b.encode(parts, num_threads=1)
+        self.a_shown = np.array([b"%d%c" % (i, c) for i in range(len(self.a_bytes)) for c in b",|"], object)
+        self.b_shown = np.array([b"%d%c" % (i, c) for i in range(len(self.b_bytes)) for c in b",;"], object)
+        # where ids follow the order of the merges, the ids are the ranks, and a library that takes ranks gives the same ids sooner
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        plain = spec.get("normalizer") is None and spec["pre_tokenizer"] == BYTE_LEVEL | {"trim_offsets": spec["pre_tokenizer"].get("trim_offsets")}
+        special = {t["content"] for t in spec.get("added_tokens") or []}
+        self.ranks = None
+        if self.divides and plain and all(x < y for x, y in zip(made, made[1:])):
+            self.ranks = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={self.a_bytes[i]: i for t, i in vocab.items() if t not in special}, special_tokens={})
+
+    def encode_a(self, words: list[str]) -> np.ndarray:
+        """The ids of words, each after a space, end to end."""
+        if self.ranks is not None:
+            return np.array(self.ranks.encode_ordinary("".join([" " + w for w in words])), np.int64)
+        return np.fromiter(chain.from_iterable(e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)), np.int64)
+
+    def encode_b(self, words: list[str]) -> np.ndarray:
+        """The ids of words end to end; the model adds the space before each."""
+        return np.fromiter(chain.from_iterable(self.b.encode(words, num_threads=1)), np.int64)
 
     def divided(self, text: str) -> list[str]:
         """The words of a text, each without the space before it."""
@@ -158,7 +178,7 @@ class Words:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[bytes | None] = []  # None: the tokens do not give the word back
+        self.groups: list[bytes | None] = []  # each group with its semicolon; None: the tokens do not give the word back
         self.counts = np.zeros((0, 4), np.int64)  # tokens of A and of B, groups, links
         self.linked = np.zeros(0, np.int64)  # numbers of the pairs of all words end to end
         self.first = np.zeros(1, np.int64)
@@ -171,39 +191,59 @@ class Words:
 
     def learn(self, words: list[str]) -> None:
         """Aligns words that are not known yet, all in one merge."""
+        # B shows U+2581 for a space, so it does not give such words back
+        words.sort(key="▁".__contains__)
+        good = next((i for i, w in enumerate(words) if "▁" in w), len(words))
+        try:
+            self._learn(words[:good])
+        except ValueError:
+            for w in words[:good]:
+                try:
+                    self._learn([w])
+                except ValueError:
+                    self._add([w], np.zeros((1, 4), np.int64), [None])
+        self._add(words[good:], np.zeros((len(words) - good, 4), np.int64), [None] * (len(words) - good))
+
+    def _add(self, words: list[str], counts: np.ndarray, groups: list[bytes | None]) -> None:
+        self.number.update(zip(words, range(len(self.groups), len(self.groups) + len(words)), strict=True))
+        self.groups.extend(groups)
+        self.counts = np.concatenate([self.counts, counts])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts[:, 3])])
+        self.bytes += sum(len(g or b"") for g in groups) + 4 * sum(map(len, words))
+
+    def _learn(self, words: list[str]) -> None:
+        """Words that both tokenizers give back; otherwise a ValueError and nothing learned."""
         if not words:
             return
         p = self.pair
-        ids_a, ids_b = p.encode(words)
+        a, b = p.encode_a(words), p.encode_b(words)
         whole = [(" " + w).encode() for w in words]
-        ta, tb = p.a_bytes, p.b_bytes
-        fine = np.array([b"".join([ta[i] for i in x]) == w == b"".join([tb[i] for i in y]) for w, x, y in zip(whole, ids_a, ids_b, strict=True)], bool)
-        good = np.flatnonzero(fine).tolist()
-        n_a, n_b = (np.array([len(ids[i]) for i in good], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids[i] for i in good), np.int64) for ids in (ids_a, ids_b))
-        i, j, end_i, end_j = merge_path(np.cumsum(p.a_size[a]), np.cumsum(p.b_size[b]))
-        of_a = np.repeat(np.arange(len(good)), n_a)  # the word of each token
-        n_links = np.bincount(of_a[i], minlength=len(good))
-        n_groups = np.bincount(of_a[end_i - 1], minlength=len(good))
-        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        end_i, end_j = [0, *end_i.tolist()], [0, *end_j.tolist()]
-        groups = [",".join(sa[x:y]) + "|" + ",".join(sb[u:v]) for x, y, u, v in zip(end_i, end_i[1:], end_j, end_j[1:])]
-        counts = np.zeros((len(words), 4), np.int64)
-        counts[good] = np.stack([n_a, n_b, n_groups, n_links], axis=1)
+        all_words = b"".join(whole)
+        if b"".join(map(p.a_bytes.__getitem__, a.tolist())) != all_words or b"".join(map(p.b_bytes.__getitem__, b.tolist())) != all_words:
+            raise ValueError("tokens do not give the words back")
+        word_end = np.cumsum([len(w) for w in whole])
+        a_end, b_end = np.cumsum(p.a_size[a]), np.cumsum(p.b_size[b])
+        i, j, end_i, end_j = merge_path(a_end, b_end)
+        # each of these numbers is cut at the ends of words, which are group ends
+        to_a, to_b, to_group = np.searchsorted(a_end, word_end) + 1, np.searchsorted(b_end, word_end) + 1, np.searchsorted(a_end[end_i - 1], word_end) + 1
+        if not np.array_equal(end_i[to_group - 1], to_a):
+            raise ValueError("a token crosses the border of a word")
+        to_link = np.searchsorted(i, to_a)
+        counts = np.diff(np.stack([to_a, to_b, to_group, to_link], axis=1), axis=0, prepend=0)
         key, back = np.unique(a[i] << 32 | b[j], return_inverse=True)
         number = self.pair_number
         new = [number.setdefault(k, len(number)) for k in key.tolist()]
         self.keys.extend(k for k, n in zip(key.tolist(), new, strict=True) if n >= len(self.keys))
         self.linked = np.concatenate([self.linked, np.array(new, np.int64)[back]])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts[:, 3])])
-        self.counts = np.concatenate([self.counts, counts])
-        at, ends = 0, np.cumsum(counts[:, 2]).tolist()
-        for w, ok, end in zip(words, fine.tolist(), ends, strict=True):
-            self.number[w] = len(self.groups)
-            text = ";".join(groups[at:end]).encode() if ok else None
-            self.groups.append(text)
-            self.bytes += len(text or b"") + 4 * len(w)
-            at = end
+        # ids with what follows them, in the order of the groups: those of A, then those of B
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[end_i - 1] = last_b[end_j - 1] = 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        shown = np.empty(len(a) + len(b), object)
+        shown[np.arange(len(a)) + np.append(0, end_j)[group_a]] = p.a_shown[2 * a + last_a]
+        shown[np.arange(len(b)) + end_i[group_b]] = p.b_shown[2 * b + last_b]
+        shown, cut = shown.tolist(), [0, *(to_a + to_b).tolist()]
+        self._add(words, counts, [b"".join(shown[x:y]) for x, y in zip(cut, cut[1:])])
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Word numbers of each text."""
@@ -253,12 +293,12 @@ class _Aligner:
 
     def shown(self, numbers: list[np.ndarray]) -> str:
         get = self.words.groups.__getitem__
-        parts = (b";".join(map(get, n.tolist())) for n in numbers)
         if not self.digest:
-            return b";".join(parts).decode()
+            return b"".join([get(i) for n in numbers for i in n.tolist()]).decode()[:-1]
         h = hashlib.sha256()
-        for k, x in enumerate(parts):
-            h.update(b";" + x if k else x)
+        for k, n in enumerate(numbers, 1):
+            part = b"".join(map(get, n.tolist()))
+            h.update(part if k < len(numbers) else memoryview(part)[:-1])  # each group ends with a semicolon, the last one does not
         return h.hexdigest()
 
     def whole(self, numbers: np.ndarray) -> bool:
