@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import factors, labels, metrics, models, overfit, panel, preprocess, results, risk, scorecard, splits, stress, universe, walkforward
+from panelspark.operators import ablation, factors, labels, metrics, models, overfit, panel, preprocess, results, risk, scorecard, splits, stress, universe, walkforward
 from panelspark.operators.features_price import price_features
 from panelspark.plans import views as V
 from panelspark.plans.features import _W, rounded
@@ -305,15 +305,17 @@ em AS (SELECT fold::INT AS fold, a, v0, t0, t1, (SELECT c2.session FROM cal c1,
 mo AS MATERIALIZED (SELECT fold, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, covar_pop(x1, x1) AS g11, covar_pop(x2, x2) AS g22, covar_pop(x3, x3) AS g33, covar_pop(x1, x2) AS g12,
     covar_pop(x1, x3) AS g13, covar_pop(x2, x3) AS g23, covar_pop(x1, y) AS b1, covar_pop(x2, y) AS b2, covar_pop(x3, y) AS b3, {NET[0] * NET[1]} AS l1, {NET[0] * (1 - NET[1])} AS l2
   FROM rn JOIN em ON as_of >= a AND as_of < edge AND as_of < v0 AND window_end < v0 WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL GROUP BY fold),
-cd(fold, k, w1, w2, w3) AS (SELECT fold, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM mo UNION ALL
-  SELECT fold, k + 1, w1, w2, (""" + _SOFT.format("z") + """) / (g33 + l2) FROM (SELECT *, b3 - g13 * w1 - g23 * w2 AS z FROM (
-    SELECT * EXCLUDE (w2, z), (""" + _SOFT.format("z") + """) / (g22 + l2) AS w2 FROM (SELECT *, b2 - g12 * w1 - g23 * w3 AS z FROM (
-      SELECT * EXCLUDE (w1, z), (""" + _SOFT.format("z") + """) / (g11 + l2) AS w1 FROM (SELECT cd.*, mo.* EXCLUDE (fold), b1 - g12 * w2 - g13 * w3 AS z FROM cd JOIN mo USING (fold) WHERE k < 400)))))),
-cf AS (SELECT cd.*, mo.* EXCLUDE (fold), my - w1 * m1 - w2 * m2 - w3 * m3 AS c FROM cd JOIN mo USING (fold) WHERE k = 400)"""
+ms AS MATERIALIZED (SELECT mo.*, sc.* FROM mo, (VALUES ('full', 1, 1, 1), ('without_momentum_21d', 0, 1, 1), ('without_volatility_20d', 1, 0, 1), ('without_adv_21d', 1, 1, 0)) sc(scenario, k1, k2, k3)),
+cd(fold, scenario, k, w1, w2, w3) AS (SELECT fold, scenario, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM ms UNION ALL
+  SELECT fold, scenario, k + 1, w1, w2, k3 * (""" + _SOFT.format("z") + """) / (g33 + l2) FROM (SELECT *, b3 - g13 * w1 - g23 * w2 AS z FROM (
+    SELECT * EXCLUDE (w2, z), k2 * (""" + _SOFT.format("z") + """) / (g22 + l2) AS w2 FROM (SELECT *, b2 - g12 * w1 - g23 * w3 AS z FROM (
+      SELECT * EXCLUDE (w1, z), k1 * (""" + _SOFT.format("z") + """) / (g11 + l2) AS w1 FROM (SELECT cd.*, ms.* EXCLUDE (fold, scenario), b1 - g12 * w2 - g13 * w3 AS z FROM cd JOIN ms USING (fold, scenario) WHERE k < 400)))))),
+ca AS (SELECT cd.*, ms.* EXCLUDE (fold, scenario), my - w1 * m1 - w2 * m2 - w3 * m3 AS c FROM cd JOIN ms USING (fold, scenario) WHERE k = 400),
+cf AS (SELECT * FROM ca WHERE scenario = 'full')"""
 ).replace("WITH li AS", "WITH RECURSIVE li AS", 1)
-_WALKED = _WALK + f""", te AS (SELECT cf.fold, rn.as_of, y, c + w1 * coalesce(x1, 0) + w2 * coalesce(x2, 0) + w3 * coalesce(x3, 0) AS p FROM rn JOIN em ON as_of >= t0 AND as_of < t1 JOIN cf ON cf.fold = em.fold),
-ti AS (SELECT fold, as_of, count(*) AS n, corr(a, b) AS ic FROM (SELECT *, {_ar('p', 'fold, as_of')} AS a, {_ar('y', 'fold, as_of')} AS b FROM te) GROUP BY 1, 2),
-v AS (SELECT fold, ic FROM ti WHERE n >= 5 AND ic IS NOT NULL AND NOT isnan(ic))"""
+_WALKED = _WALK + f""", te AS (SELECT ca.fold, scenario, rn.as_of, y, c + w1 * coalesce(x1, 0) + w2 * coalesce(x2, 0) + w3 * coalesce(x3, 0) AS p FROM rn JOIN em ON as_of >= t0 AND as_of < t1 JOIN ca ON ca.fold = em.fold),
+ti AS (SELECT fold, scenario, as_of, count(*) AS n, corr(a, b) AS ic FROM (SELECT *, {_ar('p', 'fold, scenario, as_of')} AS a, {_ar('y', 'fold, scenario, as_of')} AS b FROM te) GROUP BY 1, 2, 3),
+vc AS (SELECT fold, scenario, ic FROM ti WHERE n >= 5 AND ic IS NOT NULL AND NOT isnan(ic)), v AS (SELECT * FROM vc WHERE scenario = 'full')"""
 
 
 def _walk(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -343,6 +345,21 @@ def coefficient_stability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.coefficient_stability(_walk(spark, d)[0]))
 
 
+@query(_WALKED + """ SELECT CASE WHEN scenario = 'full' THEN 'baseline' ELSE 'ablation' END AS category, scenario, fold, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS ic_std,
+ round(avg((ic > 1e-12)::INT::DOUBLE), 6) AS share_positive, count(*) AS periods, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir FROM vc GROUP BY fold, scenario""")
+def feature_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """What each fold's rank IC is with all factors and without each of them, from one pass over the panel."""
+    p = preprocess.rank_normalize(_panel(spark, d), FACTORS)
+    return rounded(ablation.stressed(p, FACTORS, "excess_return", _schedule(spark), {f: [f] for f in FACTORS}, (), V.sessions(spark, d), 5, alpha=NET[0], l1_ratio=NET[1]))
+
+
+@query()
+def placebo_stress(spark: SparkSession, d: str) -> DataFrame:
+    """Ablations and targets dealt anew within their dates, over all folds: what each scenario gives up."""
+    p = preprocess.rank_normalize(_panel(spark, d), FACTORS)
+    return rounded(ablation.stress_rows(ablation.stressed(p, FACTORS, "excess_return", _schedule(spark), {f: [f] for f in FACTORS}, (1, 2, 3), V.sessions(spark, d), 5, alpha=NET[0], l1_ratio=NET[1])))
+
+
 @query(_PANEL + """, t AS (SELECT avg(excess_return) AS m FROM pn WHERE as_of < DATE '1998-06-30') SELECT security_id, as_of, round(m, 6) AS prediction FROM pn, t WHERE as_of >= DATE '1998-06-30'""")
 def no_skill_baseline(spark: SparkSession, d: str) -> DataFrame:
     p = _panel(spark, d)

@@ -6,13 +6,13 @@ from panelspark.plans import registry
 from tests.oracle import DIR, same
 
 
-@pytest.mark.parametrize("name", ["momentum_top10_month_end", "returns_and_momentum", "asof_fundamentals", "macro_vintage_asof", "split_dividend_adjust", "session_table", "rename_intervals", "delisting_labels", "universe_exclusions", "purge_embargo_rows", "mandate_audit", "score_weight_capped", "average_cost", "pbo", "panel_build", "scoring_panel", "stress_cases", "equity_curve", "fold_safety", "shrunk_covariance", "session_shift", "walk_forward_elastic_net", "walk_forward_coefficients", "coefficient_stability"])
+@pytest.mark.parametrize("name", ["momentum_top10_month_end", "returns_and_momentum", "asof_fundamentals", "macro_vintage_asof", "split_dividend_adjust", "session_table", "rename_intervals", "delisting_labels", "universe_exclusions", "purge_embargo_rows", "mandate_audit", "score_weight_capped", "average_cost", "pbo", "panel_build", "scoring_panel", "stress_cases", "equity_curve", "fold_safety", "shrunk_covariance", "session_shift", "walk_forward_elastic_net", "walk_forward_coefficients", "coefficient_stability", "feature_ablation"])
 def test_query_matches_sql(spark, name):
     same(spark, registry.QUERIES[name], registry.SQL[name])
 
 
 def test_every_query_without_sql_runs(spark):
-    for name in ("sharpe_probabilities", "bootstrap_interval"):
+    for name in ("sharpe_probabilities", "bootstrap_interval", "placebo_stress"):
         assert registry.QUERIES[name](spark, DIR).count() > 0
 
 
