@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelspark.functions.windows import ID
@@ -44,6 +45,68 @@ def average_cost(fills: DataFrame, key_type: str = "string") -> DataFrame:
     return fills.groupBy("account", ID).applyInPandasWithState(fold, schema, "q double, a double, r double", "update", GroupStateTimeout.NoTimeout)
 
 
+class _OrderedFold(StatefulProcessor):
+    """Fills wait until the watermark is past them and are then folded by (ts, event_id)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, q double, p double, c double")
+        self.sums = handle.getValueState("sums", "q double, cash double, avg double, pnl double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for part in rows:
+            part = part[part["quantity"].notna() & part["price"].notna()]
+            at = part["ts"].astype("datetime64[us]").astype("int64")
+            signed = part["quantity"].astype("float64").where(part["side"] != "sell", -part["quantity"].astype("float64"))
+            new += list(zip(at.tolist(), part["event_id"].tolist(), signed.tolist(), part["price"].astype("float64").tolist(), part["cost"].fillna(0.0).astype("float64").tolist(), strict=True))
+        if new:
+            self.waiting.appendList(new)
+            # one timer for each batch's first fill; a timer that finds nothing left to fold is harmless
+            self.handle.registerTimer(min(r[0] for r in new) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in rows if r[0] // 1000 <= passed]
+        rest = rows[len(due) :]
+        if not due:
+            return
+        held, cash, avg, pnl = self.sums.get() if self.sums.exists() else (0.0, 0.0, 0.0, 0.0)
+        for _, _, q, p, c in due:
+            if q <= 0:
+                pnl += min(-q, max(held, 0.0)) * (p - avg)
+            now = held + q
+            avg = 0.0 if now <= 0 else (held * avg + q * p) / now if q > 0 else avg
+            held, cash = now, cash - q * p - c
+        self.sums.update((held, cash, avg, pnl))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame({"account": [key[0]], ID: [key[1]], "quantity": [held], "cash": [cash], "average_cost": [avg], "realised": [pnl], "until": [pd.Timestamp(due[-1][0], unit="us")], "waiting": [len(rest)]})
+
+    def close(self) -> None:
+        return
+
+
+def ordered_positions(fills: DataFrame, late: str = "1 hour", key_type: str = "string") -> DataFrame:
+    """(account, security_id, quantity, cash, average_cost, realised, until, waiting) in update mode, folded by event time across batches.
+
+    A fill waits in its position's list until the watermark (``late`` behind the newest fill) is past
+    it, so a fill that comes in a later batch than one with a later time is still folded before it,
+    and the last row of a position is that of the batch operator for all fills until ``until``.  A
+    fill that comes after the watermark is past it is dropped, as every late row is.  State is four
+    numbers a position and the fills within ``late``.  Needs the RocksDB state store.
+    """
+    cost = F.col("cost") if "cost" in fills.columns else F.lit(0.0)
+    rows = fills.select("account", ID, "ts", F.col("event_id").cast("long").alias("event_id"), "side", "quantity", "price", cost.cast("double").alias("cost"))
+    schema = f"account {key_type}, {ID} {key_type}, quantity double, cash double, average_cost double, realised double, until timestamp, waiting long"
+    return rows.withWatermark("ts", late).groupBy("account", ID).transformWithStateInPandas(_OrderedFold(), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+
+
 def provisional_bars(quotes: DataFrame, late: str = "1 hour") -> DataFrame:
     """(ticker, session_date, close): the last price of each day, given out when the watermark passes it; later quotes are dropped."""
     day = F.window("ts", "1 day")
