@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.windows import average_rank
-from panelspark.operators import grid, ledger, risk, trades, weights
+from panelspark.operators import accounts, calendar, grid, ledger, risk, trades, weights
 from panelspark.plans import views as V
 from panelspark.plans.features import rounded
 from panelspark.plans.research import _ar
@@ -199,6 +199,45 @@ def average_cost(spark: SparkSession, d: str) -> DataFrame:
     return p.select("account", "security_id", F.round("average_cost", 4).alias("average_cost"), F.round("realised", 4).alias("realised"))
 
 
+CAPITAL = 10_000.0
+_PATHS = "WITH " + V.FILLS + f""", s AS (SELECT DISTINCT ts::DATE AS d FROM fl),
+pr AS (SELECT security_id, ts::DATE AS d, cents / 100.0 AS p FROM fl QUALIFY row_number() OVER (PARTITION BY security_id, ts::DATE ORDER BY ts DESC, event_id DESC) = 1),
+pg AS (SELECT x.security_id, s.d, last_value(p IGNORE NULLS) OVER (PARTITION BY x.security_id ORDER BY s.d) AS p FROM (SELECT DISTINCT security_id FROM fl) x CROSS JOIN s LEFT JOIN pr ON pr.security_id = x.security_id AND pr.d = s.d),
+dq AS (SELECT account, security_id, ts::DATE AS d, sum(CASE WHEN side = 'buy' THEN 1.0 ELSE -1.0 END) AS q FROM fl GROUP BY ALL),
+aq AS (SELECT a.account, a.security_id, s.d, sum(coalesce(q, 0)) OVER (PARTITION BY a.account, a.security_id ORDER BY s.d) AS q FROM (SELECT DISTINCT account, security_id FROM fl) a CROSS JOIN s LEFT JOIN dq ON dq.account = a.account AND dq.security_id = a.security_id AND dq.d = s.d),
+va AS (SELECT account, d, sum(q * p) FILTER (WHERE q <> 0) AS v, count(*) FILTER (WHERE q <> 0) AS n FROM aq JOIN pg USING (security_id, d) GROUP BY 1, 2),
+dc AS (SELECT account, ts::DATE AS d, sum(CASE WHEN side = 'buy' THEN -cents ELSE cents END - 10) / 100.0 AS c, count(*) * 0.1 AS k FROM fl GROUP BY 1, 2),
+ac AS (SELECT a.account, s.d, {CAPITAL} + sum(coalesce(c, 0)) OVER (PARTITION BY a.account ORDER BY s.d) AS cash, sum(coalesce(k, 0)) OVER (PARTITION BY a.account ORDER BY s.d) AS costs
+  FROM (SELECT account, min(d) AS f FROM dc GROUP BY 1) a JOIN s ON s.d >= a.f LEFT JOIN dc ON dc.account = a.account AND dc.d = s.d),
+eq AS (SELECT account, d, cash, costs, coalesce(v, 0) AS pv, coalesce(n, 0) AS n, cash + coalesce(v, 0) AS tv FROM ac LEFT JOIN va USING (account, d))"""
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts that pay ten cents a fill, marked at the last fill of each security."""
+    f = V.fills(spark, d).withColumn("cost", F.lit(0.1))
+    bars = f.groupBy("security_id", F.to_date("ts").alias("observation_date")).agg(F.max_by("price", F.struct("ts", "event_id")).alias("close"))
+    cal = calendar.numbered(f.select(F.to_date("ts").alias("session")).distinct())
+    return accounts.equity_paths(f, bars, cal, CAPITAL)
+
+
+@query(_PATHS + " SELECT account, d AS as_of, round(tv, 4) AS total_value, round(cash, 4) AS cash, round(pv, 4) AS positions_value, n AS n_positions, round(costs, 4)::DOUBLE AS costs FROM eq")
+def account_equity(spark: SparkSession, d: str) -> DataFrame:
+    """Every account's value on every day from its first fill on."""
+    e = _paths(spark, d)
+    return e.select("account", "as_of", *[F.round(c, 4).alias(c) for c in ("total_value", "cash", "positions_value", "costs")], "n_positions")
+
+
+@query(_PATHS + f""", rr AS (SELECT *, tv / lag(tv) OVER (PARTITION BY account ORDER BY d) - 1 AS r FROM eq),
+cu AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY account ORDER BY d)) AS cv FROM rr WHERE r IS NOT NULL),
+dd AS (SELECT account, min(cv / greatest(pk, 1) - 1) AS mdd FROM (SELECT *, max(cv) OVER (PARTITION BY account ORDER BY d) AS pk FROM cu) GROUP BY 1)
+SELECT account, max(d) AS as_of, round(arg_max(tv, d), 4) AS total_value, round(arg_max(tv, d) / {CAPITAL} - 1, 6) AS total_return, count(r) AS n_observations,
+ round(CASE WHEN count(r) >= 2 AND stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(252) END, 4) AS sharpe, round(CASE WHEN count(r) >= 2 THEN any_value(mdd) END, 6) AS max_drawdown FROM rr LEFT JOIN dd USING (account) GROUP BY 1""")
+def account_monitoring(spark: SparkSession, d: str) -> DataFrame:
+    """Sharpe ratio, deepest fall and total return of each account's marks."""
+    m = accounts.monitoring(_paths(spark, d), CAPITAL)
+    return m.select("account", "as_of", F.round("total_value", 4).alias("total_value"), F.round("total_return", 6).alias("total_return"), "n_observations", F.round("sharpe", 4).alias("sharpe"), F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
 @query("""WITH od AS (SELECT event_id AS order_id, round(value * 100)::BIGINT AS c FROM events WHERE event_type = 'purchase'), fi AS (SELECT event_id AS order_id, event_id % 4 AS g FROM events WHERE event_type = 'purchase' AND event_id % 4 > 0)
 SELECT order_id, round(coalesce(g / 3.0, 0), 6)::DOUBLE AS fill_ratio, CASE WHEN g IS NULL THEN 'unfilled' WHEN g < 3 THEN 'partial' ELSE '' END AS warning FROM od LEFT JOIN fi USING (order_id)""")
 def order_reconciliation(spark: SparkSession, d: str) -> DataFrame:
