@@ -51,8 +51,8 @@ FILTER_BITS = 1 << 26
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
 
-def _summed(parts: DataFrame, kind: str, wide: str, size: int, join) -> np.ndarray:
-    """Arrays of ``size`` that tasks made, joined in type ``wide`` by chunks; (chunk, data) rows, CHUNK elements each."""
+def _summed(parts: DataFrame, kind: str, wide: str, join) -> list[tuple[int, bytes]]:
+    """Arrays that tasks made, joined in type ``wide`` by chunks of CHUNK elements; the chunks are compressed, and those of zeros alone left out."""
 
     def run(batches):
         got: dict[int, np.ndarray] = {}
@@ -62,11 +62,14 @@ def _summed(parts: DataFrame, kind: str, wide: str, size: int, join) -> np.ndarr
                 got[c] = join(got[c], a) if c in got else a
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([zlib.compress(a.tobytes(), 1) for a in got.values()], pa.binary())], ["chunk", "data"])
 
-    out = np.zeros(size, wide)
-    for row in parts.repartition("chunk").mapInArrow(releasing(run), "chunk int, data binary").collect():  # fixed size
-        a = np.frombuffer(zlib.decompress(row["data"]), wide)
-        out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(a)] = a
-    return out
+    rows = parts.repartition("chunk").mapInArrow(releasing(run), "chunk int, data binary")
+    return [(r["chunk"], bytes(r["data"])) for r in rows.toLocalIterator()]  # fixed size
+
+
+def _opened_chunks(chunks: list[tuple[int, bytes]], wide: str):
+    """(place of its first element, elements) of each chunk, one at a time."""
+    for i, data in chunks:
+        yield i * CHUNK, np.frombuffer(zlib.decompress(data), wide)
 
 
 def _chunks(a: np.ndarray) -> pa.RecordBatch:
@@ -91,9 +94,21 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
         yield _chunks(n)
 
     parts = docs.select("text").mapInArrow(releasing(run), "chunk int, data binary")
-    total = _summed(parts, "uint16", "int64", COUNTERS, np.add)
-    usual = float(np.median(total[:: max(1, COUNTERS >> 16)]))
-    return np.clip((total - usual) / np.sqrt(usual + 1) * 2 + 16, 0, 255).astype(np.uint8)
+    # the driver opens one chunk at a time and keeps a byte a counter
+    total = _summed(parts, "uint16", "int64", np.add)
+    step = max(1, COUNTERS >> 16)
+    some = np.zeros(COUNTERS // step, np.int64)
+    for at, a in _opened_chunks(total, "int64"):
+        some[at // step : at // step + len(a) // step] = a[::step]
+    usual = float(np.median(some))
+
+    def shown(a: np.ndarray | float) -> np.ndarray:
+        return np.clip((a - usual) / np.sqrt(usual + 1) * 2 + 16, 0, 255).astype(np.uint8)
+
+    out = np.full(COUNTERS, shown(np.zeros(1))[0], np.uint8)
+    for at, a in _opened_chunks(total, "int64"):
+        out[at : at + len(a)] = shown(a)
+    return out
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -105,7 +120,10 @@ def id_filter(ids: DataFrame) -> np.ndarray:
             bits[(X.mix(b.column(0).to_numpy().astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
         yield _chunks(np.packbits(bits))
 
-    return _summed(ids.mapInArrow(releasing(run), "chunk int, data binary"), "uint8", "uint8", FILTER_BITS // 8, np.bitwise_or)
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for at, a in _opened_chunks(_summed(ids.mapInArrow(releasing(run), "chunk int, data binary"), "uint8", "uint8", np.bitwise_or), "uint8"):
+        out[at : at + len(a)] = a
+    return out
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
