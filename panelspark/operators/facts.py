@@ -38,7 +38,7 @@ def by_concept(facts: DataFrame, as_of, tags: Mapping[str, Sequence[str]] = TAGS
 def latest_instant(concepts: DataFrame, names: Sequence[str] = INSTANT) -> DataFrame:
     """(company, concept, value, filed): the value of the latest period, of its latest filing."""
     rows = concepts.where(F.col("concept").isin(list(names)))
-    return rows.groupBy("company", "concept").agg(F.max_by("value", F.struct("filed", "end")).alias("value"), F.max("filed").alias("filed"))
+    return rows.groupBy("company", "concept").agg(F.max_by("value", F.struct("end", "filed")).alias("value"), F.max("filed").alias("filed"))
 
 
 def trailing_flow(concepts: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

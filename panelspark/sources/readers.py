@@ -77,15 +77,16 @@ def prices(df: DataFrame) -> DataFrame:
 
 
 def fundamentals(df: DataFrame, lag_days: int | None = None) -> DataFrame:
-    """Availability from the filing (17:00 that day), else from an explicit lag after the period, else refused."""
+    """Availability as given, else from the filing (17:00 that day), else from an explicit lag after the period; a table that has none of these is refused.
+
+    With a lag, rows whose filing date is missing get it too; without one they keep no availability and match nothing.
+    """
     df = as_timestamp(as_date(require(df, *REQUIRED["fundamentals"], what="fundamentals"), "fiscal_period_end", "filing_date"), "available_at")
-    if "filing_date" in df.columns:
-        return _default(df, available_at=_after("filing_date", 17))
-    if "available_at" in df.columns:
-        return df
-    if lag_days is None:
+    if lag_days is None and not {"filing_date", "available_at"} & set(df.columns):
         raise ValueError("fundamentals have neither available_at nor filing_date, and no lag was given")
-    return df.withColumn("available_at", F.date_add("fiscal_period_end", lag_days).cast("timestamp"))
+    if "filing_date" in df.columns:
+        df = _default(df, available_at=_after("filing_date", 17))
+    return df if lag_days is None else _default(df, available_at=F.date_add("fiscal_period_end", lag_days).cast("timestamp"))
 
 
 def membership(df: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
