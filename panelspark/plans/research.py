@@ -40,7 +40,8 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
 
 def _bars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bars, benchmark and month ends, each written once."""
-    p, b = written(V.prices(spark, d), "prices"), written(V.benchmark(spark, d), "benchmark")
+    p = written(V.prices(spark, d), "prices")
+    b = written(V.benchmark(spark, d, p), "benchmark")
     return p, b, written(b.groupBy(F.trunc("observation_date", "month")).agg(F.max("observation_date").alias("as_of")).select("as_of"), "month_ends")
 
 
@@ -55,7 +56,7 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     """Universe, features and labels at month ends, from bars that are worked out once."""
     p, b, me = _bars(spark, d)
     s = written(V.securities(spark, d, p), "securities")
-    names = universe.universe_panel(me, V.membership(spark, d), s, p, _SCREENS)
+    names = universe.universe_panel(me, V.membership(spark, d, p), s, p, _SCREENS)
     features = price_features(p, b).join(F.broadcast(me), "as_of", "left_semi").select("security_id", "as_of", *FEATURES)
     return names, features, labels.forward_labels(p, b, s, 21, 1, me)
 

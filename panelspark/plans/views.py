@@ -35,7 +35,11 @@ px AS (SELECT security_id, observation_date, sum(c)::DOUBLE / (sum(q)::DOUBLE *
     sum(q)::DOUBLE AS volume, sum(c)::DOUBLE / 100.0 AS dollar_volume FROM li GROUP BY 1, 2)"""
 
 
-def benchmark(spark: SparkSession, d: str) -> DataFrame:
+def benchmark(spark: SparkSession, d: str, bars: DataFrame | None = None) -> DataFrame:
+    """The price of all lines of a day; from ``bars``, whose sums in cents and units are whole numbers, it is the same."""
+    if bars is not None:
+        cents, units = F.sum(F.round(F.col("dollar_volume") * 100).cast("long")), F.sum(F.col("volume").cast("long"))
+        return bars.groupBy("observation_date").agg((cents / (units * 100.0)).alias("close"))
     return _lines(spark, d).groupBy("observation_date").agg((F.sum("c") / (F.sum("q") * 100.0)).alias("close"))
 
 
@@ -70,8 +74,8 @@ ACTIONS = """ca AS (SELECT s_suppkey AS security_id, 'stock_split' AS action_typ
   UNION ALL SELECT s_suppkey, 'cash_dividend', d::DATE, 0.25 FROM supplier, generate_series(DATE '1995-03-15', DATE '2001-12-15', INTERVAL 3 MONTH) t(d) WHERE s_suppkey % 2 = 0)"""
 
 
-def membership(spark: SparkSession, d: str) -> DataFrame:
-    span = _lines(spark, d).groupBy("security_id").agg(F.min("observation_date").alias("f"))
+def membership(spark: SparkSession, d: str, bars: DataFrame | None = None) -> DataFrame:
+    span = (_lines(spark, d) if bars is None else bars).groupBy("security_id").agg(F.min("observation_date").alias("f"))
     k = F.col("security_id")
     late = F.lit(date(1996, 6, 14))
     piece = lambda a, b: F.struct(a.alias("start_date"), b.alias("end_date"))
