@@ -5,7 +5,7 @@ batch, so memory is one batch and one window.  Within a batch everything is vect
 
 - Sums and extremes over n rows are made of a running one since the last multiple of n rows
   and one backwards from it, so nothing is ever subtracted that was added before.
-- Central moments are of values less the batch's mean.  Where what is left of a window's
+- Central moments are of values less the first one of the batch.  Where what is left of a window's
   squares is a millionth of them or less, the window is worked out by itself.
 - Quantiles come from a sorted array of the window, which a row enters and leaves by binary
   search.
@@ -69,7 +69,8 @@ def covariances(y: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     have = _blocks(both.astype(np.float64), n, np.add, 0.0)
     if not both.any():
         return have, *np.zeros((3, len(x)))
-    a, b = (np.where(both, v - v[both].mean(), 0.0) for v in (y, x))
+    first = both.argmax()  # no later value may shift an earlier window
+    a, b = (np.where(both, v - v[first], 0.0) for v in (y, x))
     s, m = lambda v: _blocks(v, n, np.add, 0.0), np.maximum(have, 1)
     sa, sb, qa, qb = s(a), s(b), s(a * a), s(b * b)
     va, vb, c = qa - sa * sa / m, qb - sb * sb / m, s(a * b) - sa * sb / m
@@ -79,9 +80,9 @@ def covariances(y: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         at = t[:, None] - np.arange(n)[::-1]
         ok = (at >= 0) & both[np.maximum(at, 0)]
         at = np.where(ok, at, 0)
-        first = ok.argmax(axis=1)[:, None]
+        begin = ok.argmax(axis=1)[:, None]
         # less a value of the window first, so that equal values leave exactly nothing
-        u, v = (np.where(ok, w[at] - np.take_along_axis(w[at], first, 1), 0.0) for w in (y, x))
+        u, v = (np.where(ok, w[at] - np.take_along_axis(w[at], begin, 1), 0.0) for w in (y, x))
         u, v = (np.where(ok, w - w.sum(axis=1, keepdims=True) / have[t][:, None], 0.0) for w in (u, v))
         va[t], vb[t], c[t] = (u * u).sum(axis=1), (v * v).sum(axis=1), (u * v).sum(axis=1)
     return have, np.maximum(va, 0), np.maximum(vb, 0), c
