@@ -328,3 +328,21 @@ def test_labels_at_signals_are_those_of_every_session(spark):
     cols = sorted(some.columns)
     a, b = (sorted(map(tuple, d.select(cols).collect()), key=str) for d in (every, some))
     assert len(a) > 12 and a == b and any(r[cols.index("is_delisted")] for r in a)
+
+
+def test_a_lag_fills_missing_filing_dates(spark):
+    rows = [("a", date(2020, 3, 31), date(2020, 5, 1), 1.0), ("a", date(2020, 6, 30), None, 2.0)]
+    f = spark.createDataFrame(rows, "security_id string, fiscal_period_end date, filing_date date, revenue double")
+    got = {r["revenue"]: r["available_at"] for r in readers.fundamentals(f, lag_days=60).collect()}
+    assert got == {1.0: datetime(2020, 5, 1, 17), 2.0: datetime(2020, 8, 29)}
+    assert readers.fundamentals(f).where("available_at IS NULL").count() == 1
+    with pytest.raises(ValueError):
+        readers.fundamentals(f.drop("filing_date"))
+
+
+def test_instants_are_of_the_latest_period(spark):
+    from panelspark.operators import facts
+
+    rows = [("c", "total_assets", date(2020, 3, 31), date(2020, 9, 1), 1.0), ("c", "total_assets", date(2020, 6, 30), date(2020, 8, 1), 2.0), ("c", "total_assets", date(2020, 6, 30), date(2020, 8, 5), 3.0)]
+    df = spark.createDataFrame(rows, "company string, concept string, end date, filed date, value double")
+    assert facts.latest_instant(df).first()["value"] == 3.0  # not the restated older period that was filed last
