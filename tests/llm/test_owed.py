@@ -54,3 +54,27 @@ def test_language_of_held_out_documents(spark):
 def test_results_are_the_same_at_every_run(spark, name):
     a, b = (sorted(map(str, registry.QUERIES[name](spark, DIR).collect())) for _ in range(2))
     assert a == b and a
+
+
+def test_ledger_meets_unseen_seen_and_half_scanned_blobs(spark, tmp_path):
+    from panelspark.llm import secrets
+
+    key, other = "AKIA" + "A1" * 9, "password = hunter22"
+    text = {1: f"one {key}", 2: f"two {other}", 3: "three", 4: f"four {key} {other}", 5: None}
+    rows = lambda ids: spark.createDataFrame([(i, text[i]) for i in ids], "path long, text string")
+    ledger = str(tmp_path / "ledger")
+    fewer = secrets.BASE[:1]
+    secrets.scan(rows([1, 2]), ledger, rules=fewer)
+    # both known blobs lack two rules, two blobs and the empty one are new; one path repeats a known blob
+    found = secrets.scan(rows([1, 2, 2, 3, 4, 5]), ledger, rules=secrets.BASE)
+    log = spark.read.parquet(ledger).collect()
+    by = {}
+    for r in log:
+        by.setdefault(bytes(r["blob"]), []).append(sorted(r["rules"]))
+    one, two, three, four = (hashlib.sha256(text[i].encode()).digest() for i in (1, 2, 3, 4))
+    every, rest = sorted(r.name for r in secrets.BASE), sorted(r.name for r in secrets.BASE[1:])
+    assert sorted(by[one]) == sorted([[fewer[0].name], rest]) and sorted(by[two]) == sorted([[fewer[0].name], rest])
+    assert by[three] == [every] and by[four] == [every] and by[hashlib.sha256(b"").digest()] == [every] and len(by) == 5
+    got = {(r["path"], tuple((s["kind"], s["start"], s["end"]) for s in r["spans"])) for r in secrets.with_findings(rows([1, 2, 2, 3, 4, 5]), found).collect()}
+    assert got == {(1, (("access", 4, 26),)), (2, (("assign", 4, 23),)), (3, ()), (4, (("access", 5, 27), ("assign", 28, 47))), (5, ())}
+    assert secrets.scan(rows([4]), ledger, rules=secrets.BASE).count() == 3 and spark.read.parquet(ledger).count() == len(log)
