@@ -7,12 +7,12 @@ from the texts that pass the base rules.  Spark counts the n-grams of all of the
 the distinct n-grams of each order the numbers of their different beginnings, which are the
 counts of the next lower order.  Discounts come from the counts of counts of a language and order.
 
-An n-gram is kept if its count is at least a share of its language's and order's total:
-``LEAST_SHARE``, or more if there are so many languages that all together could keep over
-``MOST_KEPT`` n-grams of an order.  The same rule holds at every size, and since shares add up
-to one, it bounds the model whatever the data.  What a context loses to n-grams that are not
-kept goes to its back-off weight, so probabilities add up to one.  The model is kept as
-arrays of n-gram hashes, sorted, with their probabilities and back-off weights.
+No n-gram is dropped.  Spark joins the orders, from the lowest up, into the probability of each
+n-gram of the highest order that any text has; n-grams that only texts have which fail the base
+rules count 0 and are in it too.  The most frequent n-grams, ``MOST_SENT`` at most, go to
+all tasks as one array of sorted hashes; the others of a text are written beside its measures,
+meet their probabilities by a join and are added by text.  Logarithms are whole numbers of
+``UNIT``, so that sums do not depend on their order, nor on which n-grams were sent.
 
 Each language has its own band of perplexity.  From the log perplexities of all its texts
 that pass the base rules come their median and median absolute deviation; a text is
@@ -26,12 +26,11 @@ occur.  An empty table gives an empty result; extra columns are ignored.  Texts
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +43,10 @@ WINDOW = 8
 WIDTH = (8.0, 8.0)
 SHORT = 400
 ORDER = 5
-LEAST_SHARE = 2.0**-19
-MOST_KEPT = 1 << 20
+MOST_SENT = 1 << 18  # n-grams that all tasks get
+UNIT = 2.0**-32  # of log10 probabilities
 MOST_BROADCAST = 100_000
+OUT = 200_000  # rows of an Arrow batch
 HELD = 1 << 20  # n-grams that a task holds
 SYMBOLS = "#*$%&|<>"
 
@@ -82,19 +82,19 @@ def _key(l: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return X.mix(lo * U(0x9FB21C651E98DF25) ^ X.mix(hi * U(0xD6E8FEB86659FD93) + l.astype(np.int64).view(np.uint64)))
 
 
-def _summed(l: np.ndarray, hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+def _summed(l: np.ndarray, hi: np.ndarray, lo: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct n-grams and their summed counts."""
     pick, inverse = X.distinct(_key(l, hi, lo))
-    return l[pick], hi[pick], lo[pick], np.bincount(inverse, n, minlength=len(pick)).astype(np.int64)
+    return l[pick], hi[pick], lo[pick], *[np.bincount(inverse, n, minlength=len(pick)).astype(np.int64) for n in counts]
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """(l, hi, lo, n): n-grams of the rows (text, l) that pass the base rules; l is a language's hash."""
+    """(l, hi, lo, n, m): how often an n-gram occurs in the rows (text, l) that pass the base rules, and in all; l is a language's hash."""
 
-    def out(l, hi, lo, n):
-        for i in range(0, len(l), 200_000):
-            j = slice(i, i + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(l[j]), pa.array(hi[j].view(np.int64)), pa.array(lo[j].view(np.int64)), pa.array(n[j])], ["l", "hi", "lo", "n"])
+    def out(l, hi, lo, n, m):
+        for i in range(0, len(l), OUT):
+            j = slice(i, i + OUT)
+            yield pa.RecordBatch.from_arrays([pa.array(x[j].view(np.int64)) for x in (l, hi, lo, n, m)], ["l", "hi", "lo", "n", "m"])
 
     def run(batches):
         got: list[tuple] = []
@@ -104,8 +104,8 @@ def count(docs: DataFrame) -> DataFrame:
                 if not len(data):
                     continue
                 hi, lo, chars = _grams(data, offs)
-                keep = np.repeat(~failed(*measures(data, offs)[::4]), chars)
-                got.append(_summed(np.repeat(langs[row:end], chars)[keep], hi[keep], lo[keep], np.ones(int(keep.sum()), np.int64)))
+                good = np.repeat(~failed(*measures(data, offs)[::4]), chars)
+                got.append(_summed(np.repeat(langs[row:end], chars), hi, lo, good, np.ones(len(hi), np.int64)))
                 if sum(len(g[0]) for g in got) > HELD:
                     got = [_summed(*(np.concatenate(x) for x in zip(*got, strict=True)))]
                     if len(got[0][0]) > HELD // 2:
@@ -113,7 +113,8 @@ def count(docs: DataFrame) -> DataFrame:
         if got:
             yield from out(*_summed(*(np.concatenate(x) for x in zip(*got, strict=True))))
 
-    return docs.select("text", "l").mapInArrow(releasing(run), "l long, hi long, lo long, n long").groupBy("l", "hi", "lo").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", "l").mapInArrow(releasing(run), "l long, hi long, lo long, n long, m long")
+    return rows.groupBy("l", "hi", "lo").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _last(order: int) -> tuple[Column, Column]:
@@ -129,89 +130,84 @@ def _context() -> tuple[Column, Column]:
 
 
 def discounted(counts: DataFrame) -> DataFrame:
-    """(k, l, hi, lo, alpha, gamma) of the n-grams (k, l, hi, lo, n) that are kept: own probability, and back-off weight of the context."""
+    """(k, l, hi, lo, m, alpha, gamma) of all n-grams (k, l, hi, lo, n, m): own probability, and back-off weight of the context."""
     n = F.col("n")
-    stats = counts.groupBy("k", "l").agg(F.sum("n").alias("_sum"), *[F.count_if(n == i).cast("double").alias(f"_n{i}") for i in (1, 2, 3, 4)])
+    stats = counts.groupBy("k", "l").agg(*[F.count_if(n == i).cast("double").alias(f"_n{i}") for i in (1, 2, 3, 4)])
     # a row a language and order
     y = F.col("_n1") / (F.col("_n1") + 2 * F.col("_n2"))
     ok = (F.col("_n1") > 0) & (F.col("_n2") > 0) & (F.col("_n3") > 0)
     cut = [F.when(ok, F.least(F.greatest(i - (i + 1) * y * F.col(f"_n{i + 1}") / F.col(f"_n{i}"), F.lit(0.01)), F.lit(i - 0.01))).otherwise(i / 2) for i in (1, 2, 3)]
-    langs = F.count("*").over(Window.partitionBy("k"))
-    stats = stats.withColumn("_least", F.greatest(F.lit(LEAST_SHARE), langs / MOST_KEPT) * F.col("_sum"))
-    stats = stats.select("k", "l", "_least", *[c.alias(f"_d{i}") for i, c in enumerate(cut, 1)])
-    stats = written(stats, "stats")
+    stats = written(stats.select("k", "l", *[c.alias(f"_d{i}") for i, c in enumerate(cut, 1)]), "stats")
     if stats.count() <= MOST_BROADCAST:  # else Spark deals the rows out by language and order, and splits large ones
         stats = F.broadcast(stats)
-    rows = counts.select("k", "l", "hi", "lo", "n", *_context()).join(stats, ["k", "l"])
+    own = F.when(n == 0, 0.0).when(n == 1, F.col("_d1")).when(n == 2, F.col("_d2")).otherwise(F.col("_d3"))
+    rows = counts.select("k", "l", "hi", "lo", "n", "m", *_context()).join(stats, ["k", "l"])
     by = Window.partitionBy("k", "l", "chi", "clo")
-    rows = rows.withColumn("_total", F.sum("n").over(by))
-    rows = rows.withColumn("alpha", (n - F.when(n == 1, F.col("_d1")).when(n == 2, F.col("_d2")).otherwise(F.col("_d3"))) / F.col("_total"))
-    kept = n >= F.col("_least")
-    rows = rows.withColumn("gamma", 1 - F.sum(F.when(kept, F.col("alpha")).otherwise(0.0)).over(by))
-    return rows.where(kept).select("k", "l", "hi", "lo", "alpha", "gamma")
+    rows = rows.withColumns({"_total": F.sum("n").over(by)} | {f"_c{i}": F.count_if(n == i if i < 3 else n > 2).over(by) for i in (1, 2, 3)})
+    seen, lost = F.col("_total") > 0, F.col("_d1") * F.col("_c1") + F.col("_d2") * F.col("_c2") + F.col("_d3") * F.col("_c3")
+    alpha, gamma = F.when(seen, (n - own) / F.col("_total")).otherwise(0.0), F.when(seen, lost / F.col("_total")).otherwise(1.0)
+    return rows.select("k", "l", "hi", "lo", "m", alpha.alias("alpha"), gamma.alias("gamma"))
 
 
-@dataclass
-class KneserNey:
-    """By order: sorted hashes of n-grams with their probabilities, and of contexts with their back-off weights; and each language's share of an unseen code point."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    languages: np.ndarray
-    unseen: np.ndarray
-
-    @classmethod
-    def of(cls, orders: Iterable[pd.DataFrame], kinds: pd.DataFrame) -> KneserNey:
-        """From ``discounted`` rows by order, lowest first, and (l, n): how many code points a language has."""
-        grams, contexts = [], []
-        for part in orders:
-            l, hi, lo = part["l"].to_numpy(np.int64), *(part[c].to_numpy(np.int64).view(np.uint64) for c in ("hi", "lo"))
-            key = _key(l, hi, lo)
-            o = np.argsort(key)
-            grams.append((key[o], part["alpha"].to_numpy(np.float64)[o]))
-            key, pick = np.unique(_key(l, *_before(hi, lo)), return_index=True)
-            contexts.append((key, part["gamma"].to_numpy(np.float64)[pick]))
-        kinds = kinds.sort_values("l")
-        return cls(grams, contexts, kinds["l"].to_numpy(np.int64), 1 / (kinds["n"].to_numpy(np.float64) + 1))
-
-    def logs(self, l: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the last code points of n-grams."""
-        if not len(self.languages):
-            return np.full(len(l), -np.log10(0x110000))
-        at = np.minimum(np.searchsorted(self.languages, l), len(self.languages) - 1)
-        p = np.where(self.languages[at] == l, self.unseen[at], 1 / 0x110000)
-        for k in range(1, ORDER + 1):
-            h, w = hi & U((1 << _BITS * max(k - 3, 0)) - 1), lo & U((1 << _BITS * min(k, 3)) - 1)
-            p = _found(*self.grams[k - 1], _key(l, h, w), 0.0) + _found(*self.contexts[k - 1], _key(l, *_before(h, w)), 1.0) * p
-        return np.log10(p)
-
-
-def _before(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hi, lo) of n-grams without their last code point."""
-    return hi >> U(_BITS), lo >> U(_BITS) | (hi & U(_ONE)) << U(2 * _BITS)
-
-
-def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, other: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(asked), other)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], other)
-
-
-def fit(docs: DataFrame) -> KneserNey:
-    """The model of rows (text, l); what comes to the driver is bounded by MOST_KEPT n-grams an order."""
+def fit(docs: DataFrame) -> DataFrame:
+    """(l, hi, lo, m, log) of all n-grams of rows (text, l): how often one occurs, and the log10 probability of its last code point in UNITs."""
     top = written(count(docs), "grams")
-    orders, c = [top.select(F.lit(ORDER).alias("k"), "l", "hi", "lo", "n")], top
+    orders, c = [top.select(F.lit(ORDER).alias("k"), "l", "hi", "lo", "n", "m")], top
     for k in range(ORDER - 1, 0, -1):
         # how many different code points come before it
-        c = c.groupBy("l", *_last(k)).agg(F.count("*").alias("n"))
-        orders.append(c.select(F.lit(k).alias("k"), "l", "hi", "lo", "n"))
+        c = c.groupBy("l", *_last(k)).agg(F.count_if(F.col("n") > 0).alias("n"))
+        orders.append(c.select(F.lit(k).alias("k"), "l", "hi", "lo", "n", F.lit(None).cast("long").alias("m")))
     every = orders[0]
     for o in orders[1:]:
         every = every.union(o)
-    kinds = c.groupBy("l").agg(F.count("*").alias("n"))
-    kept = written(discounted(written(every, "counts")), "model")
-    return KneserNey.of((kept.where(F.col("k") == k).drop("k").toPandas() for k in range(1, ORDER + 1)), kinds.toPandas())
+    every = written(every, "counts")
+    rows = written(discounted(every), "model")
+    kinds = every.where((F.col("k") == 1) & (F.col("n") > 0)).groupBy("l").agg((1 / (F.count("*") + 1)).alias("p"))
+    # a language without a text that passes has no code points of its own
+    below = rows.where("k = 1").select("l").distinct().join(kinds, "l", "left").select("l", F.coalesce("p", F.lit(1 / 0x110000)).alias("p"))
+    on = ["l"]
+    for k in range(1, ORDER + 1):
+        hi, lo = _last(k - 1)
+        # merged, since a broadcast of a lower order would take the driver tens of MB
+        below = rows.where(F.col("k") == k).withColumns({"_hi": hi, "_lo": lo}).join(below.hint("merge") if k > 1 else below, on).select("l", "hi", "lo", "m", (F.col("alpha") + F.col("gamma") * F.col("p")).alias("p"))
+        if k < ORDER:
+            below, on = below.select("l", F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "p"), ["l", "_hi", "_lo"]
+    return written(below.select("l", "hi", "lo", "m", F.round(F.log10("p") / UNIT).cast("long").alias("log")), "logs")
+
+
+def least_sent(grams: DataFrame) -> int:
+    """How often an n-gram occurs at least that all tasks get; at most MOST_SENT do."""
+    sizes = grams.groupBy(F.floor(F.log2("m") * 16).alias("size")).agg(F.count("*").alias("n"), F.min("m").alias("m"))
+    least, total = 1 << 62, 0
+    for r in sorted(sizes.collect(), reverse=True):  # 16 rows a power of two
+        total += r["n"]
+        if total > MOST_SENT:
+            break
+        least = r["m"]
+    return least
+
+
+@dataclass
+class Frequent:
+    """Sorted hashes of n-grams and the log10 probabilities of their last code points in UNITs."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+
+    @classmethod
+    def of(cls, grams: DataFrame) -> Frequent:
+        l, hi, lo, log = (c.to_numpy() for c in grams.select("l", "hi", "lo", "log").toArrow().columns)  # not Python rows, which take the driver ten times as much
+        key = _key(l, hi.view(np.uint64), lo.view(np.uint64))
+        o = np.argsort(key)
+        return cls(key[o], log[o])
+
+    def found(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of the hashes, 0 for those that are not here, and which are."""
+        if not len(self.keys):
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        here = self.keys[at] == asked
+        return np.where(here, self.logs[at], 0), here
 
 
 def failed(n_words, n_repeat_words):
@@ -269,34 +265,60 @@ def measures(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 _FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measured(docs: DataFrame, model: KneserNey, key: str = "doc_id") -> DataFrame:
-    """key, l, the five measures, n_chars and log10 perplexity (null for an empty text) of rows (key, text, l)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_KEPT n-grams an order at most
+def measured(docs: DataFrame, frequent: Frequent, key: str = "doc_id") -> DataFrame:
+    """A row a text of rows (key, text, l): a number of its own, key, l, the five measures, n_chars and the summed logs of its frequent n-grams.
+
+    Each other n-gram of a text has a row too: the text's number, l, hi, lo and how often it occurs there.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_SENT n-grams at most
+    names = ["number", key, "l", *_FIELDS, "n_chars", "log", "hi", "lo", "times"]
 
     def run(batches):
-        model = sent.value
+        model, number = sent.value, TaskContext.get().partitionId() << 40
         for b in batches:
             langs = b.column(2).to_numpy()
             for row, end, data, offs in X.slices(b.column(1)):
-                got = measures(data, offs)
+                n = end - row
                 hi, lo, chars = _grams(data, offs)
                 l = np.repeat(langs[row:end], chars)
-                pick, inverse = X.distinct(_key(l, hi, lo))
-                logs = model.logs(l[pick], hi[pick], lo[pick])[inverse] if len(pick) else np.empty(0)
-                total = np.bincount(np.repeat(np.arange(end - row), chars), logs, minlength=end - row)
-                log = pa.array(-total / np.maximum(chars, 1), mask=chars == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(row, end - row), b.column(2).slice(row, end - row), *[pa.array(g.astype(np.int64)) for g in got], pa.array(chars.astype(np.int64)), log],
-                    [key, "l", *_FIELDS, "n_chars", "log_perplexity"])
+                asked = _key(l, hi, lo)
+                pick, inverse = X.distinct(asked)
+                logs, here = model.found(asked[pick])
+                sums, ends = np.concatenate([[0], np.cumsum(logs[inverse])]), np.cumsum(chars)
+                own = [np.arange(number, number + n), *measures(data, offs), chars, sums[ends] - sums[ends - chars]]
+                own = [pa.array(x.astype(np.int64)) for x in own]
+                yield pa.RecordBatch.from_arrays([own[0], b.column(0).slice(row, n), b.column(2).slice(row, n), *own[1:], *[pa.nulls(n, pa.int64())] * 3], names)
+                at = np.flatnonzero(~here[inverse])
+                pairs, times = np.unique(np.repeat(np.arange(n), chars)[at] * len(pick) + inverse[at], return_counts=True)
+                for i in range(0, len(pairs), OUT):
+                    text, gram = np.divmod(pairs[i : i + OUT], len(pick))
+                    at, none = pick[gram], pa.nulls(len(gram), pa.int64())
+                    cols = [pa.array(x) for x in (text + number, l[at], hi[at].view(np.int64), lo[at].view(np.int64), times[i : i + OUT])]
+                    yield pa.RecordBatch.from_arrays([cols[0], pa.nulls(len(gram), b.schema.field(0).type), cols[1], *[none] * (len(_FIELDS) + 2), *cols[2:]], names)
+                number += n
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, "text", "l").mapInArrow(releasing(run), f"`{key}` {kind}, l long, " + ", ".join(f"{f} long" for f in _FIELDS) + ", n_chars long, log_perplexity double")
+    longs = ", ".join(f"{f} long" for f in names[2:])
+    return docs.select(key, "text", "l").mapInArrow(releasing(run), f"number long, `{key}` {kind}, {longs}")
+
+
+def scored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, l, the five measures, n_chars and log10 perplexity (null for an empty text) of rows (key, text, l)."""
+    grams = fit(docs)
+    least = least_sent(grams)
+    rows = written(measured(docs, Frequent.of(grams.where(F.col("m") >= least)), key), "measures")
+    others = rows.where("hi IS NOT NULL").select("number", "l", "hi", "lo", "times").join(grams.where(F.col("m") < least).hint("merge"), ["l", "hi", "lo"])
+    others = others.groupBy("number").agg(F.sum(F.col("times") * F.col("log")).alias("others"))
+    rows = rows.where("hi IS NULL").drop("hi", "lo", "times").join(others, "number", "left")
+    total = F.col("log") + F.coalesce("others", F.lit(0))
+    rows = rows.withColumn("log_perplexity", F.when(F.col("n_chars") > 0, -total * UNIT / F.col("n_chars")))
+    return written(rows.drop("number", "log", "others"), "scored")
 
 
 def judged(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, the measures, base_failed, perplexity, its band (lower, upper) and kept."""
     docs = empty_texts(docs.select(key, "text", F.xxhash64(F.coalesce("lang", F.lit(""))).alias("l")))
-    rows = written(measured(docs, fit(docs), key), "measures")
+    rows = scored(docs, key)
     rows = rows.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
     good = rows.where("NOT base_failed")
     middle = written(good.groupBy("l").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")), "middle")
