@@ -20,6 +20,7 @@ rule.  Other columns are kept; a column named like a result is an error, not rep
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -36,7 +37,8 @@ from pyspark.sql.types import StructType
 
 from panelspark.llm.shared import empty_texts, releasing, table
 
-CACHE_WORDS = 50_000
+CACHE_WORDS = 200_000
+MOST_STEPS = 400_000
 _SPACES = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SENTINEL = 1 << 60
 
@@ -152,33 +154,37 @@ class Bpe:
                     return False
         return True
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Encodings of distinct words given as byte characters without the end mark.
+    def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """Encodings of distinct words in UTF-8 without the end mark; the symbol of a byte is its number.
 
         In sorted order the words are the trie's leaves as a depth-first walk meets them: a
         word goes on from the states of the prefix that it shares with the one before.
         """
-        out: dict[str, list[int]] = {}
-        follows, border, ends, step, after, symbols = self._follows, self._border, self.ends, self.step, self.after, self.symbols
+        out: dict[bytes, tuple[int, ...]] = {}
+        follows, border, ends, step, after = self._follows, self._border, self.ends, self.step, self.after
         if len(follows) > 200_000:
             follows.clear()
         # by depth: the vocabulary's node, the prefix's last token, and where that starts
         node, last, start = [0], [-1], [0]
-        before = ""
+        before: list[int] = []
         for w in sorted(words):
+            own = list(w)
+            own[-1] |= 256  # the last symbol bears the end mark
             n = 0
-            for x, y in zip(before[:-1], w[:-1]):  # the last symbol bears the end mark
+            for x, y in zip(before, own):
                 if x != y:
                     break
                 n += 1
             del node[n + 1 :], last[n + 1 :], start[n + 1 :]
-            at = node[n]
-            for d in range(n + 1, len(w) + 1):
-                symbol = symbols[w[d - 1]]
-                if d == len(w):
-                    symbol |= 256
+            at, d = node[n], n
+            for symbol in own[n:]:
+                d += 1
                 to = step.get(at << 9 | symbol)
-                at = after(at, symbol) if to is None else to
+                if to is None:
+                    to = after(at, symbol)
+                    if len(step) < MOST_STEPS:  # what a node goes on with by its links is its step from here on
+                        step[at << 9 | symbol] = to
+                at = to
                 for token, size in ends[at]:
                     s = d - size
                     if s:
@@ -194,16 +200,19 @@ class Bpe:
                 node.append(at)
                 last.append(token)
                 start.append(s)
-            before, d, ids = w, len(w), []
+            before, ids = own, []
             while d:
                 ids.append(last[d])
                 d = start[d]
-            out[w] = ids[::-1]
+            out[w] = tuple(ids[::-1])
         return out
 
     def words(self, text: str) -> list[str]:
         """Normalised pre-tokens.  White space only divides them, so turning runs of it to blanks changes nothing."""
-        if not text.isascii():
+        if text.isascii():
+            if text.isalpha():
+                return [text.lower()]
+        else:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # each character by itself: no context rule for a final sigma
                 text = text.replace("Σ", "σ")
@@ -226,15 +235,21 @@ class Encoder:
         self.names = [self.bpe.names.get(i, "") for i in range(size)]
         self.decimals = [str(i) for i in range(size)]
         self.words = Recent(CACHE_WORDS)  # blank-delimited words to their ids
-        self.parts = Recent(CACHE_WORDS)  # pre-tokens to their ids
+        self.parts = Recent(CACHE_WORDS)  # pre-tokens in UTF-8 to their ids
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that were not met lately: their pre-tokens share one trie."""
+        gc.disable()  # no cycles are made here, and Python would visit all remembered words to look for them
+        try:
+            self._learn(words)
+        finally:
+            gc.enable()
+
+    def _learn(self, words: set[str]) -> None:
         bpe, parts = self.bpe, self.parts
-        split = {w: [p if p.isascii() and p.isprintable() else "".join([bpe.chars[b] for b in p.encode()]) for p in bpe.words(w)] for w in self.words.missing(words)}
-        every = {p for ps in split.values() for p in ps}
-        got = bpe.encode_words(parts.missing(every))
-        parts.new.update((p, tuple(ids)) for p, ids in got.items())
+        split = {w: [p.encode() for p in bpe.words(w)] for w in self.words.missing(words)}
+        got = bpe.encode_words(parts.missing(set(chain.from_iterable(split.values()))))
+        parts.new.update(got)
         known, into = parts.new, self.words.new
         for w, ps in split.items():
             into[w] = known[ps[0]] if len(ps) == 1 else tuple([i for p in ps for i in known[p]])
@@ -270,7 +285,7 @@ class Recent:
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def missing(self, keys: set) -> list:
         """Those of the keys that are not known; the known ones are in ``new`` from here on."""
         if len(self.new) > self.size:
             self.new, self.old = {}, self.new
