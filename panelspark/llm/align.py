@@ -192,7 +192,7 @@ class Words:
     def learn(self, words: list[str]) -> None:
         """Aligns words that are not known yet, all in one merge."""
         # B shows U+2581 for a space, so it does not give such words back
-        words.sort(key="▁".__contains__)
+        words.sort(key=lambda w: "▁" in w)
         good = next((i for i, w in enumerate(words) if "▁" in w), len(words))
         try:
             self._learn(words[:good])
