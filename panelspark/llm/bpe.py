@@ -23,8 +23,10 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import pickle
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -39,6 +41,7 @@ from panelspark.llm.shared import empty_texts, releasing, table
 
 CACHE_WORDS = 200_000
 MOST_STEPS = 400_000
+PIECE = 1 << 18  # words whose ids are written at once
 _SPACES = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SENTINEL = 1 << 60
 
@@ -81,9 +84,11 @@ class Bpe:
                 self.made[whole] = r
         self._edges: tuple[dict, dict] = ({}, {})
         self._follows: dict[int, bool] = {}
+        self._sounds: dict[int, bool] = {}
         # a symbol is a character, with the end mark if it is a word's last one
         self.symbols = {c: i for i, c in enumerate(self.chars)}
         self._automaton()
+        self._edges, self._sounds = ({}, {}), {}
 
     def _automaton(self) -> None:
         """The vocabulary's trie, with a link from each node to the longest proper suffix that is a node too."""
@@ -126,8 +131,11 @@ class Bpe:
         return to
 
     def _sound(self, token: int) -> bool:
-        a, b = self.parts[token]
-        return all(p not in self.parts or self._sound(p) for p in (a, b)) and self._border(a, b, self.made[token])
+        out = self._sounds.get(token)
+        if out is None:
+            a, b = self.parts[token]
+            out = self._sounds[token] = all(p not in self.parts or self._sound(p) for p in (a, b)) and self._border(a, b, self.made[token])
+        return out
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """Symbols at one edge while ``token`` is built, with the ranks at which each appears and is used up."""
@@ -207,7 +215,7 @@ class Bpe:
             out[w] = tuple(ids[::-1])
         return out
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str, split: regex.Pattern | None = None) -> list[str]:
         """Normalised pre-tokens.  White space only divides them, so turning runs of it to blanks changes nothing."""
         if text.isascii():
             if text.isalpha():
@@ -216,7 +224,17 @@ class Bpe:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # each character by itself: no context rule for a final sigma
                 text = text.replace("Σ", "σ")
-        return self.split.findall(text.lower())
+        return (split or self.split).findall(text.lower())
+
+
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No cycles are made here, and Python would visit all remembered words to look for them."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 _loaded: dict[str, Encoder] = {}
@@ -236,14 +254,21 @@ class Encoder:
         self.decimals = [str(i) for i in range(size)]
         self.words = Recent(CACHE_WORDS)  # blank-delimited words to their ids
         self.parts = Recent(CACHE_WORDS)  # pre-tokens in UTF-8 to their ids
+        self.split = regex.compile(self.bpe.split.pattern + "|\n")
+        self.any_special = "|".join("\\Q" + t + "\\E" for t in self.bpe.special)
+        self.blank_names = pa.array([" " + x for x in self.names], pa.large_string())
+        self.blank_decimals = pa.array([" " + x for x in self.decimals], pa.large_string())
+        self.forget()
+
+    def forget(self) -> None:
+        """No word at ASCII blanks is known."""
+        self.number: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that were not met lately: their pre-tokens share one trie."""
-        gc.disable()  # no cycles are made here, and Python would visit all remembered words to look for them
-        try:
+        with _uncollected():
             self._learn(words)
-        finally:
-            gc.enable()
 
     def _learn(self, words: set[str]) -> None:
         bpe, parts = self.bpe, self.parts
@@ -254,6 +279,60 @@ class Encoder:
         for w, ps in split.items():
             into[w] = known[ps[0]] if len(ps) == 1 else tuple([i for p in ps for i in known[p]])
 
+    def _number(self, words: list[str]) -> np.ndarray:
+        """A number of each distinct word, whose ids are ``flat`` from ``first`` of it on."""
+        number = self.number
+        new = [w for w in words if w not in number]
+        if new:
+            bpe, parts = self.bpe, self.parts
+            # a line end, which no word holds, goes through as a part of its own and ends each word
+            coded = pa.array(bpe.words("\n".join(["\n", *new, ""]), self.split)).dictionary_encode()
+            code, own = coded.indices.to_numpy(), [p.encode() for p in coded.dictionary.to_numpy(zero_copy_only=False)]
+            got = bpe.encode_words(parts.missing({*own[1:]}))
+            parts.new.update(got)
+            ids = [(), *map(parts.new.__getitem__, own[1:])]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, ends = _gathered(np.fromiter(chain.from_iterable(ids), np.int32), np.concatenate([[0], np.cumsum(sizes)]), code)
+            word_ends = ends[np.flatnonzero(code == 0)[2:]]
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            self.first = np.concatenate([self.first, self.first[-1] + word_ends])
+            self.flat = np.concatenate([self.flat, flat])
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+    def digests(self, texts: pa.Array) -> list[tuple[int, str, str]]:
+        """(number of ids, SHA-256 of the ids, SHA-256 of what they decode to) of each text, none of which is null.
+
+        Words are divided at ASCII blanks and each distinct one is looked up once; ids are
+        written and decoded from the ids of the texts, end to end.
+        """
+        if len(self.number) > 2 * CACHE_WORDS:
+            self.forget()
+        words = pc.ascii_split_whitespace(texts)
+        first, coded = words.offsets.to_numpy().astype(np.int64), words.flatten().dictionary_encode()
+        first -= first[0]
+        with _uncollected():
+            word = self._number(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        counts = np.zeros(len(texts), np.int64)
+        sums = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(texts))]
+        for lo in range(0, len(word), PIECE):
+            hi = min(lo + PIECE, len(word))
+            ids, ends = _gathered(self.flat, self.first, word[lo:hi])
+            a, b = int(np.searchsorted(first, lo, "right")) - 1, int(np.searchsorted(first, hi))
+            cut = ends[np.clip(first[a : b + 1], lo, hi) - lo]
+            for k, shown in enumerate((self.blank_decimals, self.blank_names)):
+                _, offsets, data = shown.take(pa.array(ids)).buffers()
+                at, raw = np.frombuffer(offsets, np.int64)[cut].tolist(), memoryview(data or b"")
+                for i, x, y in zip(range(a, b), at, at[1:]):
+                    if x < y:  # no blank before a text's first id
+                        sums[i][k].update(raw[x + (not counts[i]) : y])
+            counts[a:b] += np.diff(cut)
+        out = [(n, x.hexdigest(), y.hexdigest()) for n, (x, y) in zip(counts.tolist(), sums, strict=True)]
+        if self.any_special:
+            for i in pc.indices_nonzero(pc.match_substring_regex(texts, self.any_special)).to_pylist():
+                ids = next(self.encode([texts[i].as_py()]))
+                out[i] = len(ids), hashlib.sha256(self.shown(ids).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
         bpe = self.bpe
@@ -279,6 +358,13 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+def _gathered(flat: np.ndarray, first: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[first[n] : first[n + 1]]`` of the numbers end to end, and where each starts (one more at the end)."""
+    size = first[numbers + 1] - first[numbers]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(ends[-1]) + np.repeat(first[numbers] - ends[:-1], size)], ends
+
+
 class Recent:
     """A bounded cache: what was not asked for while ``size`` others came is forgotten."""
 
@@ -306,11 +392,18 @@ def blank_words(text: str) -> list[str]:
     return text.split()
 
 
-def encoder(spec: str) -> Encoder:
-    """The encoder of a worker process for a tokenizer file."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
+def packed(spec: str) -> bytes:
+    """An encoder made once by the driver: its tables take ten times as long to make as to read."""
+    with _uncollected():
+        return pickle.dumps(Encoder(spec))
+
+
+def encoder(made: bytes) -> Encoder:
+    """The encoder of a worker process."""
+    key = hashlib.sha256(made).hexdigest()
     if key not in _loaded:
-        _loaded[key] = Encoder(spec)
+        with _uncollected():
+            _loaded[key] = pickle.loads(made)
     return _loaded[key]
 
 
@@ -332,9 +425,9 @@ def tokenizer_spec(path: str) -> str:
         return f.read()
 
 
-def _encoded(df: DataFrame, spec: str, text: str, schema: str, row) -> DataFrame:
-    """Columns but ``text`` kept; ``row`` makes the added values of the encoder and a text's ids."""
-    sent = df.sparkSession.sparkContext.broadcast(spec)  # one tokenizer file, a few MB whatever the data
+def _encoded(df: DataFrame, spec: str, text: str, schema: str, rows_of, most: int = 1 << 20) -> DataFrame:
+    """Columns but ``text`` kept; ``rows_of`` makes the added values of the encoder and an array of texts."""
+    sent = df.sparkSession.sparkContext.broadcast(packed(spec))  # tables of one tokenizer file, a few MB whatever the data
     fields_of = StructType.fromDDL(schema).fields
     names, kinds = [f.name for f in fields_of], [to_arrow_type(f.dataType) for f in fields_of]
     keep = _free_names(df, names, text)
@@ -342,8 +435,8 @@ def _encoded(df: DataFrame, spec: str, text: str, schema: str, row) -> DataFrame
     def run(batches):
         own = encoder(sent.value)
         for whole in batches:
-            for batch in _batches(whole, text):
-                rows = [row(own, ids) for ids in own.encode([t or "" for t in batch.column(text).to_pylist()])]
+            for batch in _batches(whole, text, most):
+                rows = rows_of(own, pc.fill_null(batch.column(text), ""))
                 cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, keep + names)
         del own
@@ -365,15 +458,15 @@ def _free_names(df: DataFrame, added: list[str], taken: str) -> list[str]:
 def encode(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
     """n_tokens, ids (array of int) and decoded_sha256 in place of the text; a null text has an empty array."""
 
-    def row(own, ids):
-        return len(ids), np.array(ids, np.int32), hashlib.sha256(own.decode(ids).encode()).hexdigest()
+    def rows(own, texts):
+        return [(len(ids), np.array(ids, np.int32), hashlib.sha256(own.decode(ids).encode()).hexdigest()) for ids in own.encode(texts.to_pylist())]
 
-    return _encoded(df, spec, text, "n_tokens long, ids array<int>, decoded_sha256 string", row)
+    return _encoded(df, spec, text, "n_tokens long, ids array<int>, decoded_sha256 string", rows)
 
 
 def decode(df: DataFrame, spec: str, ids: str = "ids") -> DataFrame:
     """``decoded`` in place of the ids: tokens joined by blanks; null ids decode to the empty string."""
-    sent = df.sparkSession.sparkContext.broadcast(spec)
+    sent = df.sparkSession.sparkContext.broadcast(packed(spec))
     keep = _free_names(df, ["decoded"], ids)
 
     def run(batches):
@@ -391,10 +484,7 @@ def decode(df: DataFrame, spec: str, ids: str = "ids") -> DataFrame:
 def digests(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 in place of the text: ids and what they decode to are hashed in the task."""
 
-    def row(own, ids):
-        return len(ids), hashlib.sha256(own.shown(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
-
-    return _encoded(df, spec, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _encoded(df, spec, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", Encoder.digests, 1 << 22)
 
 
 def default_spec() -> str:
