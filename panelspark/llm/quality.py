@@ -48,7 +48,9 @@ UNIT = 2.0**-32  # of log10 probabilities
 MOST_BROADCAST = 100_000
 OUT = 200_000  # rows of an Arrow batch
 HELD = 1 << 20  # n-grams that a task holds
+MOST_TABLE = 1 << 24  # places of a table that numbers codes
 SYMBOLS = "#*$%&|<>"
+_SYMBOL = np.isin(np.arange(256), [*SYMBOLS.encode()])
 
 U = np.uint64
 _BITS = 21  # of a code point and one more
@@ -60,21 +62,49 @@ _PLAIN[48:58] = 48
 _PLAIN[[9, 10, 11, 12, 13]] = 32
 
 
-def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hi, lo) of the ORDER code points that end at each one, three of them in ``lo``, 0 for what is before the text; and how many each row has."""
+def _numbered(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, all below ``size``, and the number of each row's code: by a table of ``size``, or hashed by Arrow where that is long."""
+    if size > MOST_TABLE:
+        coded = pa.array(code).dictionary_encode()
+        return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    there = np.zeros(size, bool)
+    there[code] = True
+    own = np.flatnonzero(there)
+    number = np.empty(size, np.int32)
+    number[own] = np.arange(len(own))
+    return own, number[code]
+
+
+def _grams(data: np.ndarray, offs: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(l, hi, lo) of the distinct n-grams, which of them ends at each code point, and how many code points each row has.
+
+    An n-gram has three of its ORDER code points in ``lo``, and 0 for what is before the text.  It is numbered by the
+    number of what comes before its last code point and by that code point's own, from order 1 up.
+    """
     lead, point = X.code_points(data)
-    low = point < 128
-    point[low] = _PLAIN[point[low]]
-    first = np.searchsorted(lead, offs)
-    size = np.diff(first)
-    at = np.arange(len(point)) - np.repeat(first[:-1], size)
-    words = [np.zeros(len(point), np.uint64) for _ in range(2)]
-    for i in range(ORDER):
-        before = np.zeros(len(point), np.uint64)
-        before[i:] = (point[: len(point) - i] + 1).astype(np.uint64)
-        before[at < i] = 0
-        words[i // 3] |= before << U(_BITS * (i % 3))
-    return words[1], words[0], size
+    size = np.diff(np.searchsorted(lead, offs))
+    own, point = _numbered(point, 0x110000)
+    letters, letter = np.unique(np.where(own < 128, _PLAIN[np.minimum(own, 127)], own) + 1, return_inverse=True)
+    letters, many = np.concatenate([[0], letters]), len(letters) + 1
+    # ORDER - 1 zeros before each row, so that no n-gram reaches into the row before
+    pad = ORDER - 1
+    at = np.arange(len(point)) + np.repeat(pad * np.arange(1, len(size) + 1), size)
+    padded = np.zeros(len(point) + pad * len(size), np.int32)
+    padded[at] = (letter.astype(np.int32) + 1)[point]
+    kinds, lang = np.unique(langs, return_inverse=True)
+    number, count, levels = np.repeat(lang.astype(np.int32), size + pad), len(kinds), []
+    for k in range(ORDER):
+        # from order 2 on the number of the n-gram before; the array starts with the first place that has one
+        code = (number[:-1] if k else number).astype(np.int32 if count * many <= MOST_TABLE else np.int64) * many + padded[k:]
+        own, number = _numbered(code if k < pad else code[at - pad], count * many)
+        levels.append(own)
+        count = len(own)
+    hi, lo = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
+    which = np.arange(count)
+    for i, own in enumerate(reversed(levels)):
+        which, last = np.divmod(own[which], many)
+        (lo if i < 3 else hi)[:] |= letters[last].astype(np.uint64) << U(_BITS * (i % 3))
+    return kinds[which], hi, lo, number, size
 
 
 def _key(l: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -82,9 +112,17 @@ def _key(l: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return X.mix(lo * U(0x9FB21C651E98DF25) ^ X.mix(hi * U(0xD6E8FEB86659FD93) + l.astype(np.int64).view(np.uint64)))
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct key, the number of each row's key); hashed by Arrow, which takes a fraction of a sort."""
+    number = pa.array(key).dictionary_encode().indices.to_numpy()
+    pick = np.empty(number.max(initial=-1) + 1, np.int64)
+    pick[number[::-1]] = np.arange(len(key) - 1, -1, -1)
+    return pick, number
+
+
 def _summed(l: np.ndarray, hi: np.ndarray, lo: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct n-grams and their summed counts."""
-    pick, inverse = X.distinct(_key(l, hi, lo))
+    pick, inverse = _distinct(_key(l, hi, lo))
     return l[pick], hi[pick], lo[pick], *[np.bincount(inverse, n, minlength=len(pick)).astype(np.int64) for n in counts]
 
 
@@ -103,9 +141,9 @@ def count(docs: DataFrame) -> DataFrame:
             for row, end, data, offs in X.slices(b.column(0)):
                 if not len(data):
                     continue
-                hi, lo, chars = _grams(data, offs)
-                good = np.repeat(~failed(*measures(data, offs)[::4]), chars)
-                got.append(_summed(np.repeat(langs[row:end], chars), hi, lo, good, np.ones(len(hi), np.int64)))
+                l, hi, lo, number, chars = _grams(data, offs, langs[row:end])
+                good = np.repeat(~failed(*repeats(data, offs)[:2]), chars)
+                got.append((l, hi, lo, *(np.bincount(x, minlength=len(l)) for x in (number[good], number))))
                 if sum(len(g[0]) for g in got) > HELD:
                     got = [_summed(*(np.concatenate(x) for x in zip(*got, strict=True)))]
                     if len(got[0][0]) > HELD // 2:
@@ -215,19 +253,42 @@ def failed(n_words, n_repeat_words):
     return (n_words < LEAST_WORDS) | (n_repeat_words * 100 > n_words * MOST_REPEATED)
 
 
+def _counted(marks: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are marked."""
+    return np.diff(np.searchsorted(np.flatnonzero(marks), offs))
+
+
 def _by_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(rows, weights, minlength=n)
 
 
+def repeats(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n_words and n_repeat_words of each row of a slice, and the start and end of each word."""
+    n = len(offs) - 1
+    h, starts, ends, first = X.word_hashes(data, offs, lower=False)
+    # windows of words within one text
+    words = np.diff(first)
+    repeated = np.zeros(n, np.int64)
+    w = X.ngram_hashes(h, WINDOW)
+    word_row = np.repeat(np.arange(n), words)
+    if len(w):
+        at = np.flatnonzero(word_row[: len(w)] == word_row[WINDOW - 1 :])
+        _, number = _distinct(X.mix(w[at] + word_row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        hit = at[np.bincount(number)[number] > 1]
+        edge = np.bincount(hit, minlength=len(h) + 1) - np.bincount(hit + WINDOW, minlength=len(h) + 1)
+        repeated = _by_row(word_row[np.cumsum(edge[:-1]) > 0], n)
+    return words, repeated, starts, ends
+
+
 def measures(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row of a slice."""
     n = len(offs) - 1
     if not len(data):
         return [np.zeros(n, np.int64)] * 5
-    h, starts, ends, first = X.word_hashes(data, offs, lower=False)
+    words, repeated, starts, ends = repeats(data, offs)
     rows_of_bytes = np.repeat(np.arange(n), np.diff(offs))
     chars = (~X.BLANK[data]) & ((data & 0xC0) != 0x80)
-    symbols = np.isin(data, np.frombuffer(SYMBOLS.encode(), np.uint8))
+    symbols = _SYMBOL[data]
     # lines end at line ends and at the ends of texts
     stop = data == 10
     lines = np.zeros(n, np.int64)
@@ -241,25 +302,9 @@ def measures(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     line_lo, line_hi, line_row = line_lo[worded], line_hi[worded], line_row[worded]
     if len(line_lo):
         lh = X.mix(X.string_hash(data, line_lo, line_hi) + line_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, pick = np.unique(lh, return_index=True)
+        pick, _ = _distinct(lh)
         lines = _by_row(line_row, n) - _by_row(line_row[pick], n)
-    # windows of words within one text
-    words = np.diff(first)
-    repeated = np.zeros(n, np.int64)
-    w = X.ngram_hashes(h, WINDOW)
-    word_row = np.repeat(np.arange(n), words)
-    if len(w):
-        inside = word_row[: len(w)] == word_row[WINDOW - 1 :]
-        at = np.flatnonzero(inside)
-        key = X.mix(w[at] + word_row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-        hit = at[times[inverse] > 1]
-        edge = np.zeros(len(h) + 1, np.int64)
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + WINDOW, -1)
-        covered = np.cumsum(edge[:-1]) > 0
-        repeated = _by_row(word_row[covered], n)
-    return [words, _by_row(rows_of_bytes[chars], n), _by_row(rows_of_bytes[symbols], n), lines, repeated]
+    return [words, _counted(chars, offs), _counted(symbols, offs), lines, repeated]
 
 
 _FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -279,21 +324,18 @@ def measured(docs: DataFrame, frequent: Frequent, key: str = "doc_id") -> DataFr
             langs = b.column(2).to_numpy()
             for row, end, data, offs in X.slices(b.column(1)):
                 n = end - row
-                hi, lo, chars = _grams(data, offs)
-                l = np.repeat(langs[row:end], chars)
-                asked = _key(l, hi, lo)
-                pick, inverse = X.distinct(asked)
-                logs, here = model.found(asked[pick])
+                l, hi, lo, inverse, chars = _grams(data, offs, langs[row:end])
+                logs, here = model.found(_key(l, hi, lo))
                 sums, ends = np.concatenate([[0], np.cumsum(logs[inverse])]), np.cumsum(chars)
                 own = [np.arange(number, number + n), *measures(data, offs), chars, sums[ends] - sums[ends - chars]]
                 own = [pa.array(x.astype(np.int64)) for x in own]
                 yield pa.RecordBatch.from_arrays([own[0], b.column(0).slice(row, n), b.column(2).slice(row, n), *own[1:], *[pa.nulls(n, pa.int64())] * 3], names)
                 at = np.flatnonzero(~here[inverse])
-                pairs, times = np.unique(np.repeat(np.arange(n), chars)[at] * len(pick) + inverse[at], return_counts=True)
+                pairs, times = np.unique(np.repeat(np.arange(n), chars)[at] * len(l) + inverse[at], return_counts=True)
                 for i in range(0, len(pairs), OUT):
-                    text, gram = np.divmod(pairs[i : i + OUT], len(pick))
-                    at, none = pick[gram], pa.nulls(len(gram), pa.int64())
-                    cols = [pa.array(x) for x in (text + number, l[at], hi[at].view(np.int64), lo[at].view(np.int64), times[i : i + OUT])]
+                    text, gram = np.divmod(pairs[i : i + OUT], len(l))
+                    none = pa.nulls(len(gram), pa.int64())
+                    cols = [pa.array(x) for x in (text + number, l[gram], hi[gram].view(np.int64), lo[gram].view(np.int64), times[i : i + OUT])]
                     yield pa.RecordBatch.from_arrays([cols[0], pa.nulls(len(gram), b.schema.field(0).type), cols[1], *[none] * (len(_FIELDS) + 2), *cols[2:]], names)
                 number += n
 

@@ -53,17 +53,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each distinct key, the number of each row's key); np.unique gives the first place and takes half as long again."""
-    order = np.argsort(key)
-    ordered = key[order]
-    first = np.ones(len(key), bool)
-    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
-    number = np.empty(len(key), np.int64)
-    number[order] = np.cumsum(first) - 1
-    return order[first], number
-
-
 def slices(col: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about ``most`` bytes; null is empty."""
     if isinstance(col, pa.ChunkedArray):
