@@ -252,7 +252,6 @@ class Encoder:
         size = max(self.bpe.names, default=-1) + 1
         self.names = [self.bpe.names.get(i, "") for i in range(size)]
         self.decimals = [str(i) for i in range(size)]
-        self.words = Recent(CACHE_WORDS)  # blank-delimited words to their ids
         self.parts = Recent(CACHE_WORDS)  # pre-tokens in UTF-8 to their ids
         self.split = regex.compile(self.bpe.split.pattern + "|\n")
         self.any_special = "|".join("\\Q" + t + "\\E" for t in self.bpe.special)
@@ -265,19 +264,15 @@ class Encoder:
         self.number: dict[str, int] = {}
         self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that were not met lately: their pre-tokens share one trie."""
+    def ids_of(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each word.  Pre-tokens that were not met lately share one trie; only pre-tokens are remembered, as words would take as much memory again."""
         with _uncollected():
-            self._learn(words)
-
-    def _learn(self, words: set[str]) -> None:
-        bpe, parts = self.bpe, self.parts
-        split = {w: [p.encode() for p in bpe.words(w)] for w in self.words.missing(words)}
-        got = bpe.encode_words(parts.missing(set(chain.from_iterable(split.values()))))
-        parts.new.update(got)
-        known, into = parts.new, self.words.new
-        for w, ps in split.items():
-            into[w] = known[ps[0]] if len(ps) == 1 else tuple([i for p in ps for i in known[p]])
+            bpe, parts = self.bpe, self.parts
+            split = {w: [p.encode() for p in bpe.words(w)] for w in words}
+            got = bpe.encode_words(parts.missing(set(chain.from_iterable(split.values()))))
+            known = parts.new
+            known.update(got)
+            return {w: known[ps[0]] if len(ps) == 1 else tuple([i for p in ps for i in known[p]]) for w, ps in split.items()}
 
     def _number(self, words: list[str]) -> np.ndarray:
         """A number of each distinct word, whose ids are ``flat`` from ``first`` of it on."""
@@ -338,8 +333,7 @@ class Encoder:
         bpe = self.bpe
         # odd parts are special tokens
         split = [[p if i % 2 else blank_words(p) for i, p in enumerate(bpe.specials.split(t) if bpe.specials and any(x in t for x in bpe.special) else [t])] for t in texts]
-        self.learn({w for parts in split for words in parts[::2] for w in words})
-        known = self.words.new.__getitem__
+        known = self.ids_of({w for parts in split for words in parts[::2] for w in words}).__getitem__
         for parts in split:
             ids: list[int] = []
             for i, p in enumerate(parts):
@@ -407,6 +401,11 @@ def encoder(made: bytes) -> Encoder:
     return _loaded[key]
 
 
+def unload() -> None:
+    """The worker process keeps no encoder.  Tasks call this by its name: what Spark sends of a nested function has copies of this module's variables."""
+    _loaded.clear()
+
+
 def _batches(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` characters."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -440,7 +439,7 @@ def _encoded(df: DataFrame, spec: str, text: str, schema: str, rows_of, most: in
                 cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, keep + names)
         del own
-        _loaded.clear()
+        unload()
 
     kept = df.select(*keep, text)
     fields = [f"`{n}` {t}" for n, t in kept.drop(text).dtypes]
@@ -461,7 +460,7 @@ def encode(df: DataFrame, spec: str, text: str = "text") -> DataFrame:
     def rows(own, texts):
         return [(len(ids), np.array(ids, np.int32), hashlib.sha256(own.decode(ids).encode()).hexdigest()) for ids in own.encode(texts.to_pylist())]
 
-    return _encoded(df, spec, text, "n_tokens long, ids array<int>, decoded_sha256 string", rows)
+    return _encoded(df, spec, text, "n_tokens long, ids array<int>, decoded_sha256 string", rows, 1 << 18)
 
 
 def decode(df: DataFrame, spec: str, ids: str = "ids") -> DataFrame:
@@ -475,7 +474,7 @@ def decode(df: DataFrame, spec: str, ids: str = "ids") -> DataFrame:
             texts = [own.decode(x or []) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string())], [*keep, "decoded"])
         del own
-        _loaded.clear()
+        unload()
 
     kept = df.select(*keep, ids)
     return kept.mapInArrow(releasing(run), ", ".join([*[f"`{n}` {t}" for n, t in kept.drop(ids).dtypes], "decoded string"]))
