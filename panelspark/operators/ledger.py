@@ -50,7 +50,8 @@ def reconcile(orders: DataFrame, fills: DataFrame, most_gap: float = 0.01) -> Da
     df = orders.join(f, "order_id", "left").withColumns({"filled": F.coalesce("filled", zero), "realised_cost": F.coalesce("realised_cost", zero)})
     sign = F.when(F.col("side") == "sell", -1.0).otherwise(1.0)
     df = df.withColumns({"fill_ratio": F.try_divide("filled", "quantity"), "shortfall": sign * (F.col("fill_price") - F.col("reference_price")) * F.col("filled"), "cost_gap": F.col("realised_cost") - F.col("expected_cost")})
-    rules = {"unfilled": F.col("filled") == 0, "partial": (F.col("filled") > 0) & (F.col("fill_ratio") < 1 - 1e-9), "price_gap": F.abs(F.col("fill_price") / F.col("reference_price") - 1) > most_gap}
+    gap = F.coalesce(F.abs(F.try_divide("fill_price", "reference_price") - 1) > most_gap, F.col("fill_price") != F.col("reference_price"))  # beside a reference of 0 any other price is a gap
+    rules = {"unfilled": F.col("filled") == 0, "partial": (F.col("filled") > 0) & (F.col("fill_ratio") < 1 - 1e-9), "price_gap": gap}
     return df.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])))
 
 
